@@ -75,52 +75,50 @@ def sentence_chunks(docs: DataFrame, size: int = 350, lookback: int = 50, min_ke
     return short.unionByName(long).withColumn("word_count", F.col("word_end") - F.col("word_start"))
 
 
-def _pack(items: Column, weight, close) -> Column:
-    """Greedy packing of an array: the group number of each item.
+def pack(items: Column, weight, joins) -> Column:
+    """Greedy packing of an array: the 0-based start of each group, as array<int>.
 
-    ``close(total, w)`` says that an item of weight w starts a new group when the open one holds total.
+    ``joins(total, members, w)`` says whether an item of weight w may join the open group.  The
+    accumulator holds the starts only, never the items.
     """
     start = F.struct(
-        F.lit(0).alias("total"), F.lit(0).alias("group"), F.lit(0).alias("members"),
-        F.array().cast("array<int>").alias("groups"),
+        F.lit(0.0).alias("total"), F.lit(0).alias("members"), F.lit(0).alias("pos"),
+        F.array().cast("array<int>").alias("starts"),
     )
 
     def step(acc: Column, item: Column) -> Column:
-        w = weight(item)
-        shut = close(acc["total"], w, acc["members"])
-        group = acc["group"] + F.when(shut, F.lit(1)).otherwise(F.lit(0))
-        return F.struct(
-            F.when(shut, w).otherwise(acc["total"] + w).alias("total"),
-            group.alias("group"),
-            F.when(shut, F.lit(1)).otherwise(acc["members"] + 1).alias("members"),
-            F.concat(acc["groups"], F.array(group)).alias("groups"),
-        )
+        w = weight(item).cast("double")
+        return let((acc["members"] > 0) & joins(acc["total"], acc["members"], w), lambda stay: F.struct(
+            F.when(stay, acc["total"] + w).otherwise(w).alias("total"),
+            F.when(stay, acc["members"] + 1).otherwise(F.lit(1)).alias("members"),
+            (acc["pos"] + 1).alias("pos"),
+            F.when(stay, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["pos"]))).alias("starts"),
+        ))
 
-    return F.aggregate(items, start, step)["groups"]
+    return F.aggregate(items, start, step)["starts"]
 
 
-def pack_paragraphs(docs: DataFrame, lo: int = 100, hi: int = 800) -> DataFrame:
-    """CHK3: paragraphs packed into chunks of ``lo`` to ``hi`` words; a trailing chunk below ``lo`` is dropped.
+def groups_of(items: Column, starts: Column) -> Column:
+    """The items cut at ``starts``: array<array<item>>."""
+    return F.transform(starts, lambda s, i: F.slice(
+        items, s + 1, F.coalesce(F.get(starts, i + 1), F.size(items)) - s
+    ))
 
-    The fold is a running sum with resets over the word counts of one row; the texts are regrouped
-    after it, so the accumulator stays small.
-    """
+
+def pack_paragraphs(docs: DataFrame, lo: int = 100, hi: int = 800) -> DataFrame:
+    """CHK3: paragraphs packed into chunks of ``lo`` to ``hi`` words; a trailing chunk below ``lo`` is dropped."""
     sized = docs.select("doc_id", F.transform(
         paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.size(words(p)).alias("n"))
     ).alias("ps"))
-    grouped = sized.select("doc_id", "ps", _pack(
-        F.col("ps"), lambda p: p["n"], lambda total, w, members: (total + w > hi) & (total >= lo)
-    ).alias("groups"))
-    rows = grouped.select(
-        "doc_id", F.posexplode(F.arrays_zip(F.col("ps"), F.col("groups"))).alias("pos", "z")
-    ).select("doc_id", "pos", F.col("z.groups").alias("chunk_order"), F.col("z.ps.text").alias("text"), F.col("z.ps.n").alias("n"))
-    packed = rows.groupBy("doc_id", "chunk_order").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"), F.sum("n").alias("word_count")
-    )
-    return packed.where(F.col("word_count") >= lo).select(
+    cut = sized.select("doc_id", "ps", pack(
+        F.col("ps"), lambda p: p["n"], lambda total, members, w: (total + w <= hi) | (total < lo)
+    ).alias("starts"))
+    rows = cut.select("doc_id", F.posexplode(groups_of(F.col("ps"), F.col("starts"))).alias("chunk_order", "g")).select(
         "doc_id", F.col("chunk_order").cast("long").alias("chunk_order"),
-        F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("chunk_text"), "word_count",
+        F.array_join(F.transform("g", lambda p: p["text"]), "\n\n").alias("chunk_text"),
+        F.aggregate("g", F.lit(0).cast("long"), lambda acc, p: acc + p["n"]).alias("word_count"),
     )
+    return rows.where(F.col("word_count") >= lo)
 
 
 def split_large(communities: DataFrame, words_limit: int = 1500, chunk_limit: int = 6, cap: int = 800) -> DataFrame:
@@ -129,21 +127,16 @@ def split_large(communities: DataFrame, words_limit: int = 1500, chunk_limit: in
     Input: doc_id, community_id, word_count and chunks, an array of {chunk_order, chunk_text, n_words}.
     """
     large = (F.col("word_count") > words_limit) | (F.size("chunks") > chunk_limit)
-    packs = _pack(F.col("chunks"), lambda c: c["n_words"].cast("int"), lambda total, w, members: (total + w > cap) & (members > 0))
-    parts = F.when(large, packs).otherwise(F.transform("chunks", lambda c: F.lit(0)))
-    rows = communities.select(
-        "doc_id", "community_id", F.posexplode(F.arrays_zip(F.col("chunks"), parts.alias("part"))).alias("pos", "z")
-    )
-    return (
-        rows.select("doc_id", "community_id", F.col("z.part").alias("part"), "pos", F.col("z.chunks").alias("c"))
-        .groupBy("doc_id", "community_id", "part")
-        .agg(
-            F.count("*").alias("n_chunks"),
-            F.sum("c.n_words").alias("word_count"),
-            F.array_sort(F.collect_list(F.struct("pos", F.col("c.chunk_text").alias("t")))).alias("parts"),
-        )
-        .select("doc_id", "community_id", F.col("part").cast("long").alias("part"), "n_chunks", "word_count",
-                F.array_join(F.transform("parts", lambda p: p["t"]), "\n\n").alias("combined_text"))
+    starts = F.when(large, pack(F.col("chunks"), lambda c: c["n_words"], lambda total, members, w: total + w <= cap)).otherwise(
+        F.array(F.lit(0))
+    )
+    parts = communities.withColumn("starts", starts).select(
+        "doc_id", "community_id", F.posexplode(groups_of(F.col("chunks"), F.col("starts"))).alias("part", "g")
+    )
+    return parts.select(
+        "doc_id", "community_id", F.col("part").cast("long").alias("part"), F.size("g").cast("long").alias("n_chunks"),
+        F.aggregate("g", F.lit(0).cast("long"), lambda acc, c: acc + c["n_words"]).alias("word_count"),
+        F.array_join(F.transform("g", lambda c: c["chunk_text"]), "\n\n").alias("combined_text"),
     )
 
 
