@@ -92,7 +92,7 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame, graph_key: str =
     """
     plain = edges.select(F.col(graph_key).alias("g"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j").distinct()
     sizes = plain.groupBy("g").agg(F.count("*").alias("m"))
-    sized = plain.join(sizes, "g")
+    sized = cut(plain.join(sizes, "g"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         label = greedy_merges(list(zip(pdf["i"].tolist(), pdf["j"].tolist())))

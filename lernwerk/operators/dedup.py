@@ -1,10 +1,22 @@
-"""Duplicate handling (DUP1-DUP12)."""
+"""Duplicate handling (DUP1-DUP12).
+
+Groups of copies can hold a large share of all rows.  They are reduced by aggregates with map-side
+combine (lowest id, earliest row, distinct segment), never collected whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.common import let
 from ..functions.text import content_hash
+from .communities import components
+from .similarity import dense_cosine_pairs
+
+SEGMENT_SECONDS = 90
 
 
 def exact_duplicates(docs: DataFrame, owners: DataFrame | None = None) -> DataFrame:
@@ -15,8 +27,8 @@ def exact_duplicates(docs: DataFrame, owners: DataFrame | None = None) -> DataFr
     per map task; only hashes that occur more than once are joined back, on a side that adaptive
     execution splits when one hash is hot.
     """
-    hashed = docs.withColumn("content_hash", content_hash(F.col("text")))
-    origin = hashed.where(F.col("content_hash") != "")
+    hashed = docs if "content_hash" in docs.columns else docs.withColumn("content_hash", content_hash(F.col("text")))
+    origin = hashed.select("doc_id", "content_hash").where(F.col("content_hash") != "")
     if owners is not None:
         origin = origin.join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
     first = origin.groupBy("content_hash").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
@@ -26,3 +38,231 @@ def exact_duplicates(docs: DataFrame, owners: DataFrame | None = None) -> DataFr
     return joined.withColumn(
         "duplicate_of", F.when(F.col("doc_id") != F.col("_first"), F.col("_first"))
     ).drop("_first")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 3, shingle: int = 3) -> DataFrame:
+    """DUP2: (a, b, ratio) for documents whose fingerprints match at ``threshold`` or better, a < b.
+
+    Equal fingerprints are collapsed first: their copies come back as star pairs to the lowest id with
+    ratio 1, so a large group of copies stays linear.  The rest meets in MinHash bands over word
+    shingles; a pair qualifies by its exact sequence-match ratio, computed on Arrow batches of candidate
+    pairs after a length test that no qualifying pair can fail.  The bands find a pair of shingle
+    overlap s with probability 1 - (1 - s^rows)^bands (0.98 at 0.57, above 0.999 at 0.7).
+    """
+    low = docs.select("doc_id", F.lower("fingerprint").alias("fp")).where(F.length("fp") > 0)
+    reps = low.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    stars = low.join(reps.where("n > 1"), "fp").where("doc_id <> rep").select(
+        F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("ratio")
+    )
+    tokens = F.regexp_extract_all("fp", F.lit(r"(?U)\w+"), F.lit(0))
+    grams = let(tokens, lambda ws: F.when(F.size(ws) < shingle, F.array(F.array_join(ws, " "))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(ws) - shingle + 1), lambda i: F.array_join(F.slice(ws, i, shingle), " "))
+    ))
+    hashed = let(F.transform(grams, lambda g: F.xxhash64(g)), lambda hs: F.array(*[
+        F.array_min(F.transform(hs, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(bands * rows)
+    ]))
+    signed = reps.select("rep", "fp", F.length("fp").alias("len"), hashed.alias("sig"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(
+        b.alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows)).alias("bucket")))
+    buckets = signed.select("rep", "len", F.explode(keys).alias("k")).select("rep", "len", "k.band", "k.bucket")
+    busy = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    met = buckets.join(busy, ["band", "bucket"], "left_semi").select("rep", "len", "band", "bucket")
+    left, right = met.toDF("a", "la", "band", "bucket"), met.toDF("b", "lb", "band", "bucket")
+    long_enough = F.least("la", "lb") * 2 >= F.lit(threshold) * (F.col("la") + F.col("lb"))
+    pairs = left.join(right, ["band", "bucket"]).where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
+    texts = reps.select("rep", "fp")
+    full = pairs.join(texts.toDF("a", "fa"), "a").join(texts.toDF("b", "fb"), "b")
+
+    @F.pandas_udf("double")
+    def ratio(newer: pd.Series, older: pd.Series) -> pd.Series:
+        return pd.Series([
+            m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0
+            for m in (SequenceMatcher(None, x, y) for x, y in zip(newer, older))
+        ], dtype="float64")
+
+    scored = full.select("a", "b", ratio("fb", "fa").alias("ratio")).where(F.col("ratio") >= threshold)
+    return scored.unionByName(stars)
+
+
+def best_match(pairs: DataFrame) -> DataFrame:
+    """DUP3: (doc_id, match_id, ratio), for each newer document its best older match; ties to the lowest id."""
+    return pairs.groupBy(F.col("b").alias("doc_id")).agg(F.max(F.struct("ratio", -F.col("a"))).alias("m")).select(
+        "doc_id", (-F.col("m.col2")).alias("match_id"), F.col("m.ratio").alias("ratio")
+    )
+
+
+def decide(docs: DataFrame, exact: DataFrame, near: DataFrame, min_chars: int = 100) -> DataFrame:
+    """DUP4: (doc_id, decision, duplicate_of, similarity); short texts are skipped, exact beats near.
+
+    ``docs(doc_id, n_chars)`` with the length of the cleaned text, ``exact(doc_id, duplicate_of)``,
+    ``near(doc_id, match_id, ratio)``.
+    """
+    e = exact.where(F.col("duplicate_of").isNotNull()).select("doc_id", F.col("duplicate_of").alias("_e"))
+    joined = docs.select("doc_id", "n_chars").join(e, "doc_id", "left").join(near.select("doc_id", "match_id", "ratio"), "doc_id", "left")
+    kind = (
+        F.when(F.col("n_chars") < min_chars, "skipped").when(F.col("_e").isNotNull(), "exact")
+        .when(F.col("match_id").isNotNull(), "near").otherwise("unique")
+    )
+    return joined.withColumn("decision", kind).select(
+        "doc_id", "decision",
+        F.when(F.col("decision") == "exact", F.col("_e")).when(F.col("decision") == "near", F.col("match_id")).alias("duplicate_of"),
+        F.when(F.col("decision") == "exact", F.lit(1.0)).when(F.col("decision") == "near", F.col("ratio")).otherwise(0.0).alias("similarity"),
+    )
+
+
+def dedup_stats(docs: DataFrame) -> DataFrame:
+    """DUP5: totals over (doc_id, duplicate_of)."""
+    copy = F.col("duplicate_of").isNotNull()
+    return docs.agg(
+        F.count("*").alias("total"), F.count_if(~copy).alias("unique_docs"), F.count_if(copy).alias("duplicates"),
+        F.count_distinct("duplicate_of").alias("originals_with_duplicates"),
+    ).withColumn("ratio", F.when(F.col("total") > 0, F.col("duplicates") / F.col("total")).otherwise(0.0))
+
+
+def duplicate_groups(docs: DataFrame) -> DataFrame:
+    """DUP6: per original the copies, the bytes they take and their mean similarity."""
+    return docs.where(F.col("duplicate_of").isNotNull()).groupBy(F.col("duplicate_of").alias("original_id")).agg(
+        F.count("*").alias("n_copies"), F.sum("n_bytes").alias("bytes_saved"), F.avg("similarity").alias("mean_similarity")
+    )
+
+
+def keep_earliest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """DUP7: the earliest row per key, as an aggregate so that a hot key costs one row per map task."""
+    rest = [c for c in df.columns if c not in order]
+    best = df.groupBy(key).agg(F.min(F.struct(*order, *[F.col(c) for c in rest])).alias("_r"))
+    return best.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def block_duplicates(blocks: DataFrame, tau: float = 0.85) -> DataFrame:
+    """DUP8: (a, b, sim, kind): star pairs inside a hash group, and cosine pairs of different hashes.
+
+    ``blocks(block_id, content_hash, embedding)``.  Equal vectors are compared once: the cosine join runs
+    over all blocks, but a hash group contributes its star only.
+    """
+    hashes = blocks.where(F.coalesce(F.length("content_hash"), F.lit(0)) > 0).select("block_id", "content_hash")
+    first = hashes.groupBy("content_hash").agg(F.min("block_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = hashes.join(first, "content_hash").where("block_id <> a").select(
+        "a", F.col("block_id").alias("b"), F.lit(1.0).alias("sim"), F.lit("hash").alias("kind")
+    )
+    pairs = dense_cosine_pairs(blocks, tau, "block_id")
+    hash_of = blocks.select("block_id", F.coalesce("content_hash", F.lit("")).alias("h"))
+    near = (
+        pairs.join(hash_of.toDF("i", "hi"), "i").join(hash_of.toDF("j", "hj"), "j").where("hi <> hj")
+        .select(F.col("i").alias("a"), F.col("j").alias("b"), "sim", F.lit("cosine").alias("kind"))
+    )
+    return stars.unionByName(near)
+
+
+def merge_map(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(block_id, survivor): every block of a duplicate component and the earliest block of it."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    comps = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), nodes)
+    aged = comps.join(blocks.select(F.col("block_id").alias("node"), "created_at"), "node")
+    oldest = aged.groupBy("component").agg(F.min_by("node", F.struct("created_at", "node")).alias("survivor"))
+    return aged.join(oldest, "component").select(F.col("node").alias("block_id"), "survivor")
+
+
+def merge_blocks(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
+    """DUP9: one row per surviving block of a merge.
+
+    ``blocks(block_id, created_at, objectives, segments)``, ``mapping`` from ``merge_map``.  Segments are
+    de-duplicated by type and the first 100 characters of their content, keeping the first in the order
+    survivor, then age.  That is an aggregate per key, so copies collapse before anything is collected.
+    The ids merged into a block are the rows of ``mapping``.
+    """
+    joined = blocks.join(mapping, "block_id").withColumn(
+        "_order", F.struct((F.col("block_id") != F.col("survivor")).alias("later"), "created_at", "block_id")
+    )
+    none = F.lit("")
+    spread = joined.select("survivor", "_order", F.posexplode("segments").alias("pos", "s")).withColumn(
+        "_key", F.concat(F.coalesce("s.type", none), F.lit("-"), F.substring(F.coalesce("s.content", none), 1, 100))
+    )
+    kept = spread.groupBy("survivor", "_key").agg(
+        F.min(F.struct("_order", "pos")).alias("at"), F.min_by("s", F.struct("_order", "pos")).alias("s")
+    )
+    segments = kept.groupBy("survivor").agg(
+        F.array_sort(F.collect_list(F.struct("at", "_key", "s"))).alias("parts"),
+        F.sum(F.coalesce("s.duration_seconds", F.lit(SEGMENT_SECONDS))).alias("total_duration"),
+    )
+    goals = joined.select("survivor", F.explode("objectives").alias("o")).distinct().groupBy("survivor").agg(
+        F.array_sort(F.collect_list("o")).alias("objectives")
+    )
+    counts = joined.groupBy("survivor").agg((F.count("*") - 1).alias("n_merged"))
+    return (
+        counts.join(segments, "survivor", "left").join(goals, "survivor", "left")
+        .select(
+            F.col("survivor").alias("block_id"), "n_merged",
+            F.transform("parts", lambda p: p["s"]).alias("segments"), F.coalesce("total_duration", F.lit(0)).alias("total_duration"), "objectives",
+        )
+    )
+
+
+def repoint(current: DataFrame, completed: DataFrame, progress: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """DUP10: session references after a merge, and the number of changed references per kind.
+
+    ``current(session_id, block_id, segment)``, ``completed(session_id, block_id)``,
+    ``progress(session_id, block_id, segments)``, ``mapping(block_id, survivor)``.  A moved current block
+    restarts at segment 0; progress moves only if the survivor has none.
+    """
+    moves = mapping.where("block_id <> survivor").select("block_id", "survivor")
+    c = current.join(moves, "block_id", "left")
+    new_current = c.select(
+        "session_id", F.coalesce("survivor", "block_id").alias("block_id"),
+        F.when(F.col("survivor").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("segment").cast("long")).alias("segment"),
+    )
+    d = completed.join(moves, "block_id", "left")
+    new_completed = d.select("session_id", F.coalesce("survivor", "block_id").alias("block_id")).distinct()
+    p = progress.join(moves, "block_id", "left").withColumn("target", F.coalesce("survivor", "block_id"))
+    # the survivor's own progress wins, then that of the lowest merged block
+    choice = F.min_by("segments", F.struct(F.col("survivor").isNotNull(), F.col("block_id")))
+    new_progress = p.groupBy("session_id", F.col("target").alias("block_id")).agg(choice.alias("segments"))
+    moved = [
+        frame.where(F.col("survivor").isNotNull()).agg(F.count("*").alias("affected")).select(F.lit(kind).alias("kind"), "affected")
+        for kind, frame in (("current", c), ("completed", d), ("progress", p))
+    ]
+    return new_current, new_completed, new_progress, moved[0].union(moved[1]).union(moved[2])
+
+
+def clone_children(children: DataFrame, copies: DataFrame) -> DataFrame:
+    """DUP11: rows of ``children(doc_id, ...)`` once more for every copy, ``copies(doc_id, duplicate_of)``."""
+    links = copies.where(F.col("duplicate_of").isNotNull()).select(F.col("doc_id").alias("_copy"), F.col("duplicate_of").alias("doc_id"))
+    return children.join(links, "doc_id").withColumn("doc_id", F.col("_copy")).drop("_copy")
+
+
+def clone_blocks(blocks: DataFrame, units: DataFrame, copies: DataFrame) -> DataFrame:
+    """DUP11 for blocks: the i-th block of a copy hangs on its i-th unit (else the first), revision on the one before."""
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("block_order", "block_id")) - 1
+    unit_rank = F.row_number().over(W.partitionBy("doc_id").orderBy("concept_order")) - 1
+    numbered = units.select("doc_id", "concept_order", unit_rank.alias("i"))
+    first = numbered.where("i = 0").select("doc_id", F.col("concept_order").alias("_first"))
+    placed = (
+        blocks.withColumn("i", rank)
+        .join(numbered.withColumnRenamed("concept_order", "_own"), ["doc_id", "i"], "left")
+        .join(numbered.select("doc_id", (F.col("i") + 1).alias("i"), F.col("concept_order").alias("revision_order")), ["doc_id", "i"], "left")
+        .join(first, "doc_id", "left")
+        .withColumn("concept_order", F.coalesce("_own", "_first")).drop("_own", "_first", "i")
+    )
+    return clone_children(placed, copies)
+
+
+def consolidate(members: DataFrame, cap_chars: int = 2000, cap_min: int = 25, default_min: int = 15) -> tuple[DataFrame, DataFrame]:
+    """DUP12: (groups, renamed members) for ``members(group_id, block_id, title, content, minutes)``.
+
+    The combined text is cut at ``cap_chars``; every member adds at least a dozen characters, so the head
+    of the group up to ``cap_chars / 12`` members decides it and no whole group is ever collected.
+    """
+    head_size = cap_chars // 12 + 1
+    head = members.withColumn("_r", F.row_number().over(W.partitionBy("group_id").orderBy("block_id"))).where(F.col("_r") <= head_size)
+    part = F.concat(F.lit("\n\nFrom '"), F.col("title"), F.lit("':\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    texts = head.select("group_id", "_r", part.alias("part")).groupBy("group_id").agg(
+        F.array_sort(F.collect_list(F.struct("_r", "part"))).alias("parts")
+    ).select("group_id", F.substring(F.array_join(F.transform("parts", lambda p: p["part"]), ""), 1, cap_chars).alias("combined_content"))
+    totals = members.groupBy("group_id").agg(
+        F.count("*").alias("n_blocks"), F.min("block_id").alias("first_block"),
+        F.least(F.sum(F.coalesce("minutes", F.lit(default_min))), F.lit(cap_min)).alias("duration_min"),
+    )
+    short_id = F.substring(F.sha2(F.col("group_id").cast("string"), 256), 1, 8)
+    renamed = members.select(
+        "group_id", "block_id", F.concat(F.lit("[MIGRATED→"), short_id, F.lit("] "), F.col("title")).alias("title")
+    )
+    return totals.join(texts, "group_id"), renamed

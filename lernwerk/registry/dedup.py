@@ -1 +1,201 @@
-QUERIES = []
+"""Duplicate queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..derived import check_sql
+from ..functions import text as tx
+from ..operators import dedup as dd
+from ..operators.body import body_fields
+from . import Query
+from .similarity import EMB_PAIRS
+from .text import BODY_CTES, q_clean, q_strip_migration
+
+
+def _exact(t):
+    return dd.exact_duplicates(t.documents.select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))).select("doc_id", "content_hash", "duplicate_of")
+
+
+EXACT_CTES = """exact as (select d.doc_id, sha256(text) as content_hash, nullif(min(doc_id) over (partition by sha256(text)), doc_id) as duplicate_of,
+  strlen(text)::bigint as n_bytes from documents d)"""
+
+
+def _owned(t):
+    """Only documents that own labelled chunks can be originals."""
+    docs = t.documents.select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    return dd.exact_duplicates(docs, t.labels.select("doc_id")).select("doc_id", "duplicate_of")
+
+
+def _fingerprints(t):
+    cleaned = t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("c"))
+    return cleaned.select("doc_id", F.length("c").alias("n_chars"), tx.fingerprint(F.col("c")).alias("fingerprint"))
+
+
+def _near(t):
+    return dd.near_duplicates(_fingerprints(t)).withColumn("ratio", F.round("ratio", 6))
+
+
+def _best(t):
+    return dd.best_match(_near(t))
+
+
+def _head_pairs(t):
+    """Pairs with equal first 60 characters of the cleaned text: a stand-in score that SQL can repeat."""
+    f = _fingerprints(t).where("n_chars >= 60").select("doc_id", F.lower(F.substring("fingerprint", 1, 60)).alias("h"))
+    first = f.groupBy("h").agg(F.min("doc_id").alias("a"))
+    return f.join(first, "h").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), (F.lit(0.8) + (F.col("doc_id") % 20) / 100).alias("ratio"))
+
+
+def _decisions(t):
+    lengths = _fingerprints(t).select("doc_id", "n_chars")
+    d = dd.decide(lengths, _exact(t), dd.best_match(_head_pairs(t)))
+    return d.withColumn("similarity", F.round("similarity", 6))
+
+
+DECIDE_SQL = "with " + q_clean("documents") + f""", {EXACT_CTES},
+  f as (select doc_id, length(text) as n, array_to_string(string_split(text, '.')[1:50], '. ')[1:1000] as fp from cleaned),
+  h as (select doc_id, lower(fp[1:60]) as h from f where n >= 60),
+  near as (select doc_id, min(doc_id) over (partition by h) as a, 0.8::double + (doc_id % 20) / 100.0::double as ratio from h),
+  j as (select f.doc_id, n, e.duplicate_of as e, nullif(near.a, f.doc_id) as m, ratio from f join exact e using (doc_id) left join near using (doc_id)),
+  k as (select *, case when n < 100 then 'skipped' when e is not null then 'exact' when m is not null then 'near' else 'unique' end as decision from j)
+  select doc_id, decision, case decision when 'exact' then e when 'near' then m end as duplicate_of,
+    round(case decision when 'exact' then 1.0 when 'near' then ratio else 0.0 end, 6)::double as similarity from k"""
+
+
+def _groups(t):
+    docs = dd.exact_duplicates(t.documents.select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("n_bytes")))
+    return dd.duplicate_groups(docs.withColumn("similarity", F.lit(1.0)))
+
+
+def _earliest(t):
+    return dd.keep_earliest(t.blocks.select("block_id", "title", "created_at"), "title", ["created_at", "block_id"]).select("block_id", "title")
+
+
+def _hashed_blocks(t):
+    names = t.part.select(F.col("p_partkey").alias("block_id"), F.sha2("p_name", 256).alias("content_hash"))
+    return t.embeddings.select(F.col("vec_id").alias("block_id"), "embedding").join(names, "block_id", "left")
+
+
+def _block_dups(t):
+    return dd.block_duplicates(_hashed_blocks(t), 0.35)
+
+
+def _title_pairs(t):
+    titles = t.block_bodies.select("block_id", F.sha2(tx.strip_migration(F.col("title")), 256).alias("h"))
+    first = titles.groupBy("h").agg(F.min("block_id").alias("a"))
+    return titles.join(first, "h").where("block_id <> a").select("a", F.col("block_id").alias("b"))
+
+
+def _merge_inputs(t):
+    blocks = body_fields(t.block_bodies).select("block_id", "created_at", "objectives", "segments")
+    return blocks, dd.merge_map(blocks, _title_pairs(t))
+
+
+def _merged(t):
+    blocks, mapping = _merge_inputs(t)
+    m = dd.merge_blocks(blocks, mapping)
+    return m.select("block_id", "n_merged", F.coalesce(F.size("segments"), F.lit(0)).alias("n_segments"), "total_duration", F.array_join("objectives", "|").alias("objectives"),
+                    F.coalesce(F.array_join(F.transform("segments", lambda s: s["title"]), "|"), F.lit("")).alias("segment_titles"))
+
+
+MERGE_SQL = check_sql("block_bodies", f"""with {BODY_CTES},
+  m as (select block_id, min(block_id) over (partition by c) as survivor, count(*) over (partition by c) as n from (select block_id, {q_strip_migration('title')} as c from block_bodies) x),
+  mm as (select * from m where n > 1),
+  ks as (select survivor, block_id, i, s, coalesce(s->>'$.type', '') || '-' || coalesce(s->>'$.content', '')[1:100] as k from seg join mm using (block_id)),
+  first as (select *, row_number() over (partition by survivor, k order by block_id, i) as rn from ks),
+  segs2 as (select survivor, count(*) as n_segments, sum(coalesce((s->>'$.duration_seconds')::bigint, 90))::bigint as total_duration, string_agg(s->>'$.title', '|' order by block_id, i) as segment_titles from first where rn = 1 group by survivor),
+  goals as (select survivor, string_agg(o, '|' order by o) as objectives from (select distinct survivor, unnest(objectives) as o from block_bodies join mm using (block_id)) g group by survivor)
+  select mm.survivor as block_id, count(*) - 1 as n_merged, coalesce(any_value(n_segments), 0) as n_segments, coalesce(any_value(total_duration), 0)::bigint as total_duration,
+    any_value(objectives) as objectives, coalesce(any_value(segment_titles), '') as segment_titles
+  from mm left join segs2 using (survivor) left join goals using (survivor) group by mm.survivor""")
+
+
+def _sessions(t):
+    r = t.reviews
+    last = r.groupBy(F.col("user_id").alias("session_id")).agg(F.max_by("block_id", "event_id").alias("block_id"), F.max("qa_total").alias("segment"))
+    done = r.select(F.col("user_id").alias("session_id"), "block_id").distinct()
+    progress = r.groupBy(F.col("user_id").alias("session_id"), "block_id").agg(F.min("qa_total").alias("segments"))
+    return last, done, progress
+
+
+def _repointed(t):
+    _, mapping = _merge_inputs(t)
+    current, done, progress, _ = dd.repoint(*_sessions(t), mapping)
+    return (
+        current.select("session_id", "block_id", F.lit("current").alias("kind"), "segment")
+        .union(done.select("session_id", "block_id", F.lit("completed"), F.lit(None).cast("long")))
+        .union(progress.select("session_id", "block_id", F.lit("progress"), "segments"))
+    )
+
+
+SESSION_CTES = f"""
+  m as (select block_id, min(block_id) over (partition by c) as survivor from (select block_id, {q_strip_migration('title')} as c from block_bodies) x),
+  cur as (select user_id as session_id, arg_max(block_id, event_id) as block_id, max(qa_total) as segment from reviews group by user_id),
+  done as (select distinct user_id as session_id, block_id from reviews),
+  prog as (select user_id as session_id, block_id, min(qa_total) as segments from reviews group by all)"""
+REPOINT_SQL = check_sql("block_bodies reviews", f"""with {SESSION_CTES},
+  p as (select session_id, survivor, segments, row_number() over (partition by session_id, survivor order by block_id <> survivor, block_id) as rn from prog join m using (block_id))
+  select session_id, survivor as block_id, 'current' as kind, case when survivor <> block_id then 0 else segment end as segment from cur join m using (block_id)
+  union all select distinct session_id, survivor, 'completed', null from done join m using (block_id)
+  union all select session_id, survivor, 'progress', segments from p where rn = 1""")
+
+
+def _affected(t):
+    _, mapping = _merge_inputs(t)
+    return dd.repoint(*_sessions(t), mapping)[3]
+
+
+def _cloned(t):
+    return dd.clone_children(t.chunks.select("doc_id", "chunk_order", "word_count"), _exact(t))
+
+
+def _cloned_blocks(t):
+    """The i-th chunk of every eight stands in for the block; units are the runs of eight chunks."""
+    blocks = t.chunks.select("doc_id", F.col("chunk_order").alias("block_order"), F.col("chunk_order").alias("block_id"))
+    units = t.chunks.select("doc_id", (F.floor(F.col("chunk_order") / 8) + 1).alias("concept_order")).distinct()
+    return dd.clone_blocks(blocks, units, _exact(t)).select("doc_id", "block_order", "concept_order", "revision_order")
+
+
+CLONE_SQL = check_sql("chunks", f"""with {EXACT_CTES},
+  b as (select doc_id, chunk_order as block_order, row_number() over (partition by doc_id order by chunk_order) as i, count(*) over (partition by doc_id) as n from chunks)
+  select e.doc_id, block_order, case when i <= (n + 7) // 8 then i else 1 end as concept_order, case when i - 1 between 1 and (n + 7) // 8 then i - 1 end as revision_order
+  from b join exact e on b.doc_id = e.duplicate_of""")
+
+
+def _consolidated(t):
+    members = t.blocks.select(F.col("doc_id").alias("group_id"), "block_id", "title", F.repeat("title", 3).alias("content"), (F.col("duration_s") / 60).cast("long").alias("minutes"))
+    groups, _ = dd.consolidate(members)
+    return groups.withColumn("text_hash", F.sha2("combined_content", 256)).drop("combined_content")
+
+
+def _consolidated_titles(t):
+    members = t.blocks.select(F.col("doc_id").alias("group_id"), "block_id", "title", F.col("title").alias("content"), F.lit(1).alias("minutes"))
+    return dd.consolidate(members)[1]
+
+
+QUERIES = [
+    Query("doc_hash_dups", _exact, f"with {EXACT_CTES} select doc_id, content_hash, duplicate_of from exact"),
+    Query("owned_hash_dups", _owned, """with h as (select doc_id, sha256(text) as h from documents), f as (select h, min(doc_id) as first from h semi join labels using (doc_id) group by h)
+      select doc_id, nullif(first, doc_id) as duplicate_of from h left join f using (h)"""),
+    Query("near_duplicates", _near, None),
+    Query("best_matches", _best, None),
+    Query("dedup_decisions", _decisions, DECIDE_SQL),
+    Query("dedup_stats", lambda t: dd.dedup_stats(_exact(t)), f"""with {EXACT_CTES} select count(*) as total, count(*) filter (where duplicate_of is null) as unique_docs,
+      count(duplicate_of) as duplicates, count(distinct duplicate_of) as originals_with_duplicates, count(duplicate_of)::double / count(*) as ratio from exact"""),
+    Query("duplicate_groups", _groups, f"""with {EXACT_CTES} select duplicate_of as original_id, count(*) as n_copies, sum(n_bytes)::bigint as bytes_saved, 1.0::double as mean_similarity
+      from exact where duplicate_of is not null group by all"""),
+    Query("earliest_by_name", _earliest, check_sql("blocks", "select arg_min(block_id, created_at) as block_id, title from blocks group by title")),
+    Query("block_duplicates", _block_dups, "with " + EMB_PAIRS.format(op="<") + """, h as (select vec_id, sha256(p_name) as h from embeddings left join part on vec_id = p_partkey)
+      select min(vec_id) over (partition by h) as a, vec_id as b, 1.0::double as sim, 'hash' as kind from h where h is not null qualify min(vec_id) over (partition by h) <> vec_id
+      union all select i, j, sim, 'cosine' from pairs join h a on a.vec_id = i join h b on b.vec_id = j where sim >= 0.35 and coalesce(a.h, '') <> coalesce(b.h, '')"""),
+    Query("merge_blocks", _merged, MERGE_SQL),
+    Query("repointed_sessions", _repointed, REPOINT_SQL),
+    Query("repointed_counts", _affected, check_sql("block_bodies reviews", f"""with {SESSION_CTES} select 'current' as kind, count(*) as affected from cur join m using (block_id) where survivor <> block_id
+      union all select 'completed', count(*) from done join m using (block_id) where survivor <> block_id union all select 'progress', count(*) from prog join m using (block_id) where survivor <> block_id""")),
+    Query("cloned_chunks", _cloned, check_sql("chunks", f"with {EXACT_CTES} select e.doc_id, chunk_order, word_count from chunks c join exact e on c.doc_id = e.duplicate_of")),
+    Query("cloned_blocks", _cloned_blocks, CLONE_SQL),
+    Query("consolidated_groups", _consolidated, check_sql("blocks", """select doc_id as group_id, count(*) as n_blocks, min(block_id) as first_block, least(sum(duration_s // 60), 25)::bigint as duration_min,
+      sha256(string_agg(chr(10) || chr(10) || 'From ''' || title || ''':' || chr(10) || repeat(title, 3) || chr(10), '' order by block_id)[1:2000]) as text_hash from blocks group by doc_id""")),
+    Query("consolidated_titles", _consolidated_titles, check_sql("blocks", "select doc_id as group_id, block_id, '[MIGRATED→' || sha256(doc_id::varchar)[1:8] || '] ' || title as title from blocks")),
+]

@@ -1 +1,267 @@
-QUERIES = []
+"""Knowledge-graph queries.  Nodes are the blocks that have an embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..derived import check_sql
+from ..operators import graph as gr
+from ..operators.body import body_fields
+from ..operators.similarity import dense_cosine_pairs
+from . import Query
+from .similarity import FREQ_CTES, _freq_pairs, q_components, q_pairs
+from .text import BODY_CTES
+
+
+def _blocks(t):
+    return t.blocks.join(t.embeddings.select(F.col("vec_id").alias("block_id")), "block_id", "left_semi")
+
+
+def _nodes(t):
+    return _blocks(t).select(F.col("block_id").alias("node"), F.col("block_id").alias("base"))
+
+
+NODES = "nodes as (select b.* from blocks b semi join embeddings on vec_id = block_id)"
+
+
+def _scored(edges):
+    """Edges with confidence and strength."""
+    c = F.col("similarity") * 0.8
+    return edges.withColumn("confidence", c).withColumn("strength", gr.edge_strength(c, F.col("similarity")))
+
+
+SCORED = """scored as (select src, dst, rel_type, similarity * 0.8::double as confidence, similarity,
+  similarity * 0.8::double * 0.7::double + similarity * 0.3::double as strength from {e})"""
+
+
+def _typed(pairs):
+    return gr.type_edges(pairs).withColumn("strength", gr.edge_strength(F.col("confidence"), F.col("similarity")))
+
+
+def q_typed(i: str, j: str, s: str) -> str:
+    conf = f"case when {s} >= 0.9 then least({s}, 0.95::double) when {s} >= 0.8 then {s} * 0.9::double else {s} * 0.8::double end"
+    return f"""{i} as src, {j} as dst, case when {s} >= 0.8 and {s} < 0.9 then 'builds_on' else 'related' end as rel_type,
+      {conf} as confidence, {s} as similarity, ({conf}) * 0.7::double + {s} * 0.3::double as strength"""
+
+
+def _chunk_edges(t):
+    key = lambda c: F.col("doc_id") * 100000 + F.col(c)
+    return _typed(_freq_pairs(t).select(key("i").alias("i"), key("j").alias("j"), "sim"))
+
+
+def _upserted(t):
+    existing = _scored(t.edges.where("rel_type = 'related'"))
+    return gr.upsert_edges(existing, gr.type_edges(dense_cosine_pairs(t.embeddings, 0.30)))
+
+
+def _closure(t):
+    return _upserted(t)[0]
+
+
+CLOSURE_CTES = f"""
+  old as (select src, dst, rel_type from edges where rel_type = 'related'),
+  {SCORED.format(e="edges where rel_type = 'related'")},
+  new as (select {q_typed('src', 'dst', 'similarity')} from edges),
+  both_ways as (select *, 0 as given from new union all select dst, src, rel_type, confidence, similarity, strength, 1 from new where rel_type = 'related'),
+  created as (select b.src, b.dst, b.rel_type, confidence, similarity, strength from (select *, row_number() over (partition by src, dst, rel_type order by given) as rn from both_ways) b
+    anti join old on b.src = old.src and b.dst = old.dst and b.rel_type = old.rel_type where rn = 1)"""
+
+
+def _rebuilt(t):
+    """Edges leaving the first twenty blocks' document are replaced, the others stay."""
+    docs = t.blocks.where("difficulty = 'beginner' and block_order = 0").select("doc_id").distinct()
+    existing = _scored(t.edges)
+    new = gr.type_edges(dense_cosine_pairs(t.embeddings, 0.35))
+    return gr.rebuild(existing, new, t.blocks, docs).select("src", "dst", "rel_type", "confidence")
+
+
+REBUILD_SQL = check_sql("edges blocks", f"""with {SCORED.format(e='edges')},
+  gone as (select block_id from blocks where doc_id in (select doc_id from blocks where difficulty = 'beginner' and block_order = 0)),
+  kept as (select * from scored where src not in (select block_id from gone)),
+  new as (select {q_typed('src', 'dst', 'similarity')} from edges where similarity >= 0.35),
+  both_ways as (select * from new union all select dst, src, rel_type, confidence, similarity, strength from new where rel_type = 'related')
+  select src, dst, rel_type, confidence from kept
+  union all select b.src, b.dst, b.rel_type, b.confidence from both_ways b anti join kept k on b.src = k.src and b.dst = k.dst and b.rel_type = k.rel_type""")
+
+
+def _summary(edges):
+    def run(t):
+        nodes = _nodes(t)
+        e = edges(t).join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+        s = gr.graph_summary(nodes.select("node"), e)
+        return s.withColumn("density", F.round("density", 8)).withColumn("mean_clustering", F.round("mean_clustering", 6))
+    return run
+
+
+def q_inside(edges: str, where: str = "true") -> str:
+    return f"e as (select distinct src, dst from {edges} where {where} and src in (select block_id from nodes) and dst in (select block_id from nodes))"
+
+
+def q_summary(edges: str) -> str:
+    return check_sql(f"{edges} blocks", f"""with {NODES}, {q_inside(edges)}, {q_components('e', 'select block_id as node from nodes')},
+  walk as (select src, dst from e union select w.src, e.dst from walk w join e on w.dst = e.src),
+  u as (select distinct least(src, dst) as a, greatest(src, dst) as b from e),
+  deg as (select node, count(*) as d from (select a as node from u union all select b from u) x group by node),
+  tri as (select x.a, x.b, y.b as c from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b),
+  tn as (select node, count(*) as t from (select a as node from tri union all select b from tri union all select c from tri) x group by node),
+  cl as (select sum(case when d > 1 then 2.0::double * coalesce(t, 0) / (d * (d - 1)) else 0 end) as s from deg left join tn using (node))
+  select (select count(*) from nodes) as n_nodes, (select count(*) from e) as n_edges,
+    round((select count(*) from e)::double / ((select count(*) from nodes) * ((select count(*) from nodes) - 1)), 8) as density,
+    (select count(distinct component) from comps) as n_weak_components, not exists (select 1 from walk where src = dst) as is_dag,
+    round((select s from cl) / (select count(*) from nodes), 6) as mean_clustering""", recursive=True)
+
+
+def q_topo(source: str, tail_order: str = "block_id") -> str:
+    """Layers by longest path outside cycles, places by the last predecessor, then the rest."""
+    return f"""
+  walk as (select src, dst from e union select w.src, e.dst from walk w join e on w.dst = e.src),
+  stuck as (select src as node from walk where src = dst union select w.dst from walk w where w.src in (select src from walk where src = dst)),
+  free as (select block_id as node from nodes where block_id not in (select node from stuck)),
+  fe as (select src, dst from e where dst in (select node from free)),
+  lp as (select node, 0 as d from free where node not in (select dst from fe) union select fe.dst, lp.d + 1 from lp join fe on fe.src = lp.node),
+  layers as (select node, max(d) as layer from lp group by node),
+  placed as (
+    select node, (row_number() over (order by node) - 1)::bigint as rank, 0 as layer from layers where layer = 0
+    union all
+    select node, (row_number() over (order by after, node) - 1)::bigint, layer from (
+      select fe.dst as node, max(p.rank) as after, any_value(l.layer) as layer from placed p join fe on fe.src = p.node join layers l on l.node = fe.dst and l.layer = p.layer + 1 group by fe.dst) x),
+  sized as (select layer, sum(count(*)) over (order by layer) - count(*) as off from placed group by layer),
+  topo as (select node, (rank + off)::bigint as pos, layer::bigint as layer from placed join sized using (layer)
+    union all select node, (select count(*) from placed) + row_number() over (order by {tail_order}) - 1, null from stuck join nodes on block_id = node)"""
+
+
+def _topo(edges):
+    def run(t):
+        return gr.topo_order(_nodes(t), edges(t).where("rel_type = 'prerequisite'").select("src", "dst").distinct())
+    return run
+
+
+RANK = "case difficulty when 'beginner' then 1 when 'intermediate' then 2 when 'advanced' then 3 else 2 end"
+
+
+def _study(t):
+    return gr.study_order(_blocks(t), t.edges_cyclic).select(F.col("node").alias("block_id"), "pos")
+
+
+STUDY_SQL = check_sql("edges_cyclic blocks", f"""with {NODES}, {q_inside('edges_cyclic', "rel_type in ('prerequisite', 'builds_on')")},
+  {q_topo('e', RANK + ', created_at, block_id')} select node as block_id, pos from topo""", recursive=True)
+
+
+def _cluster(sort):
+    def run(t):
+        return gr.cluster_order(_blocks(t), t.edges, sort).select("block_id", "pos", "cluster")
+    return run
+
+
+def q_cluster(by: str) -> str:
+    return check_sql("edges blocks", f"""with {NODES}, {q_inside('edges', "rel_type = 'related'")}, {q_components('e', 'select block_id as node from nodes')},
+  s as (select n.*, component, count(*) over (partition by component) = 1 as single from nodes n join comps on node = block_id)
+  select block_id, row_number() over (order by single, component, {by}, created_at, block_id) - 1 as pos, component as cluster from s""", recursive=True)
+
+
+def _paths(t):
+    blocks, parts = _blocks(t), None
+    for strategy in ("prerequisite_first", "difficulty_progression", "concept_clusters"):
+        totals = gr.path_totals(gr.study_paths(blocks, t.edges, strategy))
+        parts = totals if parts is None else parts.unionByName(totals)
+    return parts.withColumn("hours", F.round("hours", 6))
+
+
+PATHS_SQL = check_sql("edges blocks", f"""with {NODES}, {q_inside('edges')}, {q_components('e', 'select block_id as node from nodes')},
+  p as (select 'prerequisite_optimal' as path_id, duration_s from nodes
+    union all select 'difficulty_' || difficulty, duration_s from nodes
+    union all select 'cluster_' || component, duration_s from nodes join comps on node = block_id)
+  select path_id, count(*) as n_blocks, sum(duration_s)::bigint as total_duration, round(sum(duration_s) / 3600.0::double, 6) as hours from p group by path_id""", recursive=True)
+
+
+def _cyclic_paths(t):
+    return gr.study_paths(_blocks(t), t.edges_cyclic).select("path_id", "block_id", "duration_s")
+
+
+CYCLIC_PATHS_SQL = check_sql("edges_cyclic blocks", f"""with {NODES}, {q_inside('edges_cyclic')},
+  walk as (select src, dst from e union select w.src, e.dst from walk w join e on w.dst = e.src),
+  s as (select a.src as node, max(a.dst) as m from walk a join walk b on a.src = b.dst and a.dst = b.src group by a.src)
+  select 'component_' || greatest(block_id, coalesce(m, block_id)) as path_id, block_id, duration_s from nodes left join s on node = block_id""", recursive=True)
+
+
+def _metrics(t):
+    path = gr.difficulty_order(_blocks(t))
+    m = gr.path_metrics(path, t.blocks, t.edges)
+    return m.select("total_blocks", "study_days", *[F.round(c, 6).alias(c) for c in ("total_minutes", "prerequisite_satisfaction", "difficulty_progression", "concept_coherence")])
+
+
+METRICS_SQL = check_sql("edges blocks", f"""with {NODES},
+  p as (select *, row_number() over (order by {RANK}, created_at, block_id) - 1 as pos, {RANK} as d from nodes),
+  l as (select *, lead(d) over (order by pos) as dn, count(*) over () as n from p),
+  i as (select e.rel_type, a.pos as ps, b.pos as pd from edges e join p a on a.block_id = e.src join p b on b.block_id = e.dst),
+  r as (select 100.0::double * count(*) filter (where rel_type = 'prerequisite' and ps < pd) / count(*) filter (where rel_type = 'prerequisite') as met,
+      avg(((select count(*) from p) - 1 - abs(ps - pd))::double / ((select count(*) from p) - 1)) filter (where rel_type = 'related') * 100 as coh from i)
+  select count(*) as total_blocks, greatest(1, floor(sum(duration_s) / 60.0 / 90))::bigint as study_days, round(sum(duration_s) / 60.0::double, 6) as total_minutes,
+    round((select met from r), 6) as prerequisite_satisfaction, round(100.0::double * (count(*) - 1 - count(*) filter (where dn < d)) / (count(*) - 1), 6) as difficulty_progression,
+    round((select coh from r), 6) as concept_coherence from l""")
+
+
+def _known(t):
+    return t.reviews.where("rating = 5").select("block_id").distinct()
+
+
+def _adaptive(style):
+    def run(t):
+        return gr.adaptive_path(_blocks(t), _known(t), t.edges, style)
+    return run
+
+
+UNKNOWN = "nodes as (select b.* from blocks b semi join embeddings on vec_id = block_id where block_id not in (select block_id from reviews where rating = 5))"
+
+
+def _view_nodes(t):
+    return gr.graph_view_nodes(body_fields(t.block_bodies))
+
+
+VIEW_SQL = check_sql("block_bodies", f"""with {BODY_CTES},
+  r as (select block_id, count(*) as n, string_agg(coalesce(s->>'$.type', 'unknown'), ',' order by i) as roles from seg group by block_id)
+  select b.block_id, title, case difficulty when 'beginner' then 'foundational' when 'advanced' then 'advanced' else 'intermediate' end as category, coalesce(roles, '') as roles,
+    greatest(coalesce(n, 0), 1)::bigint as chunk_count, duration_s as estimated_duration, case when n > 0 then greatest(20, least(60, n * 10)) else 30 end::bigint as size_by_roles,
+    greatest(20, least(50, duration_s / 10.0))::double as size_by_duration from block_bodies b left join r using (block_id)""")
+
+_edges = lambda t: t.edges
+_cyclic = lambda t: t.edges_cyclic
+
+QUERIES = [
+    Query("embedding_edges", lambda t: _typed(dense_cosine_pairs(t.embeddings, 0.30)), check_sql("edges", f"select {q_typed('src', 'dst', 'similarity')} from edges")),
+    Query("chunk_edges", _chunk_edges, check_sql("chunks", f"with {FREQ_CTES} {q_pairs(0.6)} select {q_typed('doc_id * 100000 + i', 'doc_id * 100000 + j', 'sim')} from pairs")),
+    Query("edge_closure", _closure, check_sql("edges", f"with {CLOSURE_CTES} select * from scored union all select * from created")),
+    Query("edges_created", lambda t: _upserted(t)[1].groupBy("rel_type").agg(F.count("*").alias("n_created")),
+          check_sql("edges", f"with {CLOSURE_CTES} select rel_type, count(*) as n_created from created group by rel_type")),
+    Query("edge_rebuild", _rebuilt, REBUILD_SQL),
+    Query("strong_edges", lambda t: gr.drop_weak(_scored(t.edges)), check_sql("edges", f"with {SCORED.format(e='edges')} select * from scored where confidence >= 0.3")),
+    Query("fallback_edges", lambda t: gr.fallback_edges(dense_cosine_pairs(t.embeddings, 0.30)), check_sql("edges", "select src, dst, 'related' as rel_type, similarity as confidence, similarity from edges order by src, dst limit 5")),
+    Query("graph_summary", _summary(_edges), q_summary("edges")),
+    Query("graph_summary_cyclic", _summary(_cyclic), q_summary("edges_cyclic")),
+    Query("strong_components", lambda t: gr.scc(_nodes(t).select("node"), t.edges_cyclic.where("rel_type = 'prerequisite'")), check_sql("edges_cyclic blocks", f"""with {NODES}, {q_inside('edges_cyclic', "rel_type = 'prerequisite'")},
+      walk as (select src, dst from e union select w.src, e.dst from walk w join e on w.dst = e.src),
+      s as (select a.src as node, max(a.dst) as m from walk a join walk b on a.src = b.dst and a.dst = b.src group by a.src)
+      select block_id as node, greatest(block_id, coalesce(m, block_id)) as scc from nodes left join s on node = block_id""", recursive=True)),
+    Query("topo_order", _topo(_edges), check_sql("edges blocks", f"""with {NODES}, {q_inside('edges', "rel_type = 'prerequisite'")}, {q_topo('e')} select * from topo""", recursive=True)),
+    Query("topo_order_cyclic", _topo(_cyclic), check_sql("edges_cyclic blocks", f"""with {NODES}, {q_inside('edges_cyclic', "rel_type = 'prerequisite'")}, {q_topo('e')} select * from topo""", recursive=True)),
+    Query("study_order", _study, STUDY_SQL),
+    Query("difficulty_order", lambda t: gr.difficulty_order(t.blocks).drop("duration_s"), check_sql("blocks", f"""select block_id, row_number() over (order by {RANK}, created_at, block_id) - 1 as pos, difficulty,
+      row_number() over (partition by difficulty order by created_at, block_id) as order_in_level from blocks""")),
+    Query("cluster_order", _cluster("rank"), q_cluster(RANK)),
+    Query("cluster_order_by_name", _cluster("name"), q_cluster("difficulty")),
+    Query("study_path_totals", _paths, PATHS_SQL),
+    Query("cyclic_study_paths", _cyclic_paths, CYCLIC_PATHS_SQL),
+    Query("path_metrics", _metrics, METRICS_SQL),
+    Query("adaptive_path", _adaptive("comprehensive"), check_sql("edges blocks reviews", f"""with {UNKNOWN}, {q_inside('edges', "rel_type in ('prerequisite', 'builds_on')")}, {q_topo('e')}
+      select node as block_id, pos from topo""", recursive=True)),
+    Query("adaptive_path_deep", _adaptive("depth_first"), check_sql("edges blocks reviews", f"""with {UNKNOWN}, {q_inside('edges', "rel_type = 'related'")}, {q_components('e', 'select block_id as node from nodes')},
+      s as (select n.*, component, count(*) over (partition by component) = 1 as single from nodes n join comps on node = block_id)
+      select block_id, row_number() over (order by single, component, {RANK}, created_at, block_id) - 1 as pos from s""", recursive=True)),
+    Query("graph_view_nodes", _view_nodes, VIEW_SQL),
+    Query("graph_view_edges", lambda t: gr.graph_view_edges(_scored(t.edges)), check_sql("edges", f"with {SCORED.format(e='edges')} select src, dst, rel_type, greatest(1.0::double, strength * 5) as width, strength > 0.7 as strong from scored")),
+    Query("graph_view_totals", lambda t: gr.graph_view_totals(_scored(t.edges)).withColumn("mean_confidence", F.round("mean_confidence", 6)), check_sql("edges", f"""with {SCORED.format(e='edges')}
+      select rel_type, count(*) as n_edges, count(*) filter (where strength > 0.7) as n_strong, round(avg(confidence), 6) as mean_confidence from scored group by rel_type""")),
+    Query("block_neighbours", lambda t: gr.neighbours(t.edges, t.blocks.where("difficulty = 'advanced'")), check_sql("edges blocks", """
+      with a as (select block_id from blocks where difficulty = 'advanced') select src as block_id, dst as neighbour, rel_type, 'out' as direction from edges semi join a on block_id = src
+      union all select dst, src, rel_type, 'in' from edges semi join a on block_id = dst""")),
+]
