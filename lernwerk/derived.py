@@ -274,7 +274,71 @@ def _candidates(d: Dialect) -> str:
       join blocks b on b.doc_id = m.doc_id"""
 
 
+def _label_responses(d: Dialect) -> str:
+    full = '{"primary_label":"Proof","secondary_labels":["Code"],"confidence":0.8,"reasoning":"r","keywords":["k1","k2"],"concept_topic":"t"}'
+    return f"""
+      select event_id, case event_id % 6 when 0 then '{full}' when 1 then concat('```json', {d.nl}, '{full}', {d.nl}, '```')
+        when 2 then '{{"primary_label":"Nonsense","confidence":0.25,"reasoning":"r","keywords":[],"concept_topic":"t"}}'
+        when 3 then 'sorry, no JSON {{' when 4 then '{{"primary_label":"Proof","confidence":0.9}}' else concat('```', {d.nl}, '{full}', {d.nl}, '```') end as response
+      from {d.table('events')}"""
+
+
+def _time_responses(d: Dialect) -> str:
+    t = "cast(event_id % 30 as varchar(9))"
+    body = f"""concat('{{"reading_time":', {t}, ',"complexity_score":1.7,"cognitive_load":"high"}}')"""
+    return f"""
+      select event_id, case event_id % 5 when 0 then {body} when 1 then concat('```', {d.nl}, {body}, {d.nl}, '```')
+        when 2 then '{{"complexity_score":-0.2,"cognitive_load":"extreme"}}' when 3 then 'about five minutes'
+        else concat('```json', {d.nl}, '{{"reading_time":4,"complexity_score":0.25,"cognitive_load":"low"}}', {d.nl}, '```') end as response
+      from {d.table('events')}"""
+
+
+def _relation_batches(d: Dialect) -> str:
+    return f"select {d.div('event_id', '5')} as batch_id, event_id % 5 as idx, block_id * 1000 + user_id as block_id from reviews"
+
+
+def _relation_responses(d: Dialect) -> str:
+    body = (
+        '[{"from_block_index":0,"to_block_index":3,"relationship_type":"prerequisite","confidence":0.9},'
+        '{"from_block_index":1,"to_block_index":7,"relationship_type":"builds_on","confidence":0.95},'
+        '{"from_block_index":2,"to_block_index":4,"relationship_type":"related","confidence":0.5},'
+        '{"from_block_index":4,"to_block_index":1,"confidence":0.75}]'
+    )
+    return f"""
+      select batch_id, case batch_id % 3 when 0 then '{body}' when 1 then concat('```json', {d.nl}, '{body}', {d.nl}, '```') else 'none' end as response
+      from (select distinct batch_id from relation_batches) b"""
+
+
+def _card_batches(d: Dialect) -> str:
+    return f"""
+      select {d.div('p_partkey', '4')} as batch_id, p_partkey % 4 as pos, concat('What is ', p_name, '?') as question, p_type as answer, concat(p_brand, ' Notes') as context
+      from {d.table('part')}"""
+
+
+def _card_responses(d: Dialect) -> str:
+    item = '{"question":"Why?","answer":"Because","difficulty":"hard","tags":["x","y"]}'
+    return f"""
+      select batch_id, case batch_id % 4 when 0 then '[{item},{item},{item},{item}]' when 1 then '[{{"question":"Only this"}},{{"answer":"Only that","tags":["z"]}}]'
+        when 2 then 'no cards' else concat('```', {d.nl}, '[{item},{{}}]', {d.nl}, '```') end as response
+      from (select distinct batch_id from card_batches) b"""
+
+
+def _completions_map(d: Dialect) -> str:
+    entry = """concat('"', cast(block_id as varchar(20)), '":{"proficiency_rating":', cast(r as varchar(9)), ',"time_spent_seconds":', cast(t as varchar(20)), ',"notes":"n"}')"""
+    joined = f"array_join(array_sort(collect_list({entry})), ',')" if d.spark else f"string_agg({entry}, ',' order by block_id)"
+    return f"""
+      select user_id as session_id, concat('{{', {joined}, '}}') as completions
+      from (select user_id, block_id, max(rating) as r, sum(time_s) as t from reviews group by user_id, block_id) x group by user_id"""
+
+
 DERIVED = {
+    "label_responses": ((), _label_responses),
+    "time_responses": ((), _time_responses),
+    "relation_batches": (("reviews",), _relation_batches),
+    "relation_responses": (("relation_batches",), _relation_responses),
+    "card_batches": ((), _card_batches),
+    "card_responses": (("card_batches",), _card_responses),
+    "completions_map": (("reviews",), _completions_map),
     "blocks": ((), _blocks),
     "reviews": ((), _reviews),
     "attempt_events": ((), _attempt_events),

@@ -31,6 +31,20 @@ STATE_FIELDS = (
 
 # --- state update -----------------------------------------------------------------------------
 
+def step_sync(s: dict, rating: int, time_s: int, correct: int, total: int) -> None:
+    """Offline sync: a first report is stored as completed; later ones go through the day schedule."""
+    if s["review_count"] == 0:
+        s.update(status="completed", review_count=1, avg_rating=float(rating), time_s=s["time_s"] + time_s)
+    else:
+        step_day(s, rating, time_s, 0, 0)
+
+
+def step_sync_enhanced(s: dict, rating: int, time_s: int, correct: int, total: int) -> None:
+    """Offline sync, enhanced variant: every report goes through the day schedule and ends as completed."""
+    step_day(s, rating, time_s, 0, 0)
+    s["status"] = "completed"
+
+
 def fresh_state() -> dict:
     return {
         "status": "new", "review_count": 0, "lapses": 0, "time_s": 0, "avg_rating": None, "qa_score": None,
@@ -99,18 +113,26 @@ def step_block(s: dict, rating: int, time_s: int, correct: int, total: int) -> N
     _ease_after(s, rating)
 
 
-def _fold(reviews: DataFrame, step: Callable, first_review: str) -> DataFrame:
+STATE_NAMES = [f.split()[0] for f in STATE_FIELDS.split(", ")]
+_REVIEW = ["rating", "time_s", "qa_correct", "qa_total"]
+
+
+def fold_reviews(reviews: DataFrame, step: Callable, first_review: str = "new", initial: DataFrame | None = None) -> DataFrame:
     """State per (user_id, block_id) after all its reviews in (ts, event_id) order.
 
     The recurrence truncates and clamps, so it is sequential per key.  The rows are partitioned by key and
     sorted, and each task streams them in Arrow batches with one state carried over batch borders: memory
-    is one batch and one state, however long a key is, and no group is collected.
+    is one batch and one state, however long a key is, and no group is collected.  Stored states
+    (``initial``) enter the same sort in front of the reviews of their key.
     """
-    columns = ["user_id", "block_id", "ts", "event_id", "rating", "time_s", "qa_correct", "qa_total"]
-    ordered = (
-        reviews.select(*columns).repartition("user_id", "block_id").sortWithinPartitions("user_id", "block_id", "ts", "event_id")
-    )
-    names = [f.split()[0] for f in STATE_FIELDS.split(", ")]
+    keys = ["user_id", "block_id"]
+    rows = reviews.select(*keys, "ts", "event_id", *[F.col(c).cast("long").alias(c) for c in _REVIEW])
+    if initial is not None:
+        seeds = initial.select(*keys, F.col("last_reviewed_at").alias("ts"), *STATE_NAMES, F.lit(True).alias("seed"))
+        rows = rows.withColumn("seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    seeded = initial is not None
+    order = [*keys, *([F.desc("seed")] if seeded else []), "ts", "event_id"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*order)
 
     def start(rating: int) -> dict:
         s = fresh_state()
@@ -118,27 +140,33 @@ def _fold(reviews: DataFrame, step: Callable, first_review: str) -> DataFrame:
             s.update(status="completed", review_count=1, avg_rating=float(rating))
         return s
 
+    def stored(row: dict) -> dict:
+        s = {n: (None if pd.isna(row[n]) else row[n]) for n in STATE_NAMES}
+        return {n: int(v) if v is not None and n in ("review_count", "lapses", "time_s", "interval", "due_after_s") else v for n, v in s.items()}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, last = None, None, None
         for batch in batches:
             out = []
-            for user, block, ts, rating, time_s, correct, total in zip(
-                batch["user_id"].tolist(), batch["block_id"].tolist(), batch["ts"], batch["rating"].tolist(),
-                batch["time_s"].tolist(), batch["qa_correct"].tolist(), batch["qa_total"].tolist(),
-            ):
+            seeds = batch["seed"].tolist() if seeded else [False] * len(batch)
+            columns = [batch[c].tolist() for c in (*keys, *_REVIEW)]
+            times = list(batch["ts"])
+            for at, (user, block, rating, time_s, correct, total) in enumerate(zip(*columns)):
                 if key != (user, block):
                     if key is not None:
-                        out.append((*key, last, *[state[n] for n in names]))
-                    key, state = (user, block), start(rating)
-                step(state, rating, time_s, correct, total)
-                last = ts
+                        out.append((*key, last, *[state[n] for n in STATE_NAMES]))
+                    key = (user, block)
+                    state = stored(batch.iloc[at]) if seeds[at] else start(int(rating))
+                if not seeds[at]:
+                    step(state, int(rating), int(time_s), int(correct), int(total))
+                last = times[at]
             if out:
                 yield frame(out)
         if key is not None:
-            yield frame([(*key, last, *[state[n] for n in names])])
+            yield frame([(*key, last, *[state[n] for n in STATE_NAMES])])
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["user_id", "block_id", "last_reviewed_at", *names])
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=[*keys, "last_reviewed_at", *STATE_NAMES])
 
     kind = dict(reviews.dtypes)["ts"]
     return ordered.mapInPandas(run, f"user_id long, block_id long, last_reviewed_at {kind}, {STATE_FIELDS}")
@@ -146,14 +174,14 @@ def _fold(reviews: DataFrame, step: Callable, first_review: str) -> DataFrame:
 
 def day_state(reviews: DataFrame) -> DataFrame:
     """SRS1: state per learner and block on the day schedule."""
-    state = _fold(reviews, step_day, "new")
+    state = fold_reviews(reviews, step_day)
     due = F.col("last_reviewed_at") + F.make_dt_interval(secs=F.col("due_after_s").cast("decimal(18,6)"))
     return state.withColumn("next_due_at", due).drop("interval")
 
 
 def block_state(reviews: DataFrame, first_review: str = "learning") -> DataFrame:
     """SRS2: state on the block schedule; ``first_review="completed"`` seeds a first review as completed."""
-    state = _fold(reviews, step_block, first_review)
+    state = fold_reviews(reviews, step_block, first_review)
     return state.withColumnRenamed("interval", "next_due_after").drop("due_after_s").withColumn("studied_count", F.lit(0).cast("long"))
 
 

@@ -1 +1,122 @@
-QUERIES = []
+"""Flow and streaming queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..derived import check_sql
+from ..operators.body import body_fields
+from ..plans import flows as fw
+from ..session import ensure_checkpoint_dir
+from ..streaming import streams as st
+from . import Query
+from .chunking import CARD_CTES
+from .scheduling import STATE_OUT, q_fold
+from .similarity import STOPS
+from .text import FLAGSHIP_SQL
+
+
+def _folder(t) -> str:
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+
+
+def _events_stream(t):
+    """The events table as a stream of its file, with the review columns."""
+    schema = t.events.schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+
+
+def _reviews_stream(t):
+    e = _events_stream(t).withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return e.selectExpr(
+        "event_id", "user_id", "k * k div 100 as block_id", "1 + cents % 5 as rating", "cents % 600 as time_s", "ts", "event_id % 4 as qa_total", "greatest(event_id % 4 - event_id % 2, 0) as qa_correct")
+
+
+def _stream_states(t):
+    s = st.drain(st.review_states(_reviews_stream(t)), _folder(t))
+    return s.select("user_id", "block_id", "status", "review_count", "lapses", "time_s", *[F.round(c, 6).alias(c) for c in ("avg_rating", "qa_score", "ease", "stability")], F.col("interval").alias("next_due_after"))
+
+
+def _attempts_stream(t):
+    e = _events_stream(t).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.selectExpr(
+        "event_id", "user_id * 1000 + k * k div 100 as attempt_id", "case event_type when 'signup' then 'start' when 'view' then 'complete_segment' when 'click' then 'complete_segment' when 'error' then 'pause' else 'complete' end as action",
+        "event_id % 5 as segment_index", "cast(round(value * 100) as bigint) % 600 as time_s", "ts")
+
+
+def _shown(df):
+    return df.select("attempt_id", "status", F.array_join("segments", ",").alias("segments"), "study_s")
+
+
+ATTEMPT_SQL = check_sql("attempt_events", """select attempt_id, coalesce(arg_max(case action when 'start' then 'active' when 'pause' then 'paused' when 'complete' then 'completed' end, (ts, event_id)) filter (where action <> 'complete_segment'), 'active') as status,
+  coalesce(array_to_string(list_sort(list_distinct(list(segment_index) filter (where action = 'complete_segment'))), ','), '') as segments, arg_max(time_s, (ts, event_id)) filter (where action = 'complete') as study_s
+  from attempt_events group by attempt_id""")
+
+
+def _ingested(t):
+    folder = _folder(t)
+    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder).select("doc_id", "text")
+    st.ingest(docs, f"{folder}/known", f"{folder}/chunks").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))
+
+
+def _synced(t):
+    """Reports made of the reviews stream: some without a rating, some for unknown blocks."""
+    folder = _folder(t)
+    r = _reviews_stream(t).select(
+        F.col("event_id").cast("string").alias("report_id"), "user_id", F.when(F.col("event_id") % 17 == 0, -1).otherwise(F.col("block_id")).alias("block_id"),
+        F.when(F.col("event_id") % 13 != 0, F.col("rating")).cast("int").alias("proficiency_rating"), F.col("time_s").alias("time_spent_seconds"), F.col("ts").cast("timestamp").alias("completed_at"))
+    writer = st.merge_progress(r, t.blocks, f"{folder}/states", f"{folder}/bad", f"{folder}/counts", buckets=4)
+    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/counts").agg(F.sum("synced").alias("synced"), F.sum("errors").alias("errors"))
+
+
+def _new_since(t):
+    return st.new_since(t.blocks, "2024-01-02 12:00:00").select("block_id", "title")
+
+
+def _corpus(t):
+    return fw.corpus(t.paragraph_docs, stop_words=STOPS)
+
+
+def _communities(t):
+    return _corpus(t).parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum("n_chunks").alias("n_chunks"), F.sum("word_count").alias("n_words"))
+
+
+def _dedup(t):
+    names = t.part.select(F.col("p_partkey").alias("block_id"), F.sha2("p_name", 256).alias("content_hash"))
+    blocks = body_fields(t.block_bodies).select("block_id", "created_at", "objectives", "segments").join(names, "block_id").join(
+        t.embeddings.select(F.col("vec_id").alias("block_id"), "embedding"), "block_id")
+    survivors, _ = fw.with_dedup(blocks, 0.5)
+    return survivors.select("block_id", "n_merged", F.coalesce(F.size("segments"), F.lit(0)).alias("n_segments"), "total_duration")
+
+
+def _graph(t):
+    blocks = t.blocks.join(t.embeddings.select(F.col("vec_id").alias("block_id")), "block_id", "left_semi")
+    known = t.edges.where("rel_type = 'prerequisite'").selectExpr("src", "dst", "rel_type", "0.9D as confidence", "similarity", "0.8D as strength")
+    out = fw.with_graph(blocks, t.embeddings, known, 0.35)
+    return out["study_order"].select(F.col("node").alias("block_id"), "pos").join(out["cluster_order"].select("block_id", F.col("pos").alias("cluster_pos")), "block_id")
+
+
+def _concept_run(t):
+    run = fw.concept_flow(t.chunk_labels)
+    return run.optimized.select("doc_id", "bin_order", "n_units", "word_count", F.round("reading_min", 6).alias("reading_min"), "title")
+
+
+QUERIES = [
+    Query("stream_block_state", _stream_states, check_sql("reviews", f"with {q_fold()} {STATE_OUT}, round(stab_b, 6) as stability, iv as next_due_after from final", recursive=True)),
+    Query("stream_attempts", lambda t: _shown(st.drain(st.attempt_states(_attempts_stream(t)), _folder(t))), ATTEMPT_SQL),
+    Query("attempt_rows", lambda t: _shown(st.attempt_rows(t.attempt_events)), ATTEMPT_SQL),
+    Query("stream_ingest_totals", _ingested, FLAGSHIP_SQL),
+    Query("stream_progress_counts", _synced, check_sql("reviews", "select count(*) filter (where event_id % 13 <> 0 and event_id % 17 <> 0) as synced, count(*) filter (where event_id % 13 = 0 or event_id % 17 = 0) as errors from reviews")),
+    Query("new_since", _new_since, check_sql("blocks", "select block_id, title from blocks where created_at > timestamp '2024-01-02 12:00:00' order by created_at, block_id limit 100")),
+    Query("corpus_communities", _communities, None),
+    Query("corpus_run_report", lambda t: fw.run_report(t.documents, _corpus(t)), None),
+    Query("deduplicated_blocks", _dedup, None),
+    Query("graph_orders", _graph, None),
+    Query("markdown_cards", lambda t: fw.cards(t.markdown_docs.select("path", "content"))[1], check_sql("markdown_docs", "with " + CARD_CTES + " select content_type, count(*) as n_cards, count(distinct source_file) as n_files from cards group by content_type")),
+    Query("concept_run", _concept_run, None),
+]
