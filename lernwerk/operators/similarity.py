@@ -7,13 +7,14 @@ filter, exact); dense vectors meet in bounded tiles of a metric partitioning (ex
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import let
+from ..session import cut
 
 TILE = 1024          # rows per side of a tile
 MAX_PIVOTS = 1024    # cells of the metric partitioning
@@ -145,7 +146,7 @@ def dense_cosine_pairs(vecs: DataFrame, tau: float, id_col: str = "vec_id", vec_
     else:
         picked = unit.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
         pivots = np.array([row["v"] for row in picked])
-        homed = _assign(unit, pivots, math.sqrt(max(0.0, 2 - 2 * tau)) + 1e-6)
+        homed = cut(_assign(unit, pivots, math.sqrt(max(0.0, 2 - 2 * tau)) + 1e-6))
         counted = homed.where("home").groupBy("cell").count().collect()
         sizes = {row["cell"]: row["count"] for row in counted}
     n_blocks = F.coalesce(
@@ -176,27 +177,25 @@ def dense_cosine_pairs(vecs: DataFrame, tau: float, id_col: str = "vec_id", vec_
 
 
 def _assign(unit: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
-    """Home cell of every vector and the lower cells whose border lies within ``eps``."""
+    """(id, v, cell, home): every vector in its home cell and in the lower cells whose border lies within ``eps``."""
     gaps = np.sqrt(np.maximum(0.0, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1)))
-
-    def cells_of(column: pd.Series) -> pd.Series:
-        if len(column) == 0:
-            return pd.Series([], dtype=object)
-        x = _matrix(column)
-        far = np.maximum(0.0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T)
-        homes = far.argmin(1)
-        out = []
-        for row, home in enumerate(homes):
-            lower = np.arange(home)
-            gap = np.maximum(gaps[home, lower], 1e-12)
-            near = lower[(far[row, lower] - far[row, home]) / (2 * gap) <= eps]
-            out.append([int(home), *map(int, near)])
-        return pd.Series(out)
-
-    assigned = unit.select("id", "v", F.pandas_udf(cells_of, "array<int>")("v").alias("cells"))
-    return assigned.select("id", "v", F.posexplode("cells").alias("pos", "cell")).select(
-        "id", "v", "cell", (F.col("pos") == 0).alias("home")
-    )
+    lengths = (pivots * pivots).sum(1)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = _matrix(batch["v"])
+            far = np.maximum(0.0, (x * x).sum(1)[:, None] + lengths[None, :] - 2 * x @ pivots.T)
+            home = far.argmin(1)
+            own = far[np.arange(len(x)), home]
+            border = (far - own[:, None]) / (2 * np.maximum(gaps[home], 1e-12))
+            visits = (border <= eps) & (np.arange(len(pivots))[None, :] < home[:, None])
+            visits[np.arange(len(x)), home] = True
+            rows, cells = np.nonzero(visits)
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32"), "home": cells == home[rows]})
+
+    return unit.mapInPandas(place, "id long, v array<double>, cell int, home boolean")
 
 
 def nearest_existing(new: DataFrame, existing: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -19,8 +19,7 @@ from .text import FLAGSHIP_SQL
 
 
 def _folder(t) -> str:
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events_stream(t):

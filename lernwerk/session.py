@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,26 +22,32 @@ def local_session(cores: int | str = 8, app: str = "lernwerk", memory: str = "12
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.log.level", "ERROR")
-        # every round of an iterative operator writes one checkpoint; drop those nobody refers to
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; choose one only in local mode when it is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one is chosen only in local mode when it is unset."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the checkpoint folder and read it back.
+
+    The table survives lost executors and has no lineage.  Unlike a checkpointed plan it also carries no
+    inferred constraints, which multiply from round to round of an iterative operator, and it knows its
+    size, so later joins are planned on real numbers.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
