@@ -19,8 +19,8 @@ def test_normalize(spark):
 
 def test_repeated_lines(spark):
     keep = "this repeated line is content"
-    lines = ["Page 1", keep, "text"] * 4
-    assert one(spark, tx.drop_repeated_lines(F.col("t")), t="\n".join(lines)) == "\n".join([keep, "text"] * 4)
+    lines = ["Page 1", keep, "more text"] * 4
+    assert one(spark, tx.drop_repeated_lines(F.col("t")), t="\n".join(lines)) == "\n".join([keep, "more text"] * 4)
     nine = "\n".join(["7"] * 9)
     assert one(spark, tx.drop_repeated_lines(F.col("t")), t=nine) == nine
     thrice = "\n".join(["7"] * 3 + [f"line {i}" for i in range(9)])
