@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.common import let
 from ..functions.text import content_hash
-from ..session import cut
+from ..session import cut, spread
 from .communities import components
 from .similarity import dense_cosine_pairs
 
@@ -74,14 +74,14 @@ def near_duplicates(
     ]))
     keys = let(signature, lambda sig: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(
         b.alias("band"), F.xxhash64(F.slice(sig, b * rows + 1, rows)).alias("bucket"))))
-    buckets = cut(texts.select("rep", "len", F.explode(keys).alias("k")).select("rep", "len", "k.band", "k.bucket"))
+    buckets = cut(spread(texts).select("rep", "len", F.explode(keys).alias("k")).select("rep", "len", "k.band", "k.bucket"))
     busy = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     met = buckets.join(busy, ["band", "bucket"], "left_semi").select("rep", "len", "band", "bucket")
     left, right = met.toDF("a", "la", "band", "bucket"), met.toDF("b", "lb", "band", "bucket")
     long_enough = F.least("la", "lb") * 2 >= F.lit(threshold) * (F.col("la") + F.col("lb"))
     pairs = left.join(right, ["band", "bucket"]).where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
     named = texts.select("rep", "fp")
-    full = pairs.join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b")
+    full = spread(cut(pairs.join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b")))
 
     @F.pandas_udf("double")
     def ratio(newer: pd.Series, older: pd.Series) -> pd.Series:

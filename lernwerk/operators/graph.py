@@ -197,25 +197,22 @@ def topo_order(nodes: DataFrame, edges: DataFrame, append_cycles: bool = True, l
     known = base.select("node")
     live = cut(edges.select("src", "dst").join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
     waits = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("wait"))
-    state = cut(base.join(waits, "node", "left").withColumn("wait", F.coalesce("wait", F.lit(0))).select("node", "base", "wait"))
-    ready = state.where("wait = 0").select("node", "base", F.lit(0).cast("long").alias("after"))
-    rest = state.where("wait > 0")
+    rest = cut(base.join(waits, "node", "left").select(
+        "node", "base", F.coalesce("wait", F.lit(0)).alias("wait"), F.lit(0).cast("long").alias("after")))
     layers: list[DataFrame] = []
     offset = 0
     for layer in range(max_layers):
-        ready = cut(ready)
+        ready = rest.where("wait = 0").select("node", "base", "after")
         count = ready.count()
         if count == 0:
             break
-        ranked = cut(global_rank(ready, [F.col("after"), F.col("base"), F.col("node")], "rank", count))
+        ranked = global_rank(ready, [F.col("after"), F.col("base"), F.col("node")], "rank", count)
         layers.append(ranked.select("node", (F.col("rank") + offset).alias("pos"), F.lit(layer).cast("long").alias("layer")))
         offset += count
         met = live.join(ranked.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.count("*").alias("n"), F.max("rank").alias("after"))
-        rest = cut(rest.select("node", "base", "wait").join(met, "node", "left").select(
-            "node", "base", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait"), "after"))
-        ready = rest.where("wait = 0").select("node", "base", F.coalesce("after", F.lit(0)).alias("after"))
-        rest = rest.where("wait > 0")
+            F.count("*").alias("n"), F.max("rank").alias("last"))
+        rest = cut(rest.where("wait > 0").join(met, "node", "left").select(
+            "node", "base", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait"), F.coalesce("last", "after").alias("after")))
     else:
         raise RuntimeError(f"more than {max_layers} layers")
     if append_cycles:
