@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import spread
+from .session import cut, spread
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -398,7 +398,7 @@ class Tables:
         if name == "edges":
             from .operators.similarity import dense_cosine_pairs
 
-            return edges_of(dense_cosine_pairs(self.embeddings, EDGE_TAU))
+            return cut(edges_of(dense_cosine_pairs(self.embeddings, EDGE_TAU)))
         if name not in DERIVED:
             raise AttributeError(name)
         needs, build = DERIVED[name]
