@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, lines, minhash, mixing, quality
 
-MODULES = (minhash,)
+MODULES = (minhash, quality, mixing, bpe, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
