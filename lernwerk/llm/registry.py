@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, minhash, mixing, quality
+from . import bpe, lines, minhash, mixing, pii, quality
 
-MODULES = (minhash, quality, mixing, bpe, lines)
+MODULES = (minhash, pii, quality, mixing, bpe, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
