@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, minhash, mixing, pii, quality
+from . import bpe, lines, minhash, mixing, pii, quality, topk, toxicity
 
-MODULES = (minhash, pii, quality, mixing, bpe, lines)
+MODULES = (toxicity, minhash, pii, quality, mixing, topk, bpe, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
