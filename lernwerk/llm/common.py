@@ -52,6 +52,12 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``gone``; its own columns stay aside, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("row_key"))
+    return rows.join(small(gone), "row_key", "left_anti").select("row.*")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -165,18 +165,18 @@ def _cleaner(find, names, min_chars, with_text):
     return run
 
 
-def without_lines(docs: DataFrame, frequent: DataFrame, shared: Shared, min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
+def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS, with_text: bool = True, most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows without the lines whose keys are in ``frequent``.
 
     With ``with_text`` the columns of ``docs``, text replaced (a null text stays null); else doc_id, n_lines,
-    n_dropped and kept_sha256.  Up to ``BROADCAST_ROWS`` frequent keys go to every task as one sorted array; with more
+    n_dropped and kept_sha256.  Up to ``most`` frequent keys go to every task as one sorted array; with more
     of them the keys of each document meet them in a join, and the document gets the list of its own.
     """
     spark = docs.sparkSession
     columns = docs.columns if with_text else ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
     schema = docs.schema if with_text else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
     source = docs if with_text else docs.select(F.col("doc_id").cast("long"), "text")
-    if frequent.count() <= BROADCAST_ROWS:
+    if frequent.count() <= most:
         known = spark.sparkContext.broadcast(np.sort(frequent.toPandas()["key"].to_numpy(np.int64)))
 
         def find(batch, first, last, key, at):
@@ -186,12 +186,14 @@ def without_lines(docs: DataFrame, frequent: DataFrame, shared: Shared, min_char
     else:
         own = docs.select(row_key().alias("row_key"), "text").mapInArrow(_keys_of(min_chars), "row_key long, key long")
         lists = own.join(frequent, "key").groupBy("row_key").agg(F.collect_set("key").alias("gone_keys"))  # no more than a document's lines
-        source = source.withColumn("row_key", row_key()).join(lists, "row_key", "left")
+        extra = "gone_keys" + "_" * max(map(len, source.columns))  # no column's name
+        rows = source.select(F.struct("*").alias("row"), row_key().alias("row_key")).join(lists, "row_key", "left")
+        source = rows.select("row.*", F.col("gone_keys").alias(extra))
 
         def find(batch, first, last, key, at):
             out = np.zeros(len(key), bool)
             for i in range(last - first):
-                gone = batch.column("gone_keys")[first + i].as_py()
+                gone = batch.column(extra)[first + i].as_py()
                 if gone:
                     out[at[i]:at[i + 1]] = np.isin(key[at[i]:at[i + 1]], np.array(gone, np.int64))
             return out
@@ -212,13 +214,13 @@ def _keys_of(min_chars):
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs, shared = documents(spark, folder), Shared(spark)
-    return without_lines(docs, frequent_keys(docs, shared), shared, with_text=False)
+    return without_lines(docs, frequent_keys(docs, shared), with_text=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents without their frequent lines."""
     shared = Shared(spark)
-    return without_lines(docs, frequent_keys(docs, shared), shared)
+    return without_lines(docs, frequent_keys(docs, shared))
 
 
 QUERIES = {"op9_line_dedup": op9_line_dedup}

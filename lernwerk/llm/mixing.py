@@ -35,10 +35,10 @@ def _words(text: Column) -> Column:
 
 
 def labelled(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens and mix_draw (uniform in 0..1, from the row itself)."""
+    """row (all columns), mix_source, mix_lang, mix_topic, mix_tokens and mix_draw (uniform in 0..1, from the row itself)."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
-    return docs.withColumn("mix_words", _words(F.col("text"))).select(
-        *docs.columns, none("source").alias("mix_source"), none("lang").alias("mix_lang"),
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang", _words(F.col("text")).alias("mix_words")).select(
+        "row", none("source").alias("mix_source"), none("lang").alias("mix_lang"),
         F.coalesce(F.pmod("mix_words.least", F.lit(topics)), F.lit(0)).cast("long").alias("mix_topic"),
         F.col("mix_words.n_tokens").alias("mix_tokens"),
         (F.pmod(F.xxhash64(row_key(), F.lit(SEED)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("mix_draw"),
@@ -105,10 +105,10 @@ def drawn(rows: DataFrame, cells: DataFrame) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and kept of every document."""
     shared = Shared(spark)
-    rows = shared.put(labelled(documents(spark, folder)).drop("text"))
+    rows = shared.put(labelled(documents(spark, folder)).withColumn("doc_id", F.col("row.doc_id").cast("long")).drop("row"))
     cells = calibrated(shared.put(cells_of(rows)), shared)
     return drawn(rows, cells).select(
-        F.col("doc_id").cast("long"), F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("n_tokens"), "weight", "probability", "kept",
     )
 
@@ -118,7 +118,7 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     shared = Shared(spark)
     rows = labelled(docs)
     cells = calibrated(shared.put(cells_of(rows)), shared)
-    return drawn(rows, cells).where("kept").select(*docs.columns)
+    return drawn(rows, cells).where("kept").select("row.*")
 
 
 QUERIES = {"op6_mixing": op6_mixing}

@@ -31,7 +31,7 @@ WIDTH = 8
 WINDOW = 8
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 8_000
-ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 4096, 0.6
+ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 3, 150, 4096, 0.6
 THRESHOLD = 0.3
 HELD_OUT = 2  # of crc32(doc_id) mod 4
 
@@ -163,10 +163,12 @@ def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float,
         rng = np.random.default_rng(turn)
         positive = max(1, int(y[use].sum()))
         balance = min(20.0, max(1.0, (len(use) - positive) / positive * 0.5))
-        for _ in range(EPOCHS):
+        # small samples take smaller steps and more turns
+        size = min(BATCH, max(128, len(use) // 32))
+        for _ in range(max(EPOCHS, STEPS * size // len(use))):
             order = rng.permutation(use)
-            for at in range(0, len(order), BATCH):
-                part = order[at:at + BATCH]
+            for at in range(0, len(order), size):
+                part = order[at:at + size]
                 model.step(*bags.take(part), y[part], np.where(y[part] == 1, balance, 1.0).astype(np.float32))
         table, bias = model.table()
         z = np.add.reduceat(table[bags.ids], bags.begin) / bags.size + bias
