@@ -114,10 +114,11 @@ def content_hash(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("")).otherwise(F.sha2(text, 256))
 
 
-def fingerprint(cleaned: Column, sentences: int = 50, length: int = 1000) -> Column:
-    """TXT8: head of a cleaned text, re-joined at full stops."""
-    head = F.array_join(F.slice(F.split(cleaned, r"\."), 1, sentences), ". ")
-    return F.substring(head, 1, length)
+def fingerprint(cleaned: Column, sentences: int | None = None, length: int | None = None) -> Column:
+    """TXT8: a cleaned text re-joined at full stops; with ``sentences`` or ``length`` only its head."""
+    parts = F.split(cleaned, r"\.")
+    text = F.array_join(parts if sentences is None else F.slice(parts, 1, sentences), ". ")
+    return text if length is None else F.substring(text, 1, length)
 
 
 def size_display(n_bytes: Column) -> Column:
@@ -144,7 +145,7 @@ def strip_tags(c: Column) -> Column:
 
 # --- block texts (columns: title, objectives array, segments array<struct>) -------------------
 
-def embedding_text(title: Column, objectives: Column, segments: Column, cap: int = 8000) -> Column:
+def embedding_text(title: Column, objectives: Column, segments: Column, cap: int | None = None) -> Column:
     """TXT10: one text per block from title, objectives, tag-free content and question/answer pairs."""
     def part(s: Column) -> Column:
         question, answer = F.coalesce(s["question"], F.lit("")), F.coalesce(s["answer"], F.lit(""))
@@ -157,16 +158,17 @@ def embedding_text(title: Column, objectives: Column, segments: Column, cap: int
     goals = F.when(F.size(objectives) > 0, F.concat(F.lit("Objectives: "), F.array_join(objectives, " ")))
     body = F.filter(F.transform(segments, part), lambda x: x.isNotNull())
     full = F.array_join(F.concat(F.array_compact(F.array(head, goals)), F.coalesce(body, F.array().cast("array<string>"))), " ")
-    return preview(full, cap)
+    return full if cap is None else preview(full, cap)
 
 
-def relation_text(title: Column, objectives: Column, segments: Column, part: int = 200) -> Column:
-    """TXT11: title, the first ``part`` characters of each content and explanation, objectives."""
+def relation_text(title: Column, objectives: Column, segments: Column, part: int | None = None) -> Column:
+    """TXT11: title, each content and explanation (or its first ``part`` characters), objectives."""
+    head = (lambda c: c) if part is None else (lambda c: F.substring(c, 1, part))
     cuts = F.flatten(
         F.transform(
             segments,
             lambda s: F.array_compact(
-                F.array(F.substring(s["content"], 1, part), F.substring(s["explanation"], 1, part))
+                F.array(head(s["content"]), head(s["explanation"]))
             ),
         )
     )
@@ -174,19 +176,22 @@ def relation_text(title: Column, objectives: Column, segments: Column, part: int
     return F.array_join(F.concat(F.array(title), F.coalesce(cuts, none), F.coalesce(objectives, none)), " ")
 
 
-def key_concepts(objectives: Column, segments: Column, per_segment: int = 3, cap: int = 10) -> Column:
-    """TXT12: objectives, segment titles and capitalised runs; distinct in first-seen order."""
+def key_concepts(objectives: Column, segments: Column, per_segment: int | None = None, cap: int | None = None) -> Column:
+    """TXT12: objectives, segment titles and capitalised runs; distinct in first-seen order.
+
+    ``per_segment`` and ``cap`` keep only so many runs of a segment and terms of a block."""
     def terms(s: Column) -> Column:
         runs = F.regexp_extract_all(
             F.coalesce(strip_tags(s["content"]), F.lit("")),
             F.lit(rf"(?U)\b[A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*\b"), F.lit(0),
         )
         titles = F.filter(F.array(s["title"]), lambda t: t.isNotNull() & (t != ""))
-        return F.concat(titles, F.slice(runs, 1, per_segment))
+        return F.concat(titles, runs if per_segment is None else F.slice(runs, 1, per_segment))
 
     none = F.array().cast("array<string>")
     found = F.coalesce(F.flatten(F.transform(segments, terms)), none)
-    return F.slice(F.array_distinct(F.concat(F.coalesce(objectives, none), found)), 1, cap)
+    terms_ = F.array_distinct(F.concat(F.coalesce(objectives, none), found))
+    return terms_ if cap is None else F.slice(terms_, 1, cap)
 
 
 # --- titles -----------------------------------------------------------------------------------

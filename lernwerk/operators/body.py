@@ -225,13 +225,13 @@ def inspect_body(blocks: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def merge_card_responses(batches: DataFrame, responses: DataFrame, drop_unanswered: bool = True) -> DataFrame:
+def merge_card_responses(batches: DataFrame, responses: DataFrame, drop_unanswered: bool = False) -> DataFrame:
     """JSN10: cards improved by a response array, matched to their batch by position.
 
     ``batches(batch_id, pos, question, answer, context)``; ``responses(batch_id, response)``.  A field
     missing in the response keeps the card's value.  A malformed response leaves basic cards for the
-    whole batch.  A well-formed response shorter than its batch drops the rest of the batch unless
-    ``drop_unanswered`` is false, in which case those cards stay as basic cards.
+    whole batch.  Cards that a well-formed response does not reach stay as basic cards;
+    ``drop_unanswered`` drops them.
     """
     item = "array<struct<question:string,answer:string,difficulty:string,tags:array<string>>>"
     text = strip_fences(F.col("response"), bare=True)

@@ -105,8 +105,11 @@ def groups_of(items: Column, starts: Column) -> Column:
     ))
 
 
-def pack_paragraphs(docs: DataFrame, lo: int = 100, hi: int = 800) -> DataFrame:
-    """CHK3: paragraphs packed into chunks of ``lo`` to ``hi`` words; a trailing chunk below ``lo`` is dropped."""
+def pack_paragraphs(docs: DataFrame, lo: int = 100, hi: int = 800, keep_tail: bool = True) -> DataFrame:
+    """CHK3: paragraphs packed into chunks of ``lo`` to ``hi`` words.
+
+    A trailing chunk below ``lo``, or a whole document below it, stays a chunk; without ``keep_tail`` it is dropped.
+    """
     sized = docs.select("doc_id", F.transform(
         paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.size(words(p)).alias("n"))
     ).alias("ps"))
@@ -118,7 +121,7 @@ def pack_paragraphs(docs: DataFrame, lo: int = 100, hi: int = 800) -> DataFrame:
         F.array_join(F.transform("g", lambda p: p["text"]), "\n\n").alias("chunk_text"),
         F.aggregate("g", F.lit(0).cast("long"), lambda acc, p: acc + p["n"]).alias("word_count"),
     )
-    return rows.where(F.col("word_count") >= lo)
+    return rows if keep_tail else rows.where(F.col("word_count") >= lo)
 
 
 def split_large(communities: DataFrame, words_limit: int = 1500, chunk_limit: int = 6, cap: int = 800) -> DataFrame:
@@ -154,7 +157,7 @@ def split_even(groups: DataFrame, max_groups: int = 4, single: int = 3) -> DataF
 # --- markdown ---------------------------------------------------------------------------------
 
 
-def markdown_sections(files: DataFrame, compat: bool = True) -> DataFrame:
+def markdown_sections(files: DataFrame, compat: bool = False) -> DataFrame:
     """CHK6: sections of markdown files as (path, section_order, heading, level, content, content_type).
 
     ``compat`` keeps two quirks: text before the first heading is lost, and the body of the last section
@@ -228,7 +231,7 @@ def card_candidates(sections: DataFrame) -> DataFrame:
     )
 
 
-def folder_cards(files: DataFrame, compat: bool = True) -> DataFrame:
+def folder_cards(files: DataFrame, compat: bool = False) -> DataFrame:
     """CHK8: all card candidates of a folder of markdown files; narrow from scan to cards."""
     return card_candidates(markdown_sections(files, compat))
 

@@ -323,15 +323,17 @@ def dynamic_sequence(master: DataFrame, states: DataFrame, completed: DataFrame)
     return both.select(*keys, "type", place.cast("long").alias("position"))
 
 
-def interleave(new: DataFrame, review: DataFrame, total: int = 50) -> DataFrame:
-    """SRS10: three new blocks, then one review, cut at ``total``.
+def interleave(new: DataFrame, review: DataFrame, total: int | None = None) -> DataFrame:
+    """SRS10: three new blocks, then one review; all of them, or the first ``total``.
 
     ``new(user_id, block_id, master_pos)``; ``review(user_id, block_id, blocks_until_due, master_pos)`` in
-    order of urgency.  Closed form on ranks; only the first ``total`` of each side can appear, so the
-    ranks come from a group limit.
+    order of urgency.  Closed form on ranks; with ``total`` only the first so many of each side can appear,
+    so the ranks come from a group limit.
     """
-    n = new.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("master_pos")) - 1).where(F.col("k") < total)
-    r = review.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("blocks_until_due", "master_pos")) - 1).where(F.col("k") < total)
+    n = new.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("master_pos")) - 1)
+    r = review.withColumn("k", F.row_number().over(W.partitionBy("user_id").orderBy("blocks_until_due", "master_pos")) - 1)
+    if total is not None:
+        n, r = n.where(F.col("k") < total), r.where(F.col("k") < total)
     n_new = n.groupBy("user_id").agg(F.count("*").alias("n_new"))
     n_rev = r.groupBy("user_id").agg(F.count("*").alias("n_rev"))
     a = n.join(n_rev, "user_id", "left").select(
@@ -340,7 +342,9 @@ def interleave(new: DataFrame, review: DataFrame, total: int = 50) -> DataFrame:
     b = r.join(n_new, "user_id", "left").select(
         "user_id", "block_id", F.lit("review").alias("type"),
         (F.col("k") + F.least(3 * (F.col("k") + 1), F.coalesce("n_new", F.lit(0)))).alias("at"))
-    both = a.unionByName(b).where(F.col("at") < total)
+    both = a.unionByName(b)
+    if total is not None:
+        both = both.where(F.col("at") < total)
     return both.select("user_id", "block_id", "type", (F.col("at") + 1).cast("long").alias("position"))
 
 

@@ -35,8 +35,7 @@ def _terms(text: Column, stop_words: list[str]) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
     kept = F.filter(tokens, lambda w: F.length(w) > 1)
     if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        kept = F.filter(kept, lambda w: ~F.array_contains(stops, w))
+        kept = F.filter(kept, lambda w: ~w.isin(*stop_words))
 
     def with_pairs(ws: Column) -> Column:
         pairs = F.transform(F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(F.get(ws, i), F.lit(" "), w))
@@ -45,12 +44,13 @@ def _terms(text: Column, stop_words: list[str]) -> Column:
     return let(kept, with_pairs)
 
 
-def tfidf(chunks: DataFrame, max_features: int = 1000, max_df: float = 0.8, stop_words: Iterable[str] | None = None) -> DataFrame:
+def tfidf(chunks: DataFrame, max_features: int | None = None, max_df: float = 0.8, stop_words: Iterable[str] | None = None) -> DataFrame:
     """SIM1: (doc_id, chunk, term, w) over unigrams and bigrams, each document being its own corpus.
 
     ``chunks(doc_id, chunk, text)``.  ``stop_words`` defaults to Spark's English list.  The rows are
     partitioned by document once; term counts, document frequency, the vocabulary cut and the norms are
-    all windows on that partitioning.  Ties at the vocabulary cut go to the alphabetically first term.
+    all windows on that partitioning.  ``max_features`` keeps a document's most frequent terms only; ties at
+    that cut go to the alphabetically first term.
     """
     if stop_words is None:
         from pyspark.ml.feature import StopWordsRemover
@@ -64,8 +64,10 @@ def tfidf(chunks: DataFrame, max_features: int = 1000, max_df: float = 0.8, stop
     term = W.partitionBy("doc_id", "term")
     counted = tf.withColumn("df", F.count("*").over(term)).withColumn("cf", F.sum("tf").over(term))
     common = counted.where(F.col("df") <= F.lit(max_df) * F.col("n"))
-    ranked = common.withColumn("r", F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("cf"), "term")))
-    raw = ranked.where(F.col("r") <= max_features).withColumn(
+    if max_features is not None:
+        rank = F.dense_rank().over(W.partitionBy("doc_id").orderBy(F.desc("cf"), "term"))
+        common = common.withColumn("r", rank).where(F.col("r") <= max_features)
+    raw = common.withColumn(
         "x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
     )
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("doc_id", "chunk")))

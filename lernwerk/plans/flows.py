@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import clean_text, content_hash
 from ..operators import chunking, communities, concepts, dedup, graph, similarity
@@ -68,7 +68,7 @@ def with_graph(blocks: DataFrame, vectors: DataFrame, known_edges: DataFrame, ta
     }
 
 
-def cards(files: DataFrame, compat: bool = True) -> tuple[DataFrame, DataFrame]:
+def cards(files: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """PIP4: (basic cards, counts per content type) of markdown files."""
     rows = chunking.basic_cards(chunking.folder_cards(files, compat))
     return rows, chunking.cards_by_type(rows)
@@ -99,7 +99,8 @@ def concept_flow(labels: DataFrame, responses: DataFrame | None = None) -> Conce
     """PIP6: labels -> units -> reading time -> split and bin -> merged units -> revision unit.
 
     ``responses(doc_id, concept_order, reading_min, complexity, load)`` win over the rule-based time.
-    Over-long units are halved first; parts and short units then bin in document order.
+    Whole units bin in document order.  An over-long unit is a bin of its own; it is then halved, and its
+    parts stay apart.  Bins and parts are numbered in document order.
     """
     units = concepts.reading_time(concepts.concept_units(concepts.concept_groups(labels)))
     if responses is None:
@@ -110,13 +111,15 @@ def concept_flow(labels: DataFrame, responses: DataFrame | None = None) -> Conce
             "complexity", F.coalesce("complexity", F.lit(0.5))).withColumn("load", F.coalesce("load", F.lit("medium"))).drop("_m")
     timed = cut(timed)
     words = F.col("word_count") / F.size("chunk_orders")
+    bins = cut(concepts.bin_by_time(timed.select("doc_id", "concept_order", "reading_min")).drop("reading_min"))
     parts = concepts.split_long(timed.select("doc_id", "concept_order", "reading_min", "chunk_orders", "chunk_labels"))
     rest = timed.select("doc_id", "concept_order", "title", "labels", "complexity", "load", words.alias("_w"))
-    pieces = parts.join(rest, ["doc_id", "concept_order"]).select(
-        "doc_id", (F.col("concept_order") * 1000 + F.col("part")).alias("concept_order"), "title", "labels", "complexity", "load",
-        F.round(F.col("_w") * F.size("chunk_orders")).cast("long").alias("word_count"), "reading_min", "chunk_orders")
-    pieces = cut(pieces)
-    bins = concepts.bin_by_time(pieces.select("doc_id", "concept_order", "reading_min")).drop("reading_min", "needs_split")
-    optimized = concepts.merge_units(pieces.join(bins, ["doc_id", "concept_order"]))
+    pieces = parts.join(rest, ["doc_id", "concept_order"]).join(bins, ["doc_id", "concept_order"])
+    # a unit that needs no split is one part, so (bin, part) orders bins and the parts of split units alike
+    at = F.dense_rank().over(W.partitionBy("doc_id").orderBy("bin_order", "part"))
+    pieces = cut(pieces.select(
+        "doc_id", "concept_order", at.cast("long").alias("bin_order"), "title", "labels", "complexity", "load",
+        F.round(F.col("_w") * F.size("chunk_orders")).cast("long").alias("word_count"), "reading_min", "chunk_orders"))
+    optimized = concepts.merge_units(pieces)
     keyed = optimized.select("doc_id", F.col("bin_order").alias("concept_order"), "labels", F.array().cast("array<string>").alias("keywords"))
     return ConceptRun(timed, optimized, concepts.related_prior(keyed))

@@ -112,15 +112,18 @@ INSPECT_SQL = check_sql("block_bodies", f"""with {BODY_CTES}, q as (select *, {Q
     case when length(j->>'$.core.goal') > 50 then (j->>'$.core.goal')[1:50] || '...' else coalesce(j->>'$.core.goal', '') end as goal_preview from q""")
 
 
-def _cards(t):
-    m = bd.merge_card_responses(t.card_batches, t.card_responses)
-    return m.withColumn("tags", F.array_join("tags", ","))
+def _cards(drop: bool):
+    def run(t):
+        m = bd.merge_card_responses(t.card_batches, t.card_responses, drop)
+        return m.withColumn("tags", F.array_join("tags", ","))
+    return run
 
 
-CARD_SQL = check_sql("card_responses card_batches", f"""with j as (select batch_id, case when json_valid({q_fence('response', True)}) then cast({q_fence('response', True)} as json) end as j from card_responses),
+def q_cards(where: str) -> str:
+    return check_sql("card_responses card_batches", f"""with j as (select batch_id, case when json_valid({q_fence('response', True)}) then cast({q_fence('response', True)} as json) end as j from card_responses),
   c as (select b.*, j, j->('$[' || pos || ']') as r from card_batches b join j using (batch_id))
   select batch_id, pos, coalesce(r->>'$.question', question) as question, coalesce(r->>'$.answer', answer) as answer, context, coalesce(r->>'$.difficulty', 'medium') as difficulty,
-    case when r is null then replace(lower(context), ' ', '_') else coalesce(array_to_string(cast(r->'$.tags' as varchar[]), ','), '') end as tags, r is not null as improved from c where j is null or r is not null""")
+    case when r is null then replace(lower(context), ' ', '_') else coalesce(array_to_string(cast(r->'$.tags' as varchar[]), ','), '') end as tags, r is not null as improved from c {where}""")
 
 
 def _exploded(t):
@@ -140,5 +143,6 @@ QUERIES = [
     Query("completions_exploded", _exploded, check_sql("reviews", "select user_id as session_id, block_id, max(rating) as rating, sum(time_s)::bigint as time_s, 'n' as notes from reviews group by all")),
     Query("relations_parsed", _relations, RELATION_SQL),
     Query("bodies_inspected", _inspected, INSPECT_SQL),
-    Query("cards_merged", _cards, CARD_SQL),
+    Query("cards_merged", _cards(False), q_cards("")),
+    Query("cards_merged_answered", _cards(True), q_cards("where j is null or r is not null")),
 ]

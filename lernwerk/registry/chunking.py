@@ -56,7 +56,7 @@ PARAGRAPH_CTES = f"""
       f.g + case when f.total + w.n > 800 and f.total >= 100 then 1 else 0 end
     from fold f join pw w on w.doc_id = f.doc_id and w.i = f.i + 1),
   packed as (select doc_id, g::bigint as chunk_order, sum(n)::bigint as word_count, string_agg(p, chr(10) || chr(10) order by i) as chunk_text
-             from fold join pw using (doc_id, i) group by doc_id, g having sum(n) >= 100)"""
+             from fold join pw using (doc_id, i) group by doc_id, g)"""
 PARAGRAPH_SQL = check_sql("paragraph_docs", f"""with {PARAGRAPH_CTES}
   select doc_id, chunk_order, word_count, sha256(chunk_text) as text_hash from packed""", recursive=True)
 
@@ -137,7 +137,7 @@ def _cards(t):
         "original_hash", F.sha2("original_content", 256)).drop("answer", "original_content")
 
 
-CARD_CTES = q_sections(True) + rf""",
+CARD_CTES = q_sections(False) + rf""",
   defs as (select path, section_order, generate_subscripts(q, 1) - 1 as card_order, 'What is ' || unnest(q) || '?' as question, {q_strip('unnest(a)')} as answer, heading, content, content_type
            from (select *, regexp_extract_all(content, '\*\*([^*]+)\*\*:\s*([^\n]+)', 1) as q, regexp_extract_all(content, '\*\*([^*]+)\*\*:\s*([^\n]+)', 2) as a from sections where content_type = 'definition') x),
   lists as (select path, section_order, 0 as card_order, 'List the main points about ' || heading as question,

@@ -29,7 +29,7 @@ def _owned(t):
 
 def _fingerprints(t):
     cleaned = t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("c"))
-    return cleaned.select("doc_id", F.length("c").alias("n_chars"), tx.fingerprint(F.col("c")).alias("fingerprint"))
+    return cleaned.select("doc_id", F.length("c").alias("n_chars"), tx.fingerprint(F.col("c"), 50, 1000).alias("fingerprint"))
 
 
 def _near(t):

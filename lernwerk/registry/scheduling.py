@@ -110,7 +110,7 @@ DYNAMIC_SQL = check_sql("candidates states completed", """with
 def _interleaved(t):
     new = sc.new_blocks(_master(t), t.states, None)
     due = sc.due_flags(t.states, AS_OF).where("is_due").select(*KEYS, "blocks_until_due")
-    return sc.interleave(new, due.join(_master(t), KEYS), 50)
+    return sc.interleave(new, due.join(_master(t), KEYS))
 
 
 INTERLEAVE_SQL = check_sql("candidates states", f"""with
@@ -119,7 +119,7 @@ INTERLEAVE_SQL = check_sql("candidates states", f"""with
     select user_id, block_id, case when next_due_after is null then 0 else next_due_after - studied_count end as u, {DUE} as d from states) s join candidates using (user_id, block_id) where d),
   x as (select user_id, block_id, 'new' as type, k + least(k // 3, coalesce((select any_value(nr) from r where r.user_id = n.user_id), 0)) as pos from n
     union all select user_id, block_id, 'review', k + least(3 * (k + 1), coalesce((select any_value(nn) from n where n.user_id = r.user_id), 0)) from r)
-  select user_id, block_id, type, (pos + 1)::bigint as position from x where pos < 50""")
+  select user_id, block_id, type, (pos + 1)::bigint as position from x""")
 
 
 def q_quota(total: int, review: int) -> str:

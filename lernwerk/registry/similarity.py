@@ -27,7 +27,7 @@ TFIDF_CTES = f"""
   terms as (select doc_id, chunk, n, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from toks),
   tf as (select doc_id, chunk, n, term, count(*) as tf from terms group by all),
   dfs as (select doc_id, term, any_value(n) as n, count(*) as df, sum(tf) as cf from tf group by doc_id, term),
-  vocab as (select * from (select *, row_number() over (partition by doc_id order by cf desc, term) as r from dfs where df <= 0.8::double * n) x where r <= 1000),
+  vocab as (select * from dfs where df <= 0.8::double * n),
   raw as (select tf.doc_id, chunk, term, tf * (ln((1 + v.n) / (1 + v.df)::double) + 1) as x from tf join vocab v using (doc_id, term)),
   vectors as (select doc_id, chunk, term, x / sqrt(sum(x * x) over (partition by doc_id, chunk)) as w from raw)"""
 

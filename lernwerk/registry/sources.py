@@ -27,7 +27,7 @@ def _assembled(t):
     return a.select("doc_id", "page_count", "method", F.sha2("text", 256).alias("text_hash"))
 
 
-ASSEMBLE_SQL = check_sql("page_text", f"""with t as (select doc_id, extractor, {q_strip("string_agg(page_text, chr(10) || chr(10) order by page_no)")} as text from page_text where page_no < 100 and page_text <> '' group by all),
+ASSEMBLE_SQL = check_sql("page_text", f"""with t as (select doc_id, extractor, {q_strip("string_agg(page_text, chr(10) || chr(10) order by page_no)")} as text from page_text where page_text <> '' group by all),
   c as (select doc_id, max(page_no) + 1 as page_count from page_text group by doc_id)
   select doc_id, page_count, extractor as method, sha256(text) as text_hash from t join c using (doc_id) where length(text) >= 50 qualify row_number() over (partition by doc_id order by extractor) = 1""")
 
@@ -53,7 +53,7 @@ def _sequence(t):
 
 
 SEQUENCE_SQL = check_sql("blocks completed", """with o as (select *, row_number() over (order by case difficulty when 'beginner' then 1 when 'intermediate' then 2 else 3 end, created_at, block_id) as sequence_number from blocks)
-  select sequence_number, block_id, title, difficulty, block_id in (select block_id from completed) as is_completed from o where sequence_number <= 1000""")
+  select sequence_number, block_id, title, difficulty, block_id in (select block_id from completed) as is_completed from o""")
 
 
 def _retained(t):

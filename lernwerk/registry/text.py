@@ -168,8 +168,7 @@ EMBED_SQL = check_sql("block_bodies", f"""with {BODY_CTES},
       from seg) q where p is not null group by block_id),
   whole as (select b.block_id, concat_ws(' ', 'Title: ' || title, 'Objectives: ' || array_to_string(objectives, ' '), body_text) as t
             from block_bodies b left join parts using (block_id))
-  select block_id, case when length(t) > 8000 then t[1:8000] || '...' else t end as embedding_text,
-    sha256(case when length(t) > 8000 then t[1:8000] || '...' else t end) as content_hash from whole""")
+  select block_id, t as embedding_text, sha256(t) as content_hash from whole""")
 
 
 def _relation_texts(t):
@@ -179,7 +178,7 @@ def _relation_texts(t):
 
 RELATION_SQL = check_sql("block_bodies", f"""with {BODY_CTES},
   parts as (select block_id, string_agg(p, ' ' order by i) as body_text from (
-      select block_id, i, concat_ws(' ', (s->>'$.content')[1:200], (s->>'$.explanation')[1:200]) as p from seg) q
+      select block_id, i, concat_ws(' ', s->>'$.content', s->>'$.explanation') as p from seg) q
       where p <> '' group by block_id)
   select b.block_id, concat_ws(' ', title, body_text, array_to_string(objectives, ' ')) as relation_text
   from block_bodies b left join parts using (block_id)""")
@@ -196,10 +195,10 @@ CONCEPTS_SQL = check_sql("block_bodies", f"""with {BODY_CTES},
     select block_id, 0 as a, generate_subscripts(objectives, 1) as b, unnest(objectives) as term from block_bodies
     union all select block_id, i * 10 + 1, 0, s->>'$.title' from seg where coalesce(s->>'$.title', '') <> ''
     union all select block_id, i * 10 + 2, generate_subscripts(r, 1), unnest(r) from (
-      select block_id, i, regexp_extract_all(regexp_replace(coalesce(s->>'$.content', ''), '<[^>]+>', '', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')[1:3] as r from seg) x),
-  firsts as (select block_id, term, min(a * 100 + b) as o from terms group by block_id, term),
+      select block_id, i, regexp_extract_all(regexp_replace(coalesce(s->>'$.content', ''), '<[^>]+>', '', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b') as r from seg) x),
+  firsts as (select block_id, term, min(a * 1000000 + b) as o from terms group by block_id, term),
   ranked as (select *, row_number() over (partition by block_id order by o) as rn from firsts)
-  select block_id, count(*) as n_concepts, string_agg(term, '|' order by o) as concepts from ranked where rn <= 10 group by block_id""")
+  select block_id, count(*) as n_concepts, string_agg(term, '|' order by o) as concepts from ranked group by block_id""")
 
 
 def _goal_titles(t):
@@ -354,7 +353,7 @@ QUERIES = [
     Query("text_cleaned", _cleaned, check_sql("hyphen_docs", "with " + q_clean("hyphen_docs") + f"""
       select doc_id, {HASHED.format(c='text')} from cleaned""")),
     Query("content_identity", _identity, "with " + q_clean("documents") + """
-      select d.doc_id, sha256(d.text) as content_hash, array_to_string(string_split(c.text, '.')[1:50], '. ')[1:1000] as fingerprint
+      select d.doc_id, sha256(d.text) as content_hash, array_to_string(string_split(c.text, '.'), '. ') as fingerprint
       from documents d join cleaned c using (doc_id)"""),
     Query("size_display", _sizes, """
       with n as (select doc_id, strlen(text)::double as n from documents)

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.common import n_words, strip
 from ..functions.text import MIGRATED_PREFIX, content_hash
 from ..operators.body import body_fields, keys_of
+from ..operators.ranking import global_rank
 from ..session import cut
 
 
-def assemble_pages(pages: DataFrame, max_pages: int = 100, min_chars: int = 50, primary: str = "a", fallback: str = "b") -> DataFrame:
+def assemble_pages(pages: DataFrame, max_pages: int | None = None, min_chars: int = 50, primary: str = "a", fallback: str = "b") -> DataFrame:
     """SRC4: (doc_id, text, page_count, method) from ``pages(doc_id, page_no, extractor, page_text)``.
 
-    The first ``max_pages`` pages of an extractor are joined by blank lines; the primary extractor counts
-    if it yields ``min_chars``, else the fallback does; a document with neither drops out.  At most
-    ``max_pages`` rows per group are collected, the page filter runs before the shuffle.
+    All pages of an extractor, or the first ``max_pages``, are joined by blank lines; the primary extractor
+    counts if it yields ``min_chars``, else the fallback does; a document with neither drops out.  What is
+    collected in one row are the pages of one document.
     """
-    head = pages.where((F.col("page_no") < max_pages) & (F.length("page_text") > 0))
+    head = pages.where(F.length("page_text") > 0)
+    if max_pages is not None:
+        head = head.where(F.col("page_no") < max_pages)
     joined = head.groupBy("doc_id", "extractor").agg(F.array_sort(F.collect_list(F.struct("page_no", "page_text"))).alias("p"))
     texts = joined.select("doc_id", "extractor", strip(F.array_join(F.transform("p", lambda x: x["page_text"]), "\n\n")).alias("text")).where(F.length("text") >= min_chars)
     rank = F.when(F.col("extractor") == primary, 0).when(F.col("extractor") == fallback, 1).otherwise(2)
@@ -83,12 +86,14 @@ def write_study_pack(pack: DataFrame, path: str) -> None:
     pack.write.mode("overwrite").partitionBy("doc_id").json(path)
 
 
-def master_sequence(blocks: DataFrame, order: DataFrame, completed: DataFrame, limit: int = 1000) -> DataFrame:
-    """SRC8: the first ``limit`` blocks of ``order(block_id, pos)`` with completion flags.
+def master_sequence(blocks: DataFrame, order: DataFrame, completed: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC8: all blocks of ``order(block_id, pos)``, or the first ``limit``, with completion flags.
 
-    The limit is taken as a distributed top-k before anything is joined."""
-    head = order.select("block_id", "pos").orderBy("pos").limit(limit)
-    numbered = head.withColumn("sequence_number", F.row_number().over(W.orderBy("pos")))
+    A limit is taken as a distributed top-k before anything is joined; the numbers come from ranges of ``pos``."""
+    head = order.select("block_id", "pos")
+    if limit is not None:
+        head = head.orderBy("pos").limit(limit)
+    numbered = global_rank(head, [F.col("pos")], "_at", rows=limit).withColumn("sequence_number", F.col("_at") + 1)
     done = completed.select("block_id").distinct().withColumn("_c", F.lit(True))
     return numbered.join(blocks, "block_id").join(done, "block_id", "left").select(
         F.col("sequence_number").cast("long").alias("sequence_number"), "block_id", "title", "difficulty", F.coalesce("_c", F.lit(False)).alias("is_completed"))

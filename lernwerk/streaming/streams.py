@@ -136,9 +136,16 @@ def merge_progress(
     return stream.withWatermark("completed_at", watermark).dropDuplicatesWithinWatermark(["report_id"]).writeStream.foreachBatch(batch)
 
 
-def new_since(blocks: DataFrame, ts: str, cap: int = 100) -> DataFrame:
-    """STR4: blocks created after the last sync, oldest first, at most ``cap``: the page size of the sync."""
-    return blocks.where(F.col("created_at") > F.lit(ts).cast("timestamp_ntz")).orderBy("created_at", "block_id").limit(cap)
+def new_since(blocks: DataFrame, ts: str, page: int | None = None, after: tuple[str, int] | None = None) -> DataFrame:
+    """STR4: blocks created after the last sync, oldest first.
+
+    With ``page``, the first so many of them; the (created_at, block_id) of the last one, given as ``after``, brings
+    the next page, and the pages together are the whole."""
+    rows = blocks.where(F.col("created_at") > F.lit(ts).cast("timestamp_ntz"))
+    if after is not None:
+        rows = rows.where(F.struct("created_at", "block_id") > F.struct(F.lit(after[0]).cast("timestamp_ntz").alias("created_at"), F.lit(after[1]).cast("long").alias("block_id")))
+    rows = rows.orderBy("created_at", "block_id")
+    return rows if page is None else rows.limit(page)
 
 
 # --- attempts ---------------------------------------------------------------------------------

@@ -35,13 +35,17 @@ def test_short_document_keeps_original_text(spark):
     assert ck.sentence_chunks(df).first()["chunk_text"] == "  a \n b "
 
 
-def test_paragraphs_drop_short_tail(spark):
+def test_paragraphs_keep_or_drop_a_short_tail(spark):
     p = lambda n: " ".join(["w"] * n)
     df = spark.createDataFrame([(1, p(90)), (2, "\n\n".join([p(500), p(400), p(50)])), (3, "\n\n".join([p(750), p(90)])), (4, "\n\n".join([p(60), p(900)]))], "doc_id long, text string")
-    got = {}
-    for r in ck.pack_paragraphs(df).collect():
-        got.setdefault(r["doc_id"], []).append((r["chunk_order"], r["word_count"]))
-    assert {k: sorted(v) for k, v in got.items()} == {2: [(0, 500), (1, 450)], 3: [(0, 750)], 4: [(0, 960)]}
+    for keep, want in (
+        (False, {2: [(0, 500), (1, 450)], 3: [(0, 750)], 4: [(0, 960)]}),
+        (True, {1: [(0, 90)], 2: [(0, 500), (1, 450)], 3: [(0, 750), (1, 90)], 4: [(0, 960)]}),
+    ):
+        got = {}
+        for r in ck.pack_paragraphs(df, keep_tail=keep).collect():
+            got.setdefault(r["doc_id"], []).append((r["chunk_order"], r["word_count"]))
+        assert {k: sorted(v) for k, v in got.items()} == want
 
 
 def test_split_even(spark):

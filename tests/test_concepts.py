@@ -97,3 +97,14 @@ def test_related_prior_prefers_recent(spark):
     df = spark.createDataFrame(rows, "doc_id long, concept_order long, labels array<string>, keywords array<string>")
     got = {(r["doc_id"], r["concept_order"]): r["prior_order"] for r in cp.related_prior(df).collect()}
     assert got == {(1, 1): None, (1, 2): 1, (1, 3): 2, (2, 1): None, (2, 2): None}
+
+
+def test_parts_of_a_split_unit_stay_apart(spark):
+    from lernwerk.plans.flows import concept_flow
+
+    rows = [(1, i, "NewTopic" if i in (0, 3) else "Discussion", ["k"], 0.5, 300) for i in range(5)]
+    labels = spark.createDataFrame(rows, "doc_id long, chunk_order long, primary_label string, keywords array<string>, confidence double, word_count long")
+    times = spark.createDataFrame([(1, 1, 15.6, 0.5, "medium"), (1, 2, 1.77, 0.5, "low")], "doc_id long, concept_order long, reading_min double, complexity double, load string")
+    got = concept_flow(labels, times).optimized.orderBy("bin_order").collect()
+    assert [list(r["chunk_orders"]) for r in got] == [[0], [1], [2], [3, 4]]
+    assert [r["bin_order"] for r in got] == [1, 2, 3, 4]

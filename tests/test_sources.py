@@ -30,7 +30,7 @@ def test_pages_fall_back(spark):
     long = "x" * 60
     rows = [(1, 0, "a", long), (1, 1, "a", ""), (1, 2, "a", long), (1, 0, "b", "no"), (2, 0, "a", "short"), (2, 0, "b", long), (3, 0, "a", "s"), (4, 100, "a", long)]
     df = spark.createDataFrame(rows, "doc_id long, page_no long, extractor string, page_text string")
-    got = {r["doc_id"]: (r["text"], r["page_count"], r["method"]) for r in ds.assemble_pages(df).collect()}
+    got = {r["doc_id"]: (r["text"], r["page_count"], r["method"]) for r in ds.assemble_pages(df, max_pages=100).collect()}
     assert got == {1: (f"{long}\n\n{long}", 3, "a"), 2: (long, 1, "b")}
 
 
@@ -58,3 +58,11 @@ def test_single_block_pack_includes_migrated(spark):
     assert [r["block_id"] for r in ds.study_pack(blocks, docs).collect()] == [2]
     one = ds.study_pack(blocks, docs, block_ids=spark.createDataFrame([(1,)], "block_id long")).first()
     assert one["pack_title"] == "d_study_pack" and one["block_count"] == 1
+
+
+def test_pages_beyond_a_hundred_are_kept(spark):
+    rows = [(1, i, "a", f"page {i:03d}") for i in range(130)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, extractor string, page_text string")
+    whole = ds.assemble_pages(df).first()
+    assert whole["text"].split("\n\n") == [r[3] for r in rows] and whole["page_count"] == 130
+    assert len(ds.assemble_pages(df, max_pages=100).first()["text"].split("\n\n")) == 100

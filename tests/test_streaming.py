@@ -91,3 +91,18 @@ def test_enhanced_progress_defaults_rating(spark):
     rows = spark.createDataFrame([("a", 1, 1, None, 5, T0), ("b", 1, None, 4, 5, T0)], st.PROGRESS_SCHEMA)
     got = {r["report_id"]: (r["proficiency_rating"], r["error"]) for r in st.validate_progress(rows, blocks, True).collect()}
     assert got == {"a": (3, None), "b": (4, "missing required data")}
+
+
+def test_pages_of_a_sync_are_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from lernwerk.streaming import streams
+
+    blocks = spark.range(1, 251).select(F.col("id").alias("block_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id / 3 as int), 0)").alias("created_at"))
+    start = "2024-01-01 00:10:00"
+    whole = [r["block_id"] for r in streams.new_since(blocks, start).collect()]
+    found, after = [], None
+    while page := streams.new_since(blocks, start, page=40, after=after).collect():
+        found += [r["block_id"] for r in page]
+        after = str(page[-1]["created_at"]), page[-1]["block_id"]
+    assert found == whole and len(whole) > 200
