@@ -403,12 +403,24 @@ class Tables:
             raise AttributeError(name)
         needs, build = DERIVED[name]
         sql = build(Dialect("spark"))
-        for base in BASE_TABLES:
-            if f"lw_{base}" in sql:
-                getattr(self, base).createOrReplaceTempView(f"lw_{base}")
-        for needed in needs:
-            getattr(self, needed).createOrReplaceTempView(needed)
-        return self.spark.sql(sql)
+        frames = {f"lw_{base}": getattr(self, base) for base in BASE_TABLES if f"lw_{base}" in sql}
+        return _resolved(self.spark, sql, frames | {needed: getattr(self, needed) for needed in needs})
+
+
+def _resolved(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """``sql`` over ``frames``.  Their names stand only while it is analysed; a caller's views come back."""
+    theirs = {}
+    for name, frame in frames.items():
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
+            theirs[name] = spark.table(name)
+        frame.createOrReplaceTempView(name)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
+            if name in theirs:
+                theirs[name].createOrReplaceTempView(name)
 
 
 def edges_of(pairs: DataFrame) -> DataFrame:

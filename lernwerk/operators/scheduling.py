@@ -77,11 +77,10 @@ def _lapse(s: dict) -> None:
 def step_day(s: dict, rating: int, time_s: int, correct: int, total: int) -> None:
     """SRS1: one review on the day schedule.  ``due_after_s`` counts seconds from the review.
 
-    A review that would fall due beyond the calendar is rejected and leaves the state as it was."""
+    A review that would fall due beyond the calendar counts like any other; its interval ends with the calendar,
+    at ``MAX_DAYS`` days, by which such states can be told."""
     grown = s["status"] not in ("new", "learning")
-    days = {"new": FIRST_DAYS, "learning": SECOND_DAYS}.get(s["status"]) or max(1, int(s["stability"] * s["ease"]))
-    if rating >= 3 and days > MAX_DAYS:
-        return
+    days = {"new": FIRST_DAYS, "learning": SECOND_DAYS}.get(s["status"]) or min(MAX_DAYS, max(1, int(s["stability"] * s["ease"])))
     _common(s, rating, time_s, correct, total)
     if rating < 3:
         _lapse(s)

@@ -22,6 +22,7 @@ def local_session(cores: int | str = 8, app: str = "lernwerk", memory: str = "12
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     )
     return builder.getOrCreate()
 

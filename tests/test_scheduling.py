@@ -155,9 +155,10 @@ def test_quota_plan_equals_walk(spark):
     assert got == want
 
 
-def test_day_schedule_rejects_dates_beyond_the_calendar(spark):
+def test_day_schedule_counts_reviews_beyond_the_calendar(spark):
     s = sc.day_state(reviews(spark, [(1, 1, h, 5) for h in range(60)])).first()
-    assert s["review_count"] < 60 and s["next_due_at"].year <= 9999
+    assert s["review_count"] == 60 and s["time_s"] == 600 and s["next_due_at"].year <= 9999
+    assert s["stability"] == sc.MAX_DAYS
 
 
 def test_backfill_dry_run(spark):

@@ -66,3 +66,12 @@ def test_pages_beyond_a_hundred_are_kept(spark):
     whole = ds.assemble_pages(df).first()
     assert whole["text"].split("\n\n") == [r[3] for r in rows] and whole["page_count"] == 130
     assert len(ds.assemble_pages(df, max_pages=100).first()["text"].split("\n\n")) == 100
+
+
+def test_a_callers_views_stay(spark):
+    from lernwerk.derived import Tables
+
+    spark.range(3).createOrReplaceTempView("blocks")
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.block_bodies.count() == t.blocks.count() > 3
+    assert spark.table("blocks").columns == ["id"] and not spark.catalog.tableExists("lw_part")
