@@ -7,22 +7,20 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut
 
-MAX_ROUNDS = 200
-
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """COM2: (node, component) with component the smallest node of each connected component.
 
     ``edges(src, dst)``, ``nodes(node)``.  Every round takes the smallest label among neighbours (an
     aggregate with map-side combine, so a hub costs one row per task) and then jumps to the label of
-    the label, which halves chains.  Each round is cut by a checkpoint; too many rounds raise an error.
+    the label, which halves chains.  Each round is cut by a checkpoint; it ends when nothing changes.
     """
     both = cut(
         edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     )
     labels = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("component")).withColumnRenamed("src", "node")
     labels = cut(labels)
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         lowered = labels.join(near.withColumnRenamed("src", "node"), "node", "left").select(
             "node", "component", F.least("component", F.coalesce("m", "component")).alias("low")
@@ -36,8 +34,6 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = moved.drop("changed")
         if moved.where("changed").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
     return nodes.select("node").distinct().join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut
+from ..session import Parts, cut
 from .communities import components
 from .ranking import global_rank
 
@@ -131,7 +131,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF8: (node, scc) with scc the largest node of each strongly connected component.
 
     Rounds of trimming (a node without an incoming or outgoing edge is its own component), then
@@ -140,17 +140,15 @@ def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     """
     left = cut(nodes.select("node").distinct())
     live = cut(_simple(edges).where("src <> dst"))
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
+    done = Parts(nodes.sparkSession)
+    while True:
         # trim until stable
         while True:
             inner = left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").join(
                 live.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
             inner = cut(inner)
-            outer = cut(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("scc")))
-            if outer.isEmpty():
+            if done.add(left.join(inner, "node", "left_anti").select("node", F.col("node").alias("scc"))).isEmpty():
                 break
-            done = outer if done is None else done.unionByName(outer)
             left = inner
             live = cut(live.join(inner.toDF("src"), "src", "left_semi").join(inner.toDF("dst"), "dst", "left_semi"))
         if left.isEmpty():
@@ -174,24 +172,22 @@ def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 500) -> DataFrame:
             if frontier.isEmpty():
                 break
             reached = cut(reached.unionByName(frontier))
-        found = reached.select("node", F.col("c").alias("scc"))
-        done = found if done is None else done.unionByName(found)
+        done.add(reached.select("node", F.col("c").alias("scc")))
         left = cut(left.join(reached, "node", "left_anti"))
         live = cut(live.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
-    else:
-        raise RuntimeError(f"strong components did not settle within {max_rounds} rounds")
-    return done if done is not None else nodes.select("node", F.col("node").alias("scc"))
+    return done.table()
 
 
 # --- orders -----------------------------------------------------------------------------------
 
-def topo_order(nodes: DataFrame, edges: DataFrame, append_cycles: bool = True, leftover: list[Column] | None = None, max_layers: int = 10_000) -> DataFrame:
+def topo_order(nodes: DataFrame, edges: DataFrame, append_cycles: bool = True, leftover: list[Column] | None = None) -> DataFrame:
     """GRF9: (node, pos, layer) in the order of a first-in-first-out topological sort.
 
     ``nodes(node, base, ...)``: base breaks ties.  Layer by layer: a node is ready when its last
     predecessor was placed in the layer before; inside a layer it sorts by the place of that
     predecessor, then by base.  Nodes in or behind cycles follow in ``leftover`` order (base by
-    default) with layer null.  One round per layer, so the longest path bounds the rounds.
+    default) with layer null.  One round per layer, so the longest path bounds the rounds; each layer is written once
+    and all are read in one scan.
     """
     base = nodes.dropDuplicates(["node"])
     known = base.select("node")
@@ -199,34 +195,29 @@ def topo_order(nodes: DataFrame, edges: DataFrame, append_cycles: bool = True, l
     waits = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("wait"))
     rest = cut(base.join(waits, "node", "left").select(
         "node", "base", F.coalesce("wait", F.lit(0)).alias("wait"), F.lit(0).cast("long").alias("after")))
-    layers: list[DataFrame] = []
-    offset = 0
-    for layer in range(max_layers):
+    layers = Parts(nodes.sparkSession)
+    offset = layer = 0
+    while True:
         ready = rest.where("wait = 0").select("node", "base", "after")
         count = ready.count()
         if count == 0:
             break
         ranked = global_rank(ready, [F.col("after"), F.col("base"), F.col("node")], "rank", count)
-        layers.append(ranked.select("node", (F.col("rank") + offset).alias("pos"), F.lit(layer).cast("long").alias("layer")))
-        offset += count
-        met = live.join(ranked.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(
+        placed = layers.add(ranked.select("node", (F.col("rank") + offset).alias("pos"), F.lit(layer).cast("long").alias("layer")))
+        met = live.join(placed.select(F.col("node").alias("src"), (F.col("pos") - offset).alias("rank")), "src").groupBy(F.col("dst").alias("node")).agg(
             F.count("*").alias("n"), F.max("rank").alias("last"))
         rest = cut(rest.where("wait > 0").join(met, "node", "left").select(
             "node", "base", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait"), F.coalesce("last", "after").alias("after")))
-    else:
-        raise RuntimeError(f"more than {max_layers} layers")
+        offset += count
+        layer += 1
     if append_cycles:
         tail = base.join(rest.select("node"), "node", "left_semi")
         order = leftover or [F.col("base")]
         placed = global_rank(tail, [*order, F.col("node")], "rank").select(
             "node", (F.col("rank") + offset).alias("pos"), F.lit(None).cast("long").alias("layer"))
-        layers.append(placed)
-    if not layers:
-        return base.select("node", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("layer"))
-    out = layers[0]
-    for part in layers[1:]:
-        out = out.unionByName(part)
-    return out
+        layers.add(placed)
+    out = layers.table()
+    return base.select("node", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("layer")) if out is None else out
 
 
 def study_order(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -49,9 +49,25 @@ def cut(df: DataFrame) -> DataFrame:
     inferred constraints, which multiply from round to round of an iterative operator, and it knows its
     size, so later joins are planned on real numbers.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Parts(df.sparkSession).add(df)
+
+
+class Parts:
+    """A table that grows by written parts and is read in one scan, however many there are."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.schema = spark, [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as a part and read that part back."""
+        path = f"{ensure_checkpoint_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self) -> DataFrame | None:
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else None
 
 
 def spread(df: DataFrame) -> DataFrame:
