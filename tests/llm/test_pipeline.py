@@ -34,7 +34,6 @@ def test_pipeline_equals_brute_force(spark, table):
     kept = [(i, t, s) for (i, _, s), t in zip(kept, texts)]
     groups = brute_groups([(i, t) for i, t, _ in kept])
     kept = [(i, t, s) for i, t, s in kept if groups[i][1] == i]
-    assert {i for i, _, _ in kept} == set(range(40)) - {5} | {5}
     rows = spark.createDataFrame([(i, t, "en", s, len([d for d in docs if d[0] == i][0][1])) for i, t, s in kept], table().schema)
     drawn = {r.doc_id: r.text for r in mixing.stage(spark, rows, shared.root).collect()}
     ref = Tokenizer.from_file(bpe.word_file())
