@@ -21,14 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Shared, components, documents, mix, row_key, shingles, slices, small, span_hashes, word_spans
+from .common import Shared, components, documents, mix, row_key, shingles, slices, small, span_hashes, without_rows, word_spans
 
 SHINGLE = 5  # words
 PERCENT = 75  # least similarity
 #: A pair at the least similarity misses all bands with probability (1 - 0.75**4)**32, about 5 in a million.
 BANDS, ROWS = 32, 4
 #: Sizes of sets are compared by classes, each so many times the one before.
-CLASS = 1.06
+CLASS = 1.15
+#: The items of a set are counted by so many classes of their hashes.
+PARTS = 32
 #: Further pivots of an open bucket before all its pairs across groups.
 PIVOT_ROUNDS = 1
 
@@ -109,7 +111,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
 
 
 def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(fp, pivot, items) for rows of (fp, pivot, text)."""
+    """(fp, pivot, items, parts) for rows of (fp, pivot, text); parts are the numbers of items in each of ``PARTS`` classes."""
 
     def run(batches):
         for batch in batches:
@@ -118,13 +120,14 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 start, end, cut = word_spans(data, offsets)
                 words = span_hashes(data, start, end, lower=True)
                 items = [np.unique(shingles(words[cut[i]:cut[i + 1]], k)).view(np.int64) for i in range(last - first)]
+                parts = [np.bincount(x & (PARTS - 1), minlength=PARTS) for x in items]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("fp").slice(at, last - first), batch.column("pivot").slice(at, last - first), pa.array(items, pa.list_(pa.int64()))],
-                    names=["fp", "pivot", "items"],
+                    [batch.column("fp").slice(at, last - first), batch.column("pivot").slice(at, last - first), pa.array(items, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                    names=["fp", "pivot", "items", "parts"],
                 )
                 at += last - first
 
-    return docs.select("fp", "pivot", "text").mapInArrow(run, "fp binary, pivot binary, items array<long>")
+    return docs.select("fp", "pivot", "text").mapInArrow(run, "fp binary, pivot binary, items array<long>, parts array<int>")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -136,18 +139,23 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _bounds(open_: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, shared: Shared) -> DataFrame:
-    """(fp, n, most): the open nodes that can have a partner at all, their sizes and the largest size of a partner.
+    """(fp, n, most, parts): the open nodes that can have a partner at all.
 
     Two sets of sizes n and m need an intersection of percent * (n + m) / (100 + percent), and a node's intersections
-    are at most the items that it shares with any other open node.  Most variants of one text that missed their pivot
-    have too many words of their own for any partner.
+    hold only items that it shares with any other open node.  ``parts`` counts those by class, so the sum of the
+    smaller counts bounds an intersection; ``most`` is the largest size of a partner by their total.  Most variants of
+    one text that missed their pivot have too many words of their own, or miss other words than their partners.
     """
     ids = shared.put(open_.select("fp").distinct())
-    items = sets.join(ids, "fp", "left_semi").select(F.xxhash64("fp").alias("node"), F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    size = ids.join(nodes.select("fp", "n"), "fp").withColumn("node", F.xxhash64("fp")).join(alone, "node", "left").select(
-        "fp", "n", F.floor((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) / percent - F.col("n")).alias("most")
-    )
+    own = sets.join(ids, "fp", "left_semi")
+    items = own.select(F.xxhash64("fp").alias("node"), F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    part = F.col("item").bitwiseAND(F.lit(PARTS - 1))
+    alone = alone.groupBy("node").agg(*[F.count_if(part == k).alias(f"a{k}") for k in range(PARTS)])
+    left = F.struct(*[(F.col("parts")[k] - F.coalesce(f"a{k}", F.lit(0))).cast("int").alias(f"p{k}") for k in range(PARTS)])
+    size = own.select("fp", F.size("items").cast("long").alias("n"), "parts", F.xxhash64("fp").alias("node")).join(alone, "node", "left").select("fp", "n", left.alias("parts"))
+    common = sum(F.col(f"parts.p{k}").cast("long") for k in range(PARTS))
+    size = size.withColumn("most", F.floor(common * (100 + percent) / percent - F.col("n")))
     return shared.put(size.where(F.col("most") * 100 >= F.col("n") * percent))
 
 
@@ -161,12 +169,13 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _could_link(percent: int) -> str:
     return (
         "fp_a <> fp_b and root_a <> root_b and n_b <= most_a and n_a <= most_b "
-        f"and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}"
+        f"and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent} "
+        f"and ({' + '.join(f'least(parts_a.p{k}, parts_b.p{k})' for k in range(PARTS))}) * {100 + percent} >= (n_a + n_b) * {percent}"
     )
 
 
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
-    return rows.select("h", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "root", "n", "most")])
+    return rows.select("h", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "root", "n", "most", "parts")])
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -224,8 +233,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
         if turn < PIVOT_ROUNDS:
             # the next pivot of a bucket: the node with the fewest items of its own that was none yet
             left = now if used is None else now.join(used, ["h", "fp"], "left_anti")
-            best = left.groupBy("h").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "fp", "root", "n", "most")).alias("p"))
-            pivots = shared.put(best.select("h", "p.fp", "p.root", "p.n", "p.most"))
+            best = left.groupBy("h").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), "fp", "root", "n", "most", "parts")).alias("p"))
+            pivots = shared.put(best.select("h", "p.fp", "p.root", "p.n", "p.most", "p.parts"))
             used = pivots.select("h", "fp") if used is None else used.union(pivots.select("h", "fp"))
             pairs = _to_pivots(now, pivots, percent)
         else:
@@ -254,8 +263,19 @@ def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id."""
     shared = Shared(spark)
     gone = shared.put(near_duplicates(docs).where("not kept and doc_id is not null").select("row_key").distinct())
-    return docs.withColumn("row_key", row_key()).join(small(gone), "row_key", "left_anti").select(*docs.columns)
+    return without_rows(docs, gone)
 
 
 QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
-SQL: dict[str, str] = {}
+#: The exact groups by brute force: all pairs that share a shingle, then everything that can be reached.
+SQL = {"op2_minhash_near_dedup": rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as materialized (select distinct doc_id, hash(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) g from (select doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) i from d where len(w) > 0) x),
+n as materialized (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id > b.doc_id group by all),
+l as materialized (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e as materialized (select a, b from l union select b, a from l),
+reach as (select distinct doc_id a, doc_id b from d union select r.a, e.b from reach r join e on r.b = e.a)
+select d.doc_id, coalesce(any_value(n), 0) n_shingles, min(b) component_id, d.doc_id = min(b) kept
+from d join reach on d.doc_id = a left join n on n.doc_id = d.doc_id group by d.doc_id
+"""}
