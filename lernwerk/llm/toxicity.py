@@ -29,8 +29,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 WIDTH = 8
 WINDOW = 8
-TRAIN_DOCS = 1500
-TRAIN_CHARS = 8_000
+TRAIN_DOCS = 1000
+TRAIN_CHARS = 5_000
 ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 3, 150, 4096, 0.6
 THRESHOLD = 0.3
 HELD_OUT = 2  # of crc32(doc_id) mod 4
