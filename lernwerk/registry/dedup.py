@@ -29,7 +29,7 @@ def _owned(t):
 
 def _fingerprints(t):
     cleaned = t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("c"))
-    return cleaned.select("doc_id", F.length("c").alias("n_chars"), tx.fingerprint(F.col("c"), 50, 1000).alias("fingerprint"))
+    return cleaned.select("doc_id", F.length("c").alias("n_chars"), tx.fingerprint(F.col("c")).alias("fingerprint"))
 
 
 def _near(t):
@@ -53,6 +53,12 @@ def _decisions(t):
     return d.withColumn("similarity", F.round("similarity", 6))
 
 
+def _decisions_whole(t):
+    """Decisions on the text ratio of whole texts, which SQL cannot repeat."""
+    d = dd.decide(_fingerprints(t).select("doc_id", "n_chars"), _exact(t), _best(t))
+    return d.withColumn("similarity", F.round("similarity", 6))
+
+
 DECIDE_SQL = "with " + q_clean("documents") + f""", {EXACT_CTES},
   f as (select doc_id, length(text) as n, array_to_string(string_split(text, '.')[1:50], '. ')[1:1000] as fp from cleaned),
   h as (select doc_id, lower(fp[1:60]) as h from f where n >= 60),
@@ -181,6 +187,7 @@ QUERIES = [
     Query("near_duplicates", _near, None),
     Query("best_matches", _best, None),
     Query("dedup_decisions", _decisions, DECIDE_SQL),
+    Query("dedup_decisions_whole", _decisions_whole, None),
     Query("dedup_stats", lambda t: dd.dedup_stats(_exact(t)), f"""with {EXACT_CTES} select count(*) as total, count(*) filter (where duplicate_of is null) as unique_docs,
       count(duplicate_of) as duplicates, count(distinct duplicate_of) as originals_with_duplicates, count(duplicate_of)::double / count(*) as ratio from exact"""),
     Query("duplicate_groups", _groups, f"""with {EXACT_CTES} select duplicate_of as original_id, count(*) as n_copies, sum(n_bytes)::bigint as bytes_saved, 1.0::double as mean_similarity
