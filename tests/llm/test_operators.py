@@ -434,3 +434,25 @@ def test_passages_odd_rows(odd, table):
     assert set(got.columns) == {"doc_id", "start_word", "end_word", "n_words", "source_doc_id", "n_links"}
     assert got.where("doc_id in (1, 2, 3, 11)").isEmpty()
     assert passages.repeated_passages(table()).isEmpty()
+
+
+def test_edits_of_several_words_are_crossed(table):
+    docs, want = [], {}
+    for m in range(2, 6):
+        for at in range(0, 61 - m, 3):
+            key = 1000 * m + at
+            whole = prose(3 * key, 60).split()
+            other = prose(3 * key + 1, m).split()
+            docs.append((10 * key, " ".join(prose(5 * key + 4, 20).split() + whole + prose(5 * key + 6, 20).split())))
+            for k, fresh in enumerate((other, other[:1], other + ["added"] * (5 - m))):
+                i = 10 * key + k
+                x = whole[:at] + fresh + whole[at + m:]
+                docs.append((i + 1, " ".join(prose(7 * i + 2, 20).split() + x + prose(7 * i + 3, 20).split())))
+                # an edit with under four words to the end of the passage is not crossed
+                low, high = (at + len(fresh) if at < 4 else 0), (at if at + m > 56 else len(x))
+                if high - low >= 50:
+                    want[i + 1] = set(range(20 + low, 20 + high))
+    got = {}
+    for r in passages.repeated_passages(table(*docs)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert len(want) > 100 and not {i for i, w in want.items() if not w <= got.get(i, set())}
