@@ -456,3 +456,12 @@ def test_edits_of_several_words_are_crossed(table):
     for r in passages.repeated_passages(table(*docs)).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert len(want) > 100 and not {i for i, w in want.items() if not w <= got.get(i, set())}
+
+
+def test_a_passage_twice_in_any_document(table):
+    once = prose(4001, 60)
+    docs = [f"{prose(4100 + 3 * i, 30)} {once} {prose(4101 + 3 * i, 40)} {once} {prose(4102 + 3 * i, 30)}" for i in range(3)]
+    for order in (docs, docs[:1] + [f"{prose(4200, 30)} {once} {prose(4201, 30)}"]):
+        for first in (order, order[::-1]):
+            got = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(table(*enumerate(first))).collect()}
+            assert got == {(i, s, s + 60) for i, t in enumerate(first) for s in ((30, 130) if t in docs else (30,))}
