@@ -465,3 +465,19 @@ def test_a_passage_twice_in_any_document(table):
         for first in (order, order[::-1]):
             got = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(table(*enumerate(first))).collect()}
             assert got == {(i, s, s + 60) for i, t in enumerate(first) for s in ((30, 130) if t in docs else (30,))}
+
+
+def test_runs_beyond_the_pivot_are_whole(table):
+    docs, want = [], {}
+    for i in range(40):
+        run, size, cut = prose(6000 + i, 80).split(), 50 + i % 25, 23 + i % 26
+        share = run[:cut] if i % 2 else run[size - cut:size]
+        docs.append((10 * i, f"{prose(7000 + i, 30)} {' '.join(share)} {prose(7100 + i, 30)}"))
+        for k in range(1, 4):
+            docs.append((10 * i + k, f"{prose(7200 + 10 * i + k, 25)} {' '.join(run[:size])} {prose(7700 + 10 * i + k, 25)}"))
+            want[10 * i + k] = set(range(25, 25 + size))
+    got = {}
+    for r in passages.repeated_passages(table(*docs)).collect():
+        assert r.source_doc_id != r.doc_id
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert not {i: len(w - got.get(i, set())) for i, w in want.items() if not w <= got.get(i, set())}
