@@ -304,3 +304,18 @@ def consolidate(members: DataFrame, cap_chars: int = 2000, cap_min: int = 25, de
         "group_id", "block_id", F.concat(F.lit("[MIGRATED→"), short_id, F.lit("] "), F.col("title")).alias("title")
     )
     return totals.join(texts, "group_id"), renamed
+
+
+def consolidated_parts(members: DataFrame) -> DataFrame:
+    """DUP12 uncut: (group_id, block_id, part); a group's combined text is its parts in the order of block_id.
+
+    A row per member, so a hot group is never collected."""
+    part = F.concat(F.lit("\n\nFrom '"), F.col("title"), F.lit("':\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    return members.select("group_id", "block_id", part.alias("part"))
+
+
+def consolidated_totals(members: DataFrame, default_min: int = 15) -> DataFrame:
+    """DUP12 uncut: (group_id, n_blocks, first_block, duration_min) over all members of a group."""
+    return members.groupBy("group_id").agg(
+        F.count("*").alias("n_blocks"), F.min("block_id").alias("first_block"), F.sum(F.coalesce("minutes", F.lit(default_min))).alias("duration_min")
+    )

@@ -169,9 +169,12 @@ CLONE_SQL = check_sql("chunks", f"""with {EXACT_CTES},
   from b join exact e on b.doc_id = e.duplicate_of""")
 
 
+def _members(t):
+    return t.blocks.select(F.col("doc_id").alias("group_id"), "block_id", "title", F.repeat("title", 3).alias("content"), (F.col("duration_s") / 60).cast("long").alias("minutes"))
+
+
 def _consolidated(t):
-    members = t.blocks.select(F.col("doc_id").alias("group_id"), "block_id", "title", F.repeat("title", 3).alias("content"), (F.col("duration_s") / 60).cast("long").alias("minutes"))
-    groups, _ = dd.consolidate(members)
+    groups, _ = dd.consolidate(_members(t))
     return groups.withColumn("text_hash", F.sha2("combined_content", 256)).drop("combined_content")
 
 
@@ -204,5 +207,9 @@ QUERIES = [
     Query("cloned_blocks", _cloned_blocks, CLONE_SQL),
     Query("consolidated_groups", _consolidated, check_sql("blocks", """select doc_id as group_id, count(*) as n_blocks, min(block_id) as first_block, least(sum(duration_s // 60), 25)::bigint as duration_min,
       sha256(string_agg(chr(10) || chr(10) || 'From ''' || title || ''':' || chr(10) || repeat(title, 3) || chr(10), '' order by block_id)[1:2000]) as text_hash from blocks group by doc_id""")),
+    Query("consolidated_parts", lambda t: dd.consolidated_parts(_members(t)), check_sql("blocks", """select doc_id as group_id, block_id,
+      chr(10) || chr(10) || 'From ''' || title || ''':' || chr(10) || repeat(title, 3) || chr(10) as part from blocks""")),
+    Query("consolidated_totals", lambda t: dd.consolidated_totals(_members(t)), check_sql("blocks", """select doc_id as group_id, count(*) as n_blocks, min(block_id) as first_block,
+      sum(duration_s // 60)::bigint as duration_min from blocks group by doc_id""")),
     Query("consolidated_titles", _consolidated_titles, check_sql("blocks", "select doc_id as group_id, block_id, '[MIGRATED→' || sha256(doc_id::varchar)[1:8] || '] ' || title as title from blocks")),
 ]
