@@ -201,3 +201,14 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * np.uint64(0xC2B2AE3D27D4EB4F) + words[j:n - k + 1 + j]
     return mix(out)
+
+
+def dictionary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The spans data[start:end], in order and apart, as codes into their different values (an exact table, no hashes)."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    held = pa.py_buffer(np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]))
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), held]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, lines, minhash, mixing, passages, pii, quality, topk, toxicity
+from . import bpe, collocations, html_text, lines, minhash, mixing, packing, passages, periodic, pii, quality, topk, toxicity
 
-MODULES = (toxicity, minhash, pii, html_text, quality, mixing, topk, bpe, lines, passages)
+MODULES = (toxicity, minhash, pii, html_text, quality, mixing, topk, bpe, lines, passages, packing, periodic, collocations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
