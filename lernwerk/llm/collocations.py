@@ -1,7 +1,7 @@
 """Phrase collocations from FM-indexes of shards (operator 13).
 
 A phrase is 2 to 4 words inside a piece of a text (punctuation and line ends part pieces); it is a candidate of its
-language if it stands there often enough.  A shard is a run of whole texts (about 16 MB) in a task: its pieces, as word
+language if it stands there often enough.  A shard is a run of whole texts (about 4 MB) in a task: its pieces, as word
 numbers with separators, get an FM-index forwards and backwards.  Intervals of single words are extended by the word
 before (forward index) and the word after (backward index); each extension carries its interval in both indexes and its
 count.  Counts are summed across shards.
@@ -39,7 +39,7 @@ TOP = 2_000
 SCALE = 2_000_000
 #: A map of frequent words or pairs has at most so many bits (16 MB), and 16 for each entry below that.
 MAP_BITS = 1 << 27
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 22
 #: A part with a share of 1 / HOT of all words or more is joined by broadcast: at most HOT of a length.
 HOT = 1_000
 
@@ -110,41 +110,36 @@ def within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """The words before the suffixes of a sequence, suffixes in the order of their first DEPTH words."""
+    """The words before the suffixes of a sequence, suffixes in the order of their first ``depth`` words."""
 
-    def __init__(self, seq: np.ndarray, kinds: int):
+    def __init__(self, seq: np.ndarray, kinds: int, depth: int):
         n = len(seq)
-        order, span = seq, kinds
-        size = 1
-        while size < DEPTH:
-            after = np.zeros(n, np.int64)
-            after[:-size] = order[size:]
-            key = order * span + after
+        order, span, size = seq, kinds, 1
+        while size < depth:
+            key = order * np.int64(span)
+            key[:-size] += order[size:]
             by = np.argsort(key)
-            new = np.ones(n, bool)
-            new[1:] = key[by[1:]] != key[by[:-1]]
-            order = np.empty(n, np.int64)
-            order[by] = np.cumsum(new) - 1
+            key = key[by]
+            order = np.empty(n, np.int32)
+            order[by] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1], dtype=np.int32)])
             span, size = n, 2 * size
         self.kinds = kinds
         self.before = seq[by - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=kinds))])
         # where each row's word before it stands in the order: words that are equal keep their rows' order
-        self.step = np.empty(n, np.int64)
-        self.step[np.argsort(self.before * n + np.arange(n))] = np.arange(n)
+        self.step = np.empty(n, np.int32)
+        self.step[np.argsort(self.before.astype(np.int64) * n + np.arange(n))] = np.arange(n, dtype=np.int32)
 
     def extend(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Every extension of the intervals by one word: parent, word, count, its own interval's start in this index,
         and how many rows of the parent have a smaller word, which is its place inside the parent in the other index."""
         total = np.cumsum(size) - size
-        parent = np.repeat(np.arange(len(start)), size)
-        row = np.arange(len(parent)) - total[parent] + start[parent]
-        key = parent * self.kinds + self.before[row]
+        row = np.arange(int(size.sum()), dtype=np.int32) + np.repeat((start - total).astype(np.int32), size)
+        key = np.repeat(np.arange(len(start)) * self.kinds, size)
+        key += self.before[row]
         by = np.argsort(key, kind="stable")
         key = key[by]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(head, len(key)))
         parent, word = np.divmod(key[head], self.kinds)
         real = word > 0
@@ -160,12 +155,11 @@ def phrases(seq: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[list[np.ndarr
     there = np.zeros(int(seq.max()) + 1, bool)
     there[seq] = True
     symbol = np.flatnonzero(there)
-    number = np.cumsum(there) - 1
-    dense = number[seq]
-    forward, backward = FmIndex(dense, len(symbol)), FmIndex(dense[::-1], len(symbol))
+    dense = (np.cumsum(there, dtype=np.int32) - 1)[seq]
+    forward, backward = FmIndex(dense, len(symbol), depth), None
     word = np.arange(1, len(symbol))
     size = np.diff(forward.first)[1:]
-    ahead, back = forward.first[1:-1], backward.first[1:-1]
+    ahead, back = forward.first[1:-1], forward.first[1:-1]
     words = [word]
     for length in range(2, depth + 1):
         if length < DEPTH:
@@ -173,6 +167,7 @@ def phrases(seq: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[list[np.ndarr
             back = back[parent] + inside
             words = [word, *[w[parent] for w in words]]
         else:
+            backward = backward or FmIndex(dense[::-1], len(symbol), depth)
             parent, word, size, back, inside = backward.extend(back, size)
             ahead = ahead[parent] + inside
             words = [*[w[parent] for w in words], word]
