@@ -73,11 +73,15 @@ class Pieces:
 
     def _learn(self, new: list[bytes]) -> None:
         # letters alone are one word of the file, so their tokens end where a word's last token stands: one text for all
-        plain = [p for p in new if p.isalpha()]
-        other = [p for p in new if not p.isalpha()]
-        tokens = np.array(self._encode([b" ".join(plain).decode()])[0], np.int32)
+        texts = [p.decode() for p in new]
+        whole = [p.isalpha() and p.lower().isalpha() for p in texts]
+        plain, other = [p for p, w in zip(new, whole, strict=True) if w], [p for p, w in zip(new, whole, strict=True) if not w]
+        tokens = np.array(self._encode([" ".join([t for t, w in zip(texts, whole, strict=True) if w])])[0], np.int32)
         ends = np.flatnonzero(self.last[tokens]) + 1
-        rest = self._encode([p.decode() for p in other])
+        if len(ends) != len(plain):
+            # letters that only one of the two libraries knows
+            tokens, ends, plain, other, whole = tokens[:0], ends[:0], [], new, [False] * len(new)
+        rest = self._encode([t for t, w in zip(texts, whole, strict=True) if not w])
         tail = np.fromiter((i for ids in rest for i in ids), np.int32)
         more = len(tokens) + np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)))
         for piece in (*plain, *other):
@@ -140,22 +144,32 @@ def slice_ids(data: np.ndarray, offsets: np.ndarray, encoder: Pieces, end: int)
     number = encoder.numbers(values.to_pylist())[code] if len(code) else np.zeros(0, np.int64)
     begin, n = encoder.ends[number], encoder.ends[number + 1] - encoder.ends[number]
     before = np.concatenate([[0], np.cumsum(n)])
-    source = np.arange(before[-1]) + np.repeat(begin - before[:-1], n)
+    source = np.repeat((begin - before[:-1]).astype(np.int32), n)
+    source += np.arange(len(source), dtype=np.int32)
     # one more id per text
     tokens = before[text] + np.arange(len(text))
-    out = np.full(tokens[-1], end, np.int64)
+    out = np.full(tokens[-1], end, np.int32)
     inside = np.ones(len(out), bool)
     inside[tokens[1:] - 1] = False
     out[inside] = encoder.flat[source]
     return out, tokens
 
 
-def vectors(ids: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The projected hashed vector of each text."""
+@lru_cache(1)
+def buckets(n: int) -> np.ndarray:
+    """The bucket of each of ``n`` ids."""
+    return (mix(np.arange(n, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def vectors(ids: np.ndarray, tokens: np.ndarray, known: int) -> np.ndarray:
+    """The projected hashed vector of each text; ``known`` is the size of the vocabulary."""
     n = len(tokens) - 1
-    text = np.repeat(np.arange(n), np.diff(tokens))
-    bucket = (mix(ids.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-    cell, count = np.unique(text * BUCKETS + bucket, return_counts=True)
+    kind = np.int32 if n * BUCKETS < 1 << 31 else np.int64
+    cell = np.repeat(np.arange(n, dtype=kind) * BUCKETS, np.diff(tokens))
+    cell += buckets(known)[ids]
+    cell.sort()
+    head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    cell, count = cell[head], np.diff(np.append(head, len(cell)))
     weight, text = np.log1p(count), cell // BUCKETS
     norm = np.sqrt(np.bincount(text, weight * weight, n))
     row = directions()[cell % BUCKETS]
@@ -197,7 +211,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
             rows = batch.column("doc_id")
             for a, z, data, offsets in slices(batch.column("text"), 1 << 23):
                 ids, tokens = slice_ids(data, offsets, encoder, end)
-                at = vectors(ids, tokens)
+                at = vectors(ids, tokens, len(encoder.last))
                 raw, width = ids.astype(encoder.kind).tobytes(), encoder.kind.itemsize
                 cuts = (tokens * width).tolist()
                 held = [raw[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
