@@ -116,18 +116,19 @@ STATE_NAMES = [f.split()[0] for f in STATE_FIELDS.split(", ")]
 _REVIEW = ["rating", "time_s", "qa_correct", "qa_total"]
 
 
-def fold_reviews(reviews: DataFrame, step: Callable, first_review: str = "new", initial: DataFrame | None = None) -> DataFrame:
+def fold_reviews(reviews: DataFrame, step: Callable, first_review: str = "new", initial: DataFrame | None = None, late: bool = False) -> DataFrame:
     """State per (user_id, block_id) after all its reviews in (ts, event_id) order.
 
     The recurrence truncates and clamps, so it is sequential per key.  The rows are partitioned by key and
     sorted, and each task streams them in Arrow batches with one state carried over batch borders: memory
     is one batch and one state, however long a key is, and no group is collected.  Stored states
-    (``initial``) enter the same sort in front of the reviews of their key.
+    (``initial``) enter the same sort in front of the reviews of their key.  With ``late`` a state also tells whether a review
+    older than one already applied has reached it.
     """
     keys = ["user_id", "block_id"]
     rows = reviews.select(*keys, "ts", "event_id", *[F.col(c).cast("long").alias(c) for c in _REVIEW])
     if initial is not None:
-        seeds = initial.select(*keys, F.col("last_reviewed_at").alias("ts"), *STATE_NAMES, F.lit(True).alias("seed"))
+        seeds = initial.select(*keys, F.col("last_reviewed_at").alias("ts"), *STATE_NAMES, *(["late"] if late else []), F.lit(True).alias("seed"))
         rows = rows.withColumn("seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     seeded = initial is not None
     order = [*keys, *([F.desc("seed")] if seeded else []), "ts", "event_id"]
@@ -144,31 +145,37 @@ def fold_reviews(reviews: DataFrame, step: Callable, first_review: str = "new",
         return {n: int(v) if v is not None and n in ("review_count", "lapses", "time_s", "interval", "due_after_s") else v for n, v in s.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, last = None, None, None
+        key, state, last, behind = None, None, None, False
         for batch in batches:
             out = []
             seeds = batch["seed"].tolist() if seeded else [False] * len(batch)
             columns = [batch[c].tolist() for c in (*keys, *_REVIEW)]
             times = list(batch["ts"])
             for at, (user, block, rating, time_s, correct, total) in enumerate(zip(*columns)):
+                now = times[at]
                 if key != (user, block):
                     if key is not None:
-                        out.append((*key, last, *[state[n] for n in STATE_NAMES]))
-                    key = (user, block)
+                        out.append((*key, last, *[state[n] for n in STATE_NAMES], *([behind] if late else [])))
+                    key, last, behind = (user, block), now, False
                     state = stored(batch.iloc[at]) if seeds[at] else start(int(rating))
+                    if seeds[at] and late:
+                        behind = bool(batch["late"].iloc[at])
                 if not seeds[at]:
                     step(state, int(rating), int(time_s), int(correct), int(total))
-                last = times[at]
+                if now < last:
+                    behind = True
+                else:
+                    last = now
             if out:
                 yield frame(out)
         if key is not None:
-            yield frame([(*key, last, *[state[n] for n in STATE_NAMES])])
+            yield frame([(*key, last, *[state[n] for n in STATE_NAMES], *([behind] if late else []))])
 
     def frame(found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=[*keys, "last_reviewed_at", *STATE_NAMES])
+        return pd.DataFrame(found, columns=[*keys, "last_reviewed_at", *STATE_NAMES, *(["late"] if late else [])])
 
     kind = dict(reviews.dtypes)["ts"]
-    return ordered.mapInPandas(run, f"user_id long, block_id long, last_reviewed_at {kind}, {STATE_FIELDS}")
+    return ordered.mapInPandas(run, f"user_id long, block_id long, last_reviewed_at {kind}, {STATE_FIELDS}" + ", late boolean" * late)
 
 
 def day_state(reviews: DataFrame) -> DataFrame:

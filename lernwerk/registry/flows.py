@@ -62,15 +62,48 @@ def _ingested(t):
     return t.spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))
 
 
-def _synced(t):
-    """Reports made of the reviews stream: some without a rating, some for unknown blocks."""
+def _merged(t, enhanced: bool = False) -> str:
+    """The folder of a merge of reports made of the reviews stream: some without a rating, some for unknown blocks."""
     folder = _folder(t)
     r = _reviews_stream(t).select(
         F.col("event_id").cast("string").alias("report_id"), "user_id", F.when(F.col("event_id") % 17 == 0, -1).otherwise(F.col("block_id")).alias("block_id"),
         F.when(F.col("event_id") % 13 != 0, F.col("rating")).cast("int").alias("proficiency_rating"), F.col("time_s").alias("time_spent_seconds"), F.col("ts").cast("timestamp").alias("completed_at"))
-    writer = st.merge_progress(r, t.blocks, f"{folder}/states", f"{folder}/bad", f"{folder}/counts", buckets=4)
+    writer = st.merge_progress(r, t.blocks, f"{folder}/states", f"{folder}/bad", f"{folder}/counts", enhanced=enhanced)
     writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/counts").agg(F.sum("synced").alias("synced"), F.sum("errors").alias("errors"))
+    return folder
+
+
+def _synced(t):
+    return t.spark.read.parquet(f"{_merged(t)}/counts").agg(F.sum("synced").alias("synced"), F.sum("errors").alias("errors"))
+
+
+def _progress(enhanced: bool):
+    def run(t):
+        s = st.progress_versions(t.spark, f"{_merged(t, enhanced)}/states").current()
+        return s.select("user_id", "block_id", "status", "review_count", "lapses", "time_s", *[F.round(c, 6).alias(c) for c in ("avg_rating", "ease", "stability")],
+            F.coalesce(F.col("due_after_s") / 3600, F.lit(0)).cast("long").alias("due_hours"))
+    return run
+
+
+def progress_sql(enhanced: bool) -> str:
+    """Reports one by one: a first one is stored as completed, or (enhanced) runs through the day schedule like all others."""
+    rated = "coalesce(case when event_id % 13 <> 0 then rating end, 3)" if enhanced else "rating"
+    kept = "event_id % 17 <> 0" + ("" if enhanced else " and event_id % 13 <> 0")
+    first = """select user_id, block_id, 0::bigint as rn, 'new' as status, 0::bigint as n, 0::bigint as lapses, 0::bigint as time_s, null::double as avg_rating,
+      2.5::double as ease, 1.0::double as stab, 0::bigint as due from o where rn = 1""" if enhanced else """select user_id, block_id, 1::bigint as rn, 'completed' as status, 1::bigint as n, 0::bigint as lapses, time_s, rating::double as avg_rating,
+      2.5::double as ease, 1.0::double as stab, 0::bigint as due from o where rn = 1"""
+    status = "'completed'" if enhanced else "case when o.rating < 3 then 'lapsed' else f.status end"
+    return check_sql("reviews", f"""with recursive o as (select user_id, block_id, {rated} as rating, time_s, row_number() over (partition by user_id, block_id order by ts, event_id) as rn from reviews where {kept}),
+  fold as ({first}
+    union all
+    select f.user_id, f.block_id, o.rn, {status}, f.n + 1, f.lapses + (o.rating < 3)::int, f.time_s + o.time_s,
+      case when f.avg_rating is null then o.rating::double else f.avg_rating * 0.7::double + o.rating * 0.3::double end,
+      case when o.rating = 5 then least(4.0::double, f.ease + 0.15::double) when o.rating = 4 then least(4.0::double, f.ease + 0.1::double) when o.rating = 3 then f.ease else greatest(1.3::double, f.ease - 0.2::double) end,
+      case when o.rating < 3 then greatest(1.0::double, f.stab * 0.8::double) when f.status = 'new' then f.stab else greatest(1, trunc(f.stab * f.ease)) end,
+      case when o.rating < 3 then 6 when f.status = 'new' then 24 else 24 * greatest(1, trunc(f.stab * f.ease)) end::bigint
+    from fold f join o on o.user_id = f.user_id and o.block_id = f.block_id and o.rn = f.rn + 1)
+  select user_id, block_id, status, n as review_count, lapses, time_s, round(avg_rating, 6) as avg_rating, round(ease, 6) as ease, round(stab, 6) as stability, due as due_hours
+  from fold qualify row_number() over (partition by user_id, block_id order by rn desc) = 1""".replace("with recursive ", "with "), recursive=True)
 
 
 def _new_since(t):
@@ -111,6 +144,8 @@ QUERIES = [
     Query("attempt_rows", lambda t: _shown(st.attempt_rows(t.attempt_events)), ATTEMPT_SQL),
     Query("stream_ingest_totals", _ingested, FLAGSHIP_SQL),
     Query("stream_progress_counts", _synced, check_sql("reviews", "select count(*) filter (where event_id % 13 <> 0 and event_id % 17 <> 0) as synced, count(*) filter (where event_id % 13 = 0 or event_id % 17 = 0) as errors from reviews")),
+    Query("stream_progress_states", _progress(False), progress_sql(False)),
+    Query("stream_progress_states_enhanced", _progress(True), progress_sql(True)),
     Query("new_since", _new_since, check_sql("blocks", "select block_id, title from blocks where created_at > timestamp '2024-01-02 12:00:00'")),
     Query("corpus_communities", _communities, None),
     Query("corpus_run_report", lambda t: fw.run_report(t.documents, _corpus(t)), None),

@@ -6,19 +6,17 @@ rows it changes, so a batch that is replayed after a lost executor or driver lea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import clean_text, content_hash
 from ..operators.chunking import fixed_chunks
-from ..operators.scheduling import (
-    STATE_FIELDS, STATE_NAMES, fold_reviews, fresh_state, step_block, step_day, step_sync, step_sync_enhanced,
-)
-from ..sources.documents import replace_by_key, table_exists
+from ..operators.scheduling import STATE_FIELDS, STATE_NAMES, fold_reviews, step_block, step_day, step_sync, step_sync_enhanced
+from ..session import cut
+from ..sources.documents import table_exists
+from .versions import Versions
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -57,32 +55,51 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 # --- review state -----------------------------------------------------------------------------
 
-def review_states(stream: DataFrame, mode: str = "block") -> DataFrame:
-    """STR2: a stream of reviews to the current state per (user_id, block_id), in update mode.
+class KeyedFold:
+    """A stream folded into one state per key, kept as versions of a table (see ``versions``).
 
-    Inside a micro-batch the reviews of a key apply in event-time order.  A review older than the last
-    one already applied is applied on arrival and marks the state ``late``.  Output has one row per key
-    and batch; last_us is the event time in microseconds.
-    """
+    ``update(rows, stored)`` gives the new states of the keys in ``rows``; ``stored`` are their states so far, or None.  A
+    batch reads the states of its own keys only, and no group is collected: how rows meet their state is up to ``update``."""
+
+    def __init__(self, stream: DataFrame, keys: list[str], schema: str, update: Callable[[DataFrame, DataFrame | None], DataFrame], idle_us: int | None = None, fanout: int = 8):
+        self.stream, self.keys, self.schema, self.update, self.idle_us, self.fanout = stream, keys, schema, update, idle_us, fanout
+        self.sparkSession = stream.sparkSession
+
+    def versions(self, spark: SparkSession, path: str) -> Versions:
+        return Versions(spark, path, self.keys, self.schema, self.fanout, self.idle_us)
+
+    def into(self, path: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+        """Write the states to ``path``; ``sink(changed states, batch)`` follows every batch."""
+        def batch(df: DataFrame, batch_id: int) -> None:
+            spark = df.sparkSession
+            held = self.versions(spark, path)
+            rows = cut(df) if batch_id else df
+            stored = held.of(rows.select(*self.keys).distinct(), batch_id)
+            done = held.put(batch_id, self.update(rows, stored))
+            if sink is not None:
+                sink(done.drop("version"), batch_id)
+
+        return self.stream.writeStream.foreachBatch(batch)
+
+
+REVIEW_STATE = f"user_id long, block_id long, {STATE_FIELDS}, last_us long, late boolean"
+
+
+def review_states(stream: DataFrame, mode: str = "block", idle_us: int | None = None, fanout: int = 8) -> KeyedFold:
+    """STR2: a stream of reviews to the current state per (user_id, block_id).
+
+    Inside a micro-batch the reviews of a key apply in event-time order, behind the state that the key had: sorted
+    partitions stream through the fold of SRS1 and SRS2 with one state in memory.  A review older than the last one already
+    applied is applied on arrival and marks the state ``late``.  last_us is the newest event time in microseconds."""
     step = {"block": step_block, "day": step_day}[mode]
-    state_schema = f"{STATE_FIELDS}, last_us long, late boolean"
-    names = [*STATE_NAMES, "last_us", "late"]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        s = dict(zip(names, state.get)) if state.exists else {**fresh_state(), "last_us": None, "late": False}
-        for us, rating, time_s, correct, total in zip(
-            rows["us"].tolist(), rows["rating"].tolist(), rows["time_s"].tolist(), rows["qa_correct"].tolist(), rows["qa_total"].tolist()
-        ):
-            s["late"] = bool(s["late"]) or (s["last_us"] is not None and us < s["last_us"])
-            step(s, rating, time_s, correct, total)
-            s["last_us"] = us if s["last_us"] is None else max(us, s["last_us"])
-        state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame([(*key, *[s[n] for n in names])], columns=["user_id", "block_id", *names])
+
+    def update(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+        initial = None if stored is None else stored.withColumn("last_reviewed_at", F.col("last_us"))
+        return fold_reviews(rows.withColumnRenamed("us", "ts"), step, initial=initial, late=True).select(
+            "user_id", "block_id", *STATE_NAMES, F.col("last_reviewed_at").alias("last_us"), "late")
 
     reviews = stream.select("user_id", "block_id", "event_id", micros(F.col("ts")).alias("us"), "rating", "time_s", "qa_correct", "qa_total")
-    return reviews.groupBy("user_id", "block_id").applyInPandasWithState(
-        update, f"user_id long, block_id long, {state_schema}", state_schema, "update", GroupStateTimeout.NoTimeout)
+    return KeyedFold(reviews, ["user_id", "block_id"], REVIEW_STATE, update, idle_us, fanout)
 
 
 # --- offline progress -------------------------------------------------------------------------
@@ -99,39 +116,37 @@ def validate_progress(reports: DataFrame, blocks: DataFrame, enhanced: bool = Fa
     return known.withColumn("error", error).drop("_known")
 
 
+PROGRESS_STATE = f"user_id long, block_id long, last_reviewed_at timestamp, {STATE_FIELDS}"
+
+
+def progress_versions(spark: SparkSession, path: str, fanout: int = 8) -> Versions:
+    """The state table of ``merge_progress``; ``current()`` reads the newest version of every state."""
+    return Versions(spark, path, ["user_id", "block_id"], PROGRESS_STATE, fanout)
+
+
 def merge_progress(
     stream: DataFrame, blocks: DataFrame, states_path: str, quarantine_path: str, counts_path: str,
-    watermark: str = "7 days", enhanced: bool = False, buckets: int = 64,
+    watermark: str = "7 days", enhanced: bool = False, fanout: int = 8,
 ) -> DataStreamWriter:
-    """STR3: offline reports into the state table at ``states_path``.
+    """STR3: offline reports into versions of the states at ``states_path``.
 
-    ``stream`` has PROGRESS_SCHEMA.  Retries of a report_id inside the watermark are dropped.  Bad rows go
-    to the quarantine table, counts per batch to ``counts_path``.  State rows carry the number of the
-    batch that wrote them, so a replayed batch finds its keys already up to date and skips them; only
-    the touched buckets of the table are rewritten.
-    """
+    ``stream`` has PROGRESS_SCHEMA.  Retries of a report_id inside the watermark are dropped.  Bad rows go to the quarantine
+    table, counts per batch to ``counts_path``.  A batch reads the states of its own keys and appends the changed ones; a
+    replayed batch reads the states from before it and leaves the same rows."""
     step = step_sync_enhanced if enhanced else step_sync
     keys = ["user_id", "block_id"]
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        checked = validate_progress(df, blocks, enhanced).persist()
-        try:
-            _write_batch(checked.where("error is not null"), quarantine_path, batch_id)
-            good = checked.where("error is null").select(
-                *keys, F.col("completed_at").alias("ts"), F.xxhash64("report_id").alias("event_id"), F.col("proficiency_rating").alias("rating"),
-                F.coalesce("time_spent_seconds", F.lit(0)).alias("time_s"), F.lit(0).alias("qa_correct"), F.lit(0).alias("qa_total"))
-            initial = None
-            if table_exists(spark, states_path):
-                stored = spark.read.parquet(states_path).drop("bucket")
-                good = good.join(stored.where(F.col("batch_id") == batch_id).select(*keys), keys, "left_anti")
-                initial = stored.join(good.select(*keys).distinct(), keys, "left_semi")
-            updated = fold_reviews(good, step, "new", initial).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            replace_by_key(updated, states_path, keys, buckets)
-            totals = checked.agg(F.count_if(F.col("error").isNull()).alias("synced"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-            _write_batch(totals, counts_path, batch_id)
-        finally:
-            checked.unpersist()
+        checked = cut(validate_progress(df, blocks, enhanced))
+        _write_batch(checked.where("error is not null"), quarantine_path, batch_id)
+        good = checked.where("error is null").select(
+            *keys, F.col("completed_at").alias("ts"), F.xxhash64("report_id").alias("event_id"), F.col("proficiency_rating").alias("rating"),
+            F.coalesce("time_spent_seconds", F.lit(0)).alias("time_s"), F.lit(0).alias("qa_correct"), F.lit(0).alias("qa_total"))
+        held = progress_versions(spark, states_path, fanout)
+        held.put(batch_id, fold_reviews(good, step, "new", held.of(good.select(*keys).distinct(), batch_id)))
+        totals = checked.agg(F.count_if(F.col("error").isNull()).alias("synced"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+        _write_batch(totals, counts_path, batch_id)
 
     return stream.withWatermark("completed_at", watermark).dropDuplicatesWithinWatermark(["report_id"]).writeStream.foreachBatch(batch)
 
@@ -170,41 +185,54 @@ def attempt_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def attempt_states(stream: DataFrame) -> DataFrame:
-    """STR5: attempt rows from a stream of events, in update mode; events apply in event-time order."""
-    schema = "status string, segments array<long>, study_s long, status_us long, status_event long, done_us long"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, segments, study, status_us, status_event, done_us = state.get if state.exists else ("active", [], None, None, None, None)
-        segments = set(segments)
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        for us, event, action, segment, time_s in zip(
-            rows["us"].tolist(), rows["event_id"].tolist(), rows["action"].tolist(), rows["segment_index"].tolist(), rows["time_s"].tolist()
-        ):
-            if action == "complete_segment":
-                segments.add(int(segment))
-            elif status_us is None or (us, event) >= (status_us, status_event):
-                status, status_us, status_event = ACTION_STATUS[action], us, event
-            if action == "complete" and (done_us is None or us >= done_us):
-                study, done_us = int(time_s), us
-        done = (status, sorted(segments), study, status_us, status_event, done_us)
-        state.update(done)
-        yield pd.DataFrame([(key[0], *done[:3])], columns=["attempt_id", "status", "segments", "study_s"])
+ATTEMPT_STATE = (
+    "attempt_id long, status string, status_at struct<us: bigint, event: bigint>, segments array<long>, study_s long, "
+    "done_at struct<us: bigint, event: bigint>, last_us long"
+)
+
+
+def attempt_states(stream: DataFrame, idle_us: int | None = None, fanout: int = 8) -> KeyedFold:
+    """STR5: attempt rows from a stream of events, whatever the order they arrive in.
+
+    What an event leaves (the latest status, the latest completion, a finished segment) is a maximum or a set, so a batch
+    is aggregated on the map side and one row per attempt meets the stored one."""
+    latest = lambda value, at: F.max_by(value, F.when(F.col(value).isNotNull() & F.col(at).isNotNull(), F.col(at)))
+
+    def combined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("attempt_id").agg(
+            latest("status", "status_at").alias("status"), F.max("status_at").alias("status_at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("segments")))).alias("segments"),
+            F.max_by("study_s", "done_at").alias("study_s"), F.max("done_at").alias("done_at"), F.max("last_us").alias("last_us"))
+
+    def update(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+        at = F.struct("us", F.col("event_id").alias("event"))
+        status = F
+        for action, value in ACTION_STATUS.items():
+            status = status.when(F.col("action") == action, value)
+        done = F.col("action") == "complete"
+        rows = rows.select("attempt_id", "us", status.otherwise(None).alias("status"), F.when(F.col("action").isin(*ACTION_STATUS), at).alias("status_at"),
+            F.when(F.col("action") == "complete_segment", F.col("segment_index").cast("long")).alias("segment"),
+            F.when(done, F.col("time_s").cast("long")).alias("study_s"), F.when(done, at).alias("done_at"))
+        rows = rows.groupBy("attempt_id").agg(
+            latest("status", "status_at").alias("status"), F.max("status_at").alias("status_at"), F.collect_set("segment").alias("segments"),
+            F.max_by("study_s", "done_at").alias("study_s"), F.max("done_at").alias("done_at"), F.max("us").alias("last_us"))
+        both = rows if stored is None else rows.unionByName(stored.drop("version"))
+        out = combined(both)
+        return out.withColumn("status", F.coalesce("status", F.lit("active")))
 
     events = stream.select("attempt_id", "event_id", micros(F.col("ts")).alias("us"), "action", "segment_index", "time_s")
-    return events.groupBy("attempt_id").applyInPandasWithState(
-        update, "attempt_id long, status string, segments array<long>, study_s long", schema, "update", GroupStateTimeout.NoTimeout)
+    return KeyedFold(events, ["attempt_id"], ATTEMPT_STATE, update, idle_us, fanout)
 
 
 # --- running ----------------------------------------------------------------------------------
 
-def drain(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
-    """Run a stream over all available input into a parquet table below ``folder`` and read it back with batch_id."""
+def drain(stream: DataFrame | KeyedFold, folder: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all available input into a parquet table below ``folder`` and read it back with batch_id.
+
+    For a fold these are the states that each batch changed; the state table itself is at ``folder``/state."""
     spark: SparkSession = stream.sparkSession
     out = f"{folder}/rows"
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(lambda df, batch_id: _write_batch(df, out, batch_id))
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    write = lambda df, batch_id: _write_batch(df, out, batch_id)
+    writer = stream.into(f"{folder}/state", write) if isinstance(stream, KeyedFold) else stream.writeStream.outputMode(mode).foreachBatch(write)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
