@@ -174,15 +174,15 @@ def keep_earliest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def block_duplicates(blocks: DataFrame, tau: float = 0.85) -> DataFrame:
     """DUP8: (a, b, sim, kind): star pairs inside a hash group, and cosine pairs of different hashes.
 
-    ``blocks(block_id, content_hash, embedding)``.  Equal vectors are compared once: the cosine join runs
-    over all blocks, but a hash group contributes its star only.
+    ``blocks(block_id, content_hash, embedding)``.  Equal vectors are compared once, and those of one hash make no pairs:
+    a hash group contributes its star only.
     """
     hashes = blocks.where(F.coalesce(F.length("content_hash"), F.lit(0)) > 0).select("block_id", "content_hash")
     first = hashes.groupBy("content_hash").agg(F.min("block_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = hashes.join(first, "content_hash").where("block_id <> a").select(
         "a", F.col("block_id").alias("b"), F.lit(1.0).alias("sim"), F.lit("hash").alias("kind")
     )
-    pairs = dense_cosine_pairs(blocks, tau, "block_id")
+    pairs = dense_cosine_pairs(blocks, tau, "block_id", apart="content_hash")
     hash_of = blocks.select("block_id", F.coalesce("content_hash", F.lit("")).alias("h"))
     near = (
         pairs.join(hash_of.toDF("i", "hi"), "i").join(hash_of.toDF("j", "hj"), "j").where("hi <> hj")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.common import let
 from ..session import cut
+from .ranking import global_rank
 
 TILE = 1024          # rows per side of a tile
 MAX_PIVOTS = 1024    # cells of the metric partitioning
@@ -110,12 +111,12 @@ def sparse_cosine_pairs(vectors: DataFrame, tau: float = 0.65) -> DataFrame:
 
 # --- dense vectors ----------------------------------------------------------------------------
 
-def unit_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def unit_vectors(vecs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *kept: str) -> DataFrame:
     """(id, v): vectors of length one in double precision; zero and null vectors have no direction and drop out."""
     double = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
     unit = let(double, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
-    return vecs.select(F.col(id_col).cast("long").alias("id"), unit.alias("v")).where(F.col("v").isNotNull())
+    return vecs.select(F.col(id_col).cast("long").alias("id"), unit.alias("v"), *kept).where(F.col("v").isNotNull())
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -130,56 +131,108 @@ def _block_of(n: Column) -> Column:
     return F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
 
 
-def dense_cosine_pairs(vecs: DataFrame, tau: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def dense_cosine_pairs(vecs: DataFrame, tau: float, id_col: str = "vec_id", vec_col: str = "embedding", apart: str | None = None) -> DataFrame:
     """SIM4: (i, j, sim) for all i < j with cosine >= tau, exact.
 
-    Vectors go to the cell of their nearest pivot.  A pair that reaches tau lies within
-    eps = sqrt(2 - 2 tau), so a vector visits another cell only if it is within eps of the bisecting
-    plane; the lower cell of two compares them.  Cells larger than a tile are cut into blocks, every
-    pair of blocks being one bounded task, so one dense cell spreads over many tasks.  Only pairs that
-    pass leave a task.  On the driver: the pivots and the size of each cell, both bounded.
+    Equal vectors are compared once and their pairs filled in afterwards.  With ``apart``, equal vectors that agree in that
+    column give no pair with each other.  See ``_distinct_pairs`` for how different vectors meet.
     """
-    unit = unit_vectors(vecs, id_col, vec_col)
-    total = unit.count()
-    cells = min(MAX_PIVOTS, _blocks(total))
-    if cells == 1:
-        homed = unit.select("id", "v", F.lit(0).alias("cell"), F.lit(True).alias("home"))
-        sizes = {0: total}
+    same = F.coalesce(F.col(apart).cast("string"), F.lit("")) if apart else F.lit("")
+    unit = cut(unit_vectors(vecs.withColumn("_apart", same), id_col, vec_col, "_apart"))
+    # a vector's hash finds it, the vector itself decides
+    keyed = unit.withColumn("h", F.xxhash64("v"))
+    groups = cut(keyed.groupBy("h", "v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    pairs = _distinct_pairs(groups.select("id", "v"), tau)
+    several = groups.where("n > 1").select("h", "v", F.col("id").alias("rep"))
+    if several.isEmpty():
+        return pairs
+    members = cut(keyed.join(several, ["h", "v"]).select("id", "rep", "_apart"))
+    other = lambda df, end: df.join(members.select(F.col("rep").alias(end), F.col("id").alias("_id")), end, "left").withColumn(
+        end, F.coalesce("_id", end)).drop("_id")
+    across = other(other(pairs, "i"), "j")
+    if apart is None:
+        inside = members.select("rep", F.col("id").alias("i")).join(members.select("rep", F.col("id").alias("j")), "rep").where("i < j").select("i", "j")
     else:
-        picked = unit.orderBy(F.xxhash64("id"), "id").limit(cells).collect()
-        pivots = np.array([row["v"] for row in picked])
-        homed = cut(_assign(unit, pivots, math.sqrt(max(0.0, 2 - 2 * tau)) + 1e-6))
-        counted = homed.where("home").groupBy("cell").count().collect()
-        sizes = {row["cell"]: row["count"] for row in counted}
-    n_blocks = F.coalesce(
-        F.try_element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, _blocks(n))]), F.col("cell")), F.lit(1)
-    )
-    placed = homed.withColumn("nb", n_blocks).withColumn("b", _block_of(F.col("nb")))
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    # a tile is (cell, p, q); members of a block are its left side for q >= p and its right side for p <= q
-    as_left = placed.select("id", "v", "home", "cell", F.col("b").alias("p"), F.explode(
-        F.when(F.col("home"), F.filter(every, lambda q: q >= F.col("b"))).otherwise(every)).alias("q"), F.lit(0).alias("side"))
-    as_right = placed.where("home").select("id", "v", "home", "cell", F.explode(every).alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"))
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
-        sims = np.round(_matrix(left["v"]) @ _matrix(right["v"]).T, 6)
-        home, diagonal = left["home"].to_numpy(), int(pdf["p"].iloc[0]) == int(pdf["q"].iloc[0])
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        kinds = members.select("rep", "_apart").distinct()
+        met = kinds.join(kinds.select("rep", F.col("_apart").alias("_other")), "rep").where("_apart < _other")
+        left = met.join(members.select("rep", "_apart", F.col("id").alias("i")), ["rep", "_apart"])
+        inside = left.join(members.select("rep", F.col("_apart").alias("_other"), F.col("id").alias("j")), ["rep", "_other"]).select("i", "j")
+    every = across.unionByName(inside.withColumn("sim", F.lit(1.0))) if tau <= 1 else across
+    return every.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sim")
+
+
+#: Numbers of a vector whose ranges are kept per block.
+LEADING = 8
+BLOCK = "cell int, home boolean, b int, ids binary, vectors binary, low array<double>, high array<double>, rest double, near double, far double"
+
+
+def _distinct_pairs(unit: DataFrame, tau: float) -> DataFrame:
+    """The pairs of ``unit(id, v)`` that reach tau.
+
+    Vectors go to the cell of their nearest pivot.  A pair that reaches tau lies within eps = sqrt(2 - 2 tau), so a vector
+    visits another cell only if it is within eps of the bisecting plane; the lower cell of two compares them.  In a cell the
+    home vectors and the visitors are numbered by their distance from the pivot and cut into blocks of at most TILE, by
+    counts of both, so no tile (two home blocks, or a visiting and a home block) passes TILE on either side however dense a
+    cell is.  A block is packed once, with the range of its distances, the ranges of its leading numbers and the largest
+    length of the rest; two blocks whose ranges keep any pair below tau make no tile.  A block is sent once per tile it is
+    in.  On the driver: the pivots and two counts per cell, both bounded.
+    """
+    tiles, blocks = _tiles(unit, tau)
+    sides = [
+        tiles.join(blocks.select("cell", F.col("home").alias(f"h{x}"), F.col("b").alias(x), "ids", "vectors"), ["cell", f"h{x}", x])
+        .select("cell", "hp", "p", "q", F.lit(at).alias("side"), "ids", "vectors") for at, x in enumerate(("p", "q"))
+    ]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf[pdf["side"] == at].iloc[0] for at in (0, 1))
+        a, b = np.frombuffer(one["ids"], np.int64), np.frombuffer(two["ids"], np.int64)
+        x, y = (np.frombuffer(side["vectors"]).reshape(len(ids), -1) for side, ids in ((one, a), (two, b)))
+        sims = np.round(x @ y.T, 6)
         keep = sims >= tau
-        # inside a cell each pair belongs to one tile: members of p < q once, members of p = q by id order
-        inner = (a[:, None] < b[None, :]) if diagonal else np.full(sims.shape, int(pdf["p"].iloc[0]) < int(pdf["q"].iloc[0]))
-        keep &= np.where(home[:, None], inner, True)
+        if one["hp"] and one["p"] == one["q"]:
+            keep &= a[:, None] < b[None, :]
         rows, cols = np.nonzero(keep)
         x, y = a[rows], b[cols]
         return pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "sim": sims[rows, cols]})
 
-    return as_left.unionByName(as_right).groupBy("cell", "p", "q").applyInPandas(tile, "i long, j long, sim double")
+    return sides[0].unionByName(sides[1]).groupBy("cell", "hp", "p", "q").applyInPandas(compare, "i long, j long, sim double")
+
+
+def _tiles(unit: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
+    """(cell, hp, p, hq, q) of the tiles, p at home or visiting and q at home, and the blocks, as written tables."""
+    total = unit.count()
+    eps = math.sqrt(max(0.0, 2 - 2 * tau)) + 1e-6
+    picked = unit.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, _blocks(total))).collect()
+    if not picked:
+        picked = [{"v": [1.0]}]
+    homed = _assign(unit, np.array([row["v"] for row in picked]), eps)
+    order = [F.col("cell"), F.col("home"), F.col("d"), F.col("id")]
+    placed = cut(global_rank(cut(homed), order, "at"))
+    counts = placed.groupBy("cell", "home").agg(F.min("at").alias("first"))     # two rows per cell at most
+    numbered = placed.join(F.broadcast(counts), ["cell", "home"]).withColumn("b", F.floor((F.col("at") - F.col("first")) / TILE).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, lead = _matrix(pdf["v"]), slice(0, LEADING)
+        return pd.DataFrame([(
+            pdf["cell"].iloc[0], pdf["home"].iloc[0], pdf["b"].iloc[0], pdf["id"].to_numpy().tobytes(), x.tobytes(), x[:, lead].min(0), x[:, lead].max(0),
+            float(np.sqrt((x[:, LEADING:] ** 2).sum(1)).max()), float(pdf["d"].min()), float(pdf["d"].max()),
+        )], columns=[f.split()[0] for f in BLOCK.split(", ")])
+
+    blocks = cut(numbered.select("cell", "home", "b", "id", "v", "d").groupBy("cell", "home", "b").applyInPandas(pack, BLOCK))
+    ranges = blocks.drop("ids", "vectors")
+    name = lambda x: ranges.select("cell", F.struct(*[c for c in ranges.columns if c != "cell"]).alias(x))
+    both = name("x").join(name("y").where("y.home"), "cell").where("not x.home or x.b <= y.b")
+    ends = F.zip_with(F.arrays_zip("x.low", "x.high"), F.arrays_zip("y.low", "y.high"), lambda x, y: F.greatest(
+        x["low"] * y["low"], x["low"] * y["high"], x["high"] * y["low"], x["high"] * y["high"]))
+    most = F.aggregate(ends, F.lit(0.0), lambda acc, x: acc + x) + F.col("x.rest") * F.col("y.rest")
+    gap = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
+    met = both.where((most >= tau - 1e-6) & (gap <= eps))
+    return cut(met.select("cell", F.col("x.home").alias("hp"), F.col("x.b").alias("p"), F.col("y.home").alias("hq"), F.col("y.b").alias("q"))), blocks
 
 
 def _assign(unit: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
-    """(id, v, cell, home): every vector in its home cell and in the lower cells whose border lies within ``eps``."""
+    """(id, v, cell, home, d): every vector in its home cell and in the lower cells whose border lies within ``eps``, with its
+    distance from the cell's pivot."""
     gaps = np.sqrt(np.maximum(0.0, ((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1)))
     lengths = (pivots * pivots).sum(1)
 
@@ -195,9 +248,12 @@ def _assign(unit: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
             visits = (border <= eps) & (np.arange(len(pivots))[None, :] < home[:, None])
             visits[np.arange(len(x)), home] = True
             rows, cells = np.nonzero(visits)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32"), "home": cells == home[rows]})
+            yield pd.DataFrame({
+                "id": batch["id"].to_numpy()[rows], "v": batch["v"].to_numpy()[rows], "cell": cells.astype("int32"), "home": cells == home[rows],
+                "d": np.sqrt(far[rows, cells]),
+            })
 
-    return unit.mapInPandas(place, "id long, v array<double>, cell int, home boolean")
+    return unit.mapInPandas(place, "id long, v array<double>, cell int, home boolean, d double")
 
 
 def nearest_existing(new: DataFrame, existing: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
