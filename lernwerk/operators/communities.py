@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import cut
+from ..session import Parts, cut
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,99 +38,53 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def greedy_merges(edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Greedy modularity on one connected graph: node -> community label.
+def modularity_communities(edges: DataFrame, nodes: DataFrame, graph_key: str = "doc_id") -> DataFrame:
+    """COM1: (graph_key, node, community) by greedy modularity of every graph at the same time.
 
-    The best merge maximises 2m * E(u,v) - K(u) * K(v), an integer, so ties are exact and go to the
-    lowest pair.  Merging stops when no merge gains.
+    ``edges(graph_key, i, j)`` unweighted, ``nodes(graph_key, node)``.  A community is named by its smallest node.  Merging
+    two communities gains 2m * E(u, v) - K(u) * K(v), an integer, so gains compare exactly; ties go to the pair with the
+    smallest names.  In a round every community takes its best neighbour, and all pairs that chose each other merge at
+    once: they share no community, and the best pair of a graph is always among them.  A graph is done when no merge gains.
+    A link carries the degrees of its ends, so a round is one aggregate for the choice and one for the merged links,
+    whatever the size of a graph; the rows of a large graph spread over its communities.
     """
-    links: dict[int, dict[int, int]] = {}
-    for u, v in edges:
-        for a, b in ((u, v), (v, u)):
-            links.setdefault(a, {})
-            links[a][b] = links[a].get(b, 0) + 1
-    degree = {u: sum(around.values()) for u, around in links.items()}
-    label = {u: u for u in links}
-    return _merge(links, degree, label, sum(degree.values()))
-
-
-def _merge(links, degree, label, doubled) -> dict[int, int]:
-    members = {u: [u] for u in links}
+    plain = edges.select(F.col(graph_key).alias("g"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct()
+    both = cut(plain.unionByName(plain.select("g", F.col("b").alias("a"), F.col("a").alias("b"))))
+    doubled = both.groupBy("g").agg(F.count("*").alias("m2"))
+    degree = both.groupBy("g", "a").agg(F.count("*").alias("k"))
+    links = cut(
+        both.join(doubled, "g").join(degree.withColumnRenamed("k", "ka"), ["g", "a"])
+        .join(degree.select("g", F.col("a").alias("b"), F.col("k").alias("kb")), ["g", "b"]).withColumn("e", F.lit(1).cast("long"))
+    )
+    merges = Parts(edges.sparkSession)
     while True:
-        best = max(
-            ((doubled * e - degree[u] * degree[v], -u, -v) for u, around in links.items() for v, e in around.items() if u < v),
-            default=None,
-        )
-        if best is None or best[0] <= 0:
+        gain = F.col("m2") * F.col("e") - F.col("ka") * F.col("kb")
+        choice = F.max(F.struct(gain.alias("gain"), -F.least("a", "b"), -F.greatest("a", "b"), "b", (F.col("ka") + F.col("kb")).alias("k"))).alias("c")
+        best = cut(links.where(gain > 0).groupBy("g", "a").agg(choice).select("g", "a", "c.b", "c.k"))
+        mutual = best.where("a < b").join(best.select("g", F.col("b").alias("a"), F.col("a").alias("b")), ["g", "a", "b"])
+        merged = merges.add(mutual)
+        if merged.isEmpty():
             break
-        u, v = -best[1], -best[2]
-        for w, e in links.pop(u).items():
-            links[w].pop(u)
-            if w != v:
-                links[v][w] = links[v].get(w, 0) + e
-                links[w][v] = links[w].get(v, 0) + e
-        degree[v] += degree.pop(u)
-        members[v] += members.pop(u)
-    for group in members.values():
-        low = min(group)
-        for node in group:
-            label[node] = low
-    return label
-
-
-def modularity_communities(edges: DataFrame, nodes: DataFrame, graph_key: str = "doc_id", small: int = 2000) -> DataFrame:
-    """COM1: (graph_key, node, community) by greedy modularity of every graph at the same time.
-
-    ``edges(graph_key, i, j)`` unweighted, ``nodes(graph_key, node)``.  A community is named by its
-    smallest node.  Graphs of up to ``small`` edges are merged inside one task each; larger ones by
-    DataFrame rounds, one best merge per graph and round, with the same integer gains and ties.
-    """
-    plain = edges.select(F.col(graph_key).alias("g"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i < j").distinct()
-    sizes = plain.groupBy("g").agg(F.count("*").alias("m"))
-    sized = cut(plain.join(sizes, "g"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = greedy_merges(list(zip(pdf["i"].tolist(), pdf["j"].tolist())))
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "node": list(label), "community": list(label.values())})
-
-    done = sized.where(F.col("m") <= small).groupBy("g").applyInPandas(solve, "g long, node long, community long")
-    large = sized.where(F.col("m") > small)
-    if not large.isEmpty():
-        done = done.unionByName(_merge_rounds(large))
-    out = nodes.select(F.col(graph_key).alias("g"), "node").distinct().join(done, ["g", "node"], "left")
+        moved = merged.select("g", F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("to"), "k")
+        going = links.join(merged.select("g").distinct(), "g", "left_semi")
+        for end in ("a", "b"):
+            step = moved.select("g", F.col("c").alias(end), F.col("to").alias("_to"), F.col("k").alias("_k"))
+            going = going.join(step, ["g", end], "left").withColumn(end, F.coalesce("_to", end)).withColumn(f"k{end}", F.coalesce("_k", f"k{end}")).drop("_to", "_k")
+        links = cut(going.where("a <> b").groupBy("g", "a", "b").agg(F.sum("e").alias("e"), *[F.max(c).alias(c) for c in ("m2", "ka", "kb")]))
+    label = _last_names(merges.table().select("g", F.col("b").alias("node"), F.col("a").alias("community")))
+    out = nodes.select(F.col(graph_key).alias("g"), "node").distinct().join(label, ["g", "node"], "left")
     return out.select(F.col("g").alias(graph_key), "node", F.coalesce("community", "node").alias("community"))
 
 
-def _merge_rounds(edges: DataFrame) -> DataFrame:
-    """One best merge per graph and round over the aggregated community graph."""
-    m2 = edges.select("g", (F.col("m") * 2).alias("m2")).distinct()
-    ends = edges.select("g", F.col("i").alias("node")).union(edges.select("g", F.col("j").alias("node")))
-    degree = cut(ends.groupBy("g", "node").agg(F.count("*").alias("k")).withColumnRenamed("node", "c"))
-    member = cut(degree.select("g", F.col("c").alias("node"), "c"))
-    links = cut(edges.join(m2, "g").select("g", "m2", F.col("i").alias("u"), F.col("j").alias("v"), F.lit(1).cast("long").alias("e")))
+def _last_names(parent: DataFrame) -> DataFrame:
+    """``parent(g, node, community)`` with the end of each node's chain; every round doubles the step."""
+    now = cut(parent)
     while True:
-        ku = degree.select("g", F.col("c").alias("u"), F.col("k").alias("ku"))
-        kv = degree.select("g", F.col("c").alias("v"), F.col("k").alias("kv"))
-        gain = links.join(ku, ["g", "u"]).join(kv, ["g", "v"]).withColumn("gain", F.col("m2") * F.col("e") - F.col("ku") * F.col("kv"))
-        best = gain.where("gain > 0").groupBy("g").agg(F.max(F.struct("gain", -F.col("u"), -F.col("v"))).alias("b"))
-        best = cut(best.select("g", (-F.col("b.col2")).alias("u"), (-F.col("b.col3")).alias("v")))
-        if best.isEmpty():
-            break
-        into = best.select("g", F.col("u").alias("c"), F.col("v").alias("to"))
-
-        def relabel(df: DataFrame, column: str) -> DataFrame:
-            step = into.withColumnRenamed("c", column)
-            return df.join(step, ["g", column], "left").withColumn(column, F.coalesce("to", column)).drop("to")
-
-        member = cut(relabel(member, "c"))
-        degree = cut(relabel(degree, "c").groupBy("g", "c").agg(F.sum("k").alias("k")))
-        moved = relabel(relabel(links, "u"), "v").where("u <> v")
-        links = cut(
-            moved.groupBy("g", "m2", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-            .agg(F.sum("e").alias("e")).select("g", "m2", F.col("a").alias("u"), F.col("b").alias("v"), "e")
-        )
-    low = member.groupBy("g", "c").agg(F.min("node").alias("community"))
-    return member.join(low, ["g", "c"]).select("g", "node", "community")
+        further = now.select("g", F.col("node").alias("community"), F.col("community").alias("_next"))
+        step = cut(now.join(further, ["g", "community"], "left"))
+        now = step.select("g", "node", F.coalesce("_next", "community").alias("community"))
+        if step.where("_next is not null").isEmpty():
+            return now
 
 
 def community_chunks(members: DataFrame, chunks: DataFrame) -> DataFrame:

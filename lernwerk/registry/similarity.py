@@ -89,6 +89,41 @@ def _communities(t):
     return _members(t)
 
 
+def q_communities(pairs: str) -> str:
+    """Rounds of mutual choices over ``pairs(doc_id, i, j)`` in DuckDB, as ``named(doc_id, node, community)``."""
+    return f"""
+  edge as (select distinct doc_id as g, least(i, j) as a, greatest(i, j) as b from {pairs} where i <> j),
+  both_ends as (select g, a, b from edge union all select g, b, a from edge),
+  deg as (select g, a, count(*) as k from both_ends group by all),
+  start as (select s.g, s.a, s.b, 1::bigint as e, x.k as ka, y.k as kb, count(*) over (partition by s.g) as m2
+    from both_ends s join deg x on x.g = s.g and x.a = s.a join deg y on y.g = s.g and y.a = s.b),
+  -- rows of links (node is null), and of nodes with their community a
+  rounds as (
+    select 0 as nth, g, null::bigint as node, a, b, e, ka, kb, m2 from start
+    union all select 0, g, a, a, null, null, null, null, null from deg
+    union all
+    select * from (
+      with best as (select g, a, arg_max(b, (m2 * e - ka * kb, -least(a, b), -greatest(a, b))) as b, arg_max(ka + kb, (m2 * e - ka * kb, -least(a, b), -greatest(a, b))) as k
+          from rounds where node is null and m2 * e - ka * kb > 0 group by g, a),
+        merged as (select x.g, x.a, x.b, x.k from best x join best y on y.g = x.g and y.a = x.b and y.b = x.a where x.a < x.b),
+        moved as (select g, a as c, a as t, k from merged union all select g, b, a, k from merged)
+      select r.nth + 1, r.g, null::bigint, coalesce(x.t, r.a) as a2, coalesce(y.t, r.b) as b2, sum(r.e)::bigint, max(coalesce(x.k, r.ka)), max(coalesce(y.k, r.kb)), max(r.m2)
+        from rounds r left join moved x on x.g = r.g and x.c = r.a left join moved y on y.g = r.g and y.c = r.b
+        where r.node is null and exists (select 1 from merged) and coalesce(x.t, r.a) <> coalesce(y.t, r.b) group by r.nth, r.g, a2, b2
+      union all
+      select r.nth + 1, r.g, r.node, coalesce(x.t, r.a), null, null, null, null, null
+        from rounds r left join moved x on x.g = r.g and x.c = r.a where r.node is not null and exists (select 1 from merged)
+    )),
+  named as (select g as doc_id, node, a as community from rounds where node is not null qualify row_number() over (partition by g, node order by nth desc) = 1)"""
+
+
+COMMUNITY_SQL = check_sql("chunks", f"""with {FREQ_CTES} {q_pairs(0.6)}, {q_communities('pairs')}
+  select c.doc_id, c.chunk_order as node, coalesce(n.community, c.chunk_order) as community from chunks c left join named n on n.doc_id = c.doc_id and n.node = c.chunk_order""", recursive=True)
+COMMUNITY_STATS_SQL = check_sql("chunks", f"""with {FREQ_CTES} {q_pairs(0.6)}, {q_communities('pairs')},
+  sizes as (select c.doc_id, coalesce(n.community, c.chunk_order) as community, count(*) as size from chunks c left join named n on n.doc_id = c.doc_id and n.node = c.chunk_order group by all)
+  select count(*) as n_communities, round(avg(size), 6) as mean_size, max(size) as largest, (select count(*) from pairs) as n_edges, 'greedy_modularity' as method, 0.6::double as tau from sizes""", recursive=True)
+
+
 def _community_chunks(t):
     """Documents' chunks grouped by the components of their similarity graph (checkable in SQL)."""
     pairs = _doc_edges(t)
@@ -127,8 +162,8 @@ QUERIES = [
     Query("nearest_existing", _nearest, "with " + EMB_PAIRS.format(op="<>") + """, r as (select *, row_number() over (partition by i order by sim desc, j) as rank from pairs)
       select i as new_id, rank, j as existing_id, round(sim, 4) as sim from r where rank <= 5"""),
     Query("components", _components, check_sql("edges", "with rel as (select src, dst from edges where rel_type = 'related')," + q_components("rel", "select vec_id as node from embeddings") + " select node, component from comps", recursive=True)),
-    Query("modularity_communities", _communities, None),
-    Query("community_stats", _community_stats, None),
+    Query("modularity_communities", _communities, COMMUNITY_SQL),
+    Query("community_stats", _community_stats, COMMUNITY_STATS_SQL),
     Query("community_chunks", _community_chunks, CHUNK_COMM_SQL),
     Query("pair_groups", _pair_groups, "with recursive " + EMB_PAIRS.format(op="<") + ", p as (select * from pairs where sim >= 0.35), e as (select i as src, j as dst from p)," + q_components("e", "select vec_id as node from embeddings") + """,
       s as (select component, count(*) as n_members from comps group by component),
