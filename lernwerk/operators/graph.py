@@ -180,44 +180,112 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- orders -----------------------------------------------------------------------------------
 
+#: Chains are contracted in every so many rounds.
+CONTRACT = 4
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, layer): the length of the longest path that ends in each node; nodes in or behind cycles are left out.
+
+    ``nodes(node)`` distinct, ``edges(src, dst)`` between them.  A node with one open predecessor hangs on it at a known
+    distance; such chains are contracted by pointer doubling, a node whose predecessors are all known hangs on the start
+    (null), and parallel edges that contraction leaves keep the longest.  Every round settles the nodes whose predecessors are
+    all known, every CONTRACT-th one all chains too, however long: the rounds follow the junctions on a path, not its nodes.
+    """
+    start = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    kind = dict(edges.dtypes)["src"]
+    open_ = cut(
+        edges.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long"))
+        .unionByName(start.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("w")))
+    )
+    hung, nth = Parts(nodes.sparkSession), 0
+    while True:
+        contract = nth % CONTRACT == 0
+        single = open_.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("head"), F.first("w").alias("w"))
+        single = single.where("n = 1" if contract else "n = 1 and head is null")
+        settled = hung.add(single.select(F.col("dst").alias("node"), "head", "w"))
+        if settled.isEmpty():
+            if contract:
+                break
+            nth += -nth % CONTRACT
+            continue
+        nth += 1
+        settled = _hang(settled) if contract else settled
+        known = settled.select(F.col("node").alias("src"), F.col("head").alias("_head"), F.col("w").alias("_w"))
+        rest = open_.join(settled.select(F.col("node").alias("dst")), "dst", "left_anti").join(known, "src", "left")
+        moved = rest.select(F.when(F.col("_w").isNull(), F.col("src")).otherwise(F.col("_head")).alias("src"), "dst", (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"))
+        open_ = cut(moved.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    table = hung.table()
+    if table is None:
+        return nodes.select("node", F.lit(0).cast("long").alias("layer")).limit(0)
+    return _hang(table).where("head is null").select("node", F.col("w").alias("layer"))
+
+
+def _hang(table: DataFrame) -> DataFrame:
+    """``table(node, head, w)`` with the end of each chain of heads and the distance from it; chains that run into a cycle stay open."""
+    left = None
+    while left is None or left > 0:
+        step = table.select(F.col("node").alias("head"), F.col("head").alias("_next"), F.col("w").alias("_w"))
+        joined = table.join(step, "head", "left")
+        if joined.where("_w is not null").isEmpty():
+            break
+        left = table.count().bit_length() if left is None else left - 1
+        table = cut(joined.select("node", F.when(F.col("_w").isNull(), F.col("head")).otherwise(F.col("_next")).alias("head"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w")))
+    return table
+
+
 def topo_order(nodes: DataFrame, edges: DataFrame, append_cycles: bool = True, leftover: list[Column] | None = None) -> DataFrame:
     """GRF9: (node, pos, layer) in the order of a first-in-first-out topological sort.
 
-    ``nodes(node, base, ...)``: base breaks ties.  Layer by layer: a node is ready when its last
-    predecessor was placed in the layer before; inside a layer it sorts by the place of that
-    predecessor, then by base.  Nodes in or behind cycles follow in ``leftover`` order (base by
-    default) with layer null.  One round per layer, so the longest path bounds the rounds; each layer is written once
-    and all are read in one scan.
+    ``nodes(node, base, ...)``: base breaks ties.  A node's layer is its depth (see ``depths``); inside a layer it sorts by the
+    place of its last predecessor, then by base.  Nodes in or behind cycles follow in ``leftover`` order (base by default)
+    with layer null.  Where a layer has a node with several predecessors in the layer before, the last of them must be
+    known first; from there to the next such layer every node has one, and the layers in between are sorted at once by
+    doubling the steps up.  So the rounds are those layers, plus the logarithm of the layers between two of them.
     """
     base = nodes.dropDuplicates(["node"])
     known = base.select("node")
     live = cut(edges.select("src", "dst").join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
-    waits = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("wait"))
-    rest = cut(base.join(waits, "node", "left").select(
-        "node", "base", F.coalesce("wait", F.lit(0)).alias("wait"), F.lit(0).cast("long").alias("after")))
-    layers = Parts(nodes.sparkSession)
-    offset = layer = 0
-    while True:
-        ready = rest.where("wait = 0").select("node", "base", "after")
-        count = ready.count()
-        if count == 0:
+    layered = cut(base.join(depths(known, live), "node").select("node", "base", "layer").repartitionByRange("layer"))
+    above = layered.select(F.col("node").alias("src"), (F.col("layer") + 1).alias("layer"))
+    steps = live.distinct().join(above, "src").join(layered.select(F.col("node").alias("dst"), "layer"), ["dst", "layer"])
+    ups = cut(steps.select("layer", F.col("dst").alias("node"), F.col("src").alias("up")).repartitionByRange("layer"))
+    several = ups.groupBy("layer", "node").agg(F.count("*").alias("n")).where("n > 1").select("layer").distinct()
+    first = [0, *sorted(r["layer"] for r in several.collect())]        # one round each
+    stretch = F.size(F.filter(F.lit(first), lambda x: x <= F.col("layer"))) - 1
+    sizes = {r["stretch"]: r for r in layered.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("n"), (F.max("layer") + 1).alias("end")).collect()}
+    order, offset, last = Parts(nodes.sparkSession), 0, None
+    for nth, at in enumerate(first):
+        if nth not in sizes:
             break
-        ranked = global_rank(ready, [F.col("after"), F.col("base"), F.col("node")], "rank", count)
-        placed = layers.add(ranked.select("node", (F.col("rank") + offset).alias("pos"), F.lit(layer).cast("long").alias("layer")))
-        met = live.join(placed.select(F.col("node").alias("src"), (F.col("pos") - offset).alias("rank")), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.count("*").alias("n"), F.max("rank").alias("last"))
-        rest = cut(rest.where("wait > 0").join(met, "node", "left").select(
-            "node", "base", (F.col("wait") - F.coalesce("n", F.lit(0))).alias("wait"), F.coalesce("last", "after").alias("after")))
+        count, end = sizes[nth]["n"], sizes[nth]["end"]
+        rows = layered.where((F.col("layer") >= at) & (F.col("layer") < end))
+        met = ups.where((F.col("layer") >= at) & (F.col("layer") < end))
+        if last is None:
+            after = met.where(F.lit(False)).select("node", F.lit(0).cast("long").alias("after"))
+        else:
+            after = met.where(F.col("layer") == at).join(last.select(F.col("node").alias("up"), "pos"), "up").groupBy("node").agg(F.max("pos").alias("after"))
+        rows = rows.join(after, "node", "left").withColumn("after", F.coalesce("after", F.lit(0).cast("long")))
+        if end > at + 1:
+            rows = rows.join(met.where(F.col("layer") > at).select("node", "up"), "node", "left")
+            rows = cut(global_rank(rows, [F.col("layer"), F.col("after"), F.col("base"), F.col("node")], "rank", count).select("node", "layer", "up", "rank"))
+            for _ in range((end - at - 1).bit_length()):
+                higher = rows.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("rank").alias("_rank"))
+                joined = rows.join(higher, "up", "left").withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long")))
+                ranked = global_rank(joined.withColumnRenamed("rank", "_own"), [F.col("layer"), F.col("_rank"), F.col("_own")], "rank", count)
+                rows = cut(ranked.select("node", "layer", F.col("_up").alias("up"), "rank"))
+        else:
+            rows = global_rank(rows, [F.col("after"), F.col("base"), F.col("node")], "rank", count)
+        done = order.add(rows.select("node", (F.col("rank") + offset).alias("pos"), "layer"))
         offset += count
-        layer += 1
+        last = done.where(F.col("layer") == end - 1)
     if append_cycles:
-        tail = base.join(rest.select("node"), "node", "left_semi")
-        order = leftover or [F.col("base")]
-        placed = global_rank(tail, [*order, F.col("node")], "rank").select(
-            "node", (F.col("rank") + offset).alias("pos"), F.lit(None).cast("long").alias("layer"))
-        layers.add(placed)
-    out = layers.table()
-    return base.select("node", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("layer")) if out is None else out
+        tail = base.join(layered.select("node"), "node", "left_anti")
+        by = leftover or [F.col("base")]
+        placed = global_rank(tail, [*by, F.col("node")], "rank").select("node", (F.col("rank") + offset).alias("pos"), F.lit(None).cast("long").alias("layer"))
+        order.add(placed)
+    out = order.table()
+    return base.select("node", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("layer")).limit(0) if out is None else out
 
 
 def study_order(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -77,3 +77,69 @@ def test_path_metrics(spark):
     m = gr.path_metrics(path, blocks, edges).first()
     assert (m["total_blocks"], m["total_minutes"], m["study_days"]) == (3, 30.0, 1)
     assert (m["prerequisite_satisfaction"], m["difficulty_progression"], m["concept_coherence"]) == (50.0, 50.0, 0.0)
+
+
+def layers_of(nodes, edges):
+    """Longest paths, by relaxing edges until nothing changes; None in or behind cycles."""
+    before = {n: {a for a, b in edges if b == n} for n in nodes}
+    depth, more = {}, True
+    while more:
+        more = False
+        for n in nodes:
+            if n not in depth and all(a in depth for a in before[n]):
+                depth[n], more = max((depth[a] + 1 for a in before[n]), default=0), True
+    return depth
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    """10,000 nodes in a row, with a few forks, chains beside it and a cycle at its end."""
+    n = 10_000
+    edges = [(i, i + 1) for i in range(n - 1)] + [(5, 20_000), (20_000, 20_001), (20_001, 300), (700, 30_000), (n - 1, 40_000), (40_000, 40_001), (40_001, 40_000), (40_001, 40_002)]
+    nodes = sorted({x for e in edges for x in e})
+    rounds = []
+    old = gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: rounds.append(1) or old(df))
+    df = spark.createDataFrame([(x, -x) for x in nodes], "node long, base long")
+    got = {r["node"]: r for r in gr.topo_order(df, spark.createDataFrame(edges, "src long, dst long").repartition(4)).collect()}
+    assert len(rounds) < 120
+    depth = layers_of_path = {i: i for i in range(n)} | {20_000: 6, 20_001: 7, 30_000: 701}
+    assert {k: r["layer"] for k, r in got.items() if r["layer"] is not None} == depth
+    # one place per node, by layer, then by the place of the last predecessor
+    order = sorted(layers_of_path, key=lambda x: (depth[x], -x if depth[x] in (6, 7) else 0, x))
+    by_pos = sorted(depth, key=lambda x: got[x]["pos"])
+    assert [depth[x] for x in by_pos] == [depth[x] for x in order]
+    assert by_pos[6:8] == [20_000, 6] and by_pos[8:10] == [20_001, 7]
+    assert sorted(x for x, r in got.items() if r["layer"] is None) == [40_000, 40_001, 40_002]
+    assert sorted(r["pos"] for r in got.values()) == list(range(len(nodes)))
+
+
+def test_topo_order_of_chains_ladders_and_self_loops(spark):
+    rng = random.Random(9)
+    for trial in range(3):
+        edges, top = set(), 0
+        for _ in range(6):
+            kind, k = rng.choice(["chain", "ladder", "fan"]), rng.randint(2, 6)
+            if kind == "chain":
+                edges |= {(top + i, top + i + 1) for i in range(k)}
+            elif kind == "ladder":
+                edges |= {(top + 2 * i + a, top + 2 * i + 2 + b) for i in range(k) for a in (0, 1) for b in (0, 1)}
+            else:
+                edges |= {(top, top + i + 1) for i in range(k)} | {(top + i + 1, top + k + 1) for i in range(k)}
+            top = max(max(e) for e in edges) - rng.randint(0, 2)
+        nodes = list(range(max(max(e) for e in edges) + 2))
+        perm = nodes[:]
+        rng.shuffle(perm)
+        edges = {(a, b) for a, b in edges if a != b}
+        if trial == 2:
+            edges.add((4, 4))
+        # the queue takes nodes of equal rank in the order of their base, which is their number after the shuffle
+        named = {(perm[a], perm[b]) for a, b in edges}
+        df = spark.createDataFrame([(x, x) for x in nodes], "node long, base long")
+        got = gr.topo_order(df, spark.createDataFrame(sorted(named), "src long, dst long")).orderBy("pos").collect()
+        assert {r["node"]: r["layer"] for r in got if r["layer"] is not None} == layers_of(nodes, named)
+        assert [r["node"] for r in got] == kahn(nodes, named)
+
+
+def test_topo_order_of_nothing(spark):
+    none = spark.createDataFrame([], "node long, base long")
+    assert gr.topo_order(none, spark.createDataFrame([], "src long, dst long")).isEmpty()
