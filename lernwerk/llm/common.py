@@ -38,6 +38,8 @@ class Shared:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._llm_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # shuffle files go when the driver's collector finds that nothing reads them
+        jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

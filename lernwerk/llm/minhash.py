@@ -33,6 +33,9 @@ CLASS = 1.15
 PARTS = 32
 #: Further pivots of an open bucket before all its pairs across groups.
 PIVOT_ROUNDS = 1
+#: Bytes of texts that a task works on at a time, and sets that meet one copy of their pivot's set.
+SLICE = 1 << 20
+PER_PIVOT = 200
 
 
 def super_minhash(items: np.ndarray, m: int) -> np.ndarray:
@@ -77,15 +80,6 @@ def band_hashes(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for _, _, data, offsets in slices(column):
-        start, end, at = word_spans(data, offsets)
-        words = span_hashes(data, start, end, lower=True)
-        for i in range(len(at) - 1):
-            yield np.unique(shingles(words[at[i]:at[i + 1]], k))
-
-
 def _fingerprint(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
@@ -95,15 +89,20 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
 
     def run(batches):
         for batch in batches:
-            n, fp, band = [], [], []
-            for items in _sets(batch.column("text"), k):
-                n.append(len(items))
-                fp.append(_fingerprint(items) if len(items) else None)
-                band.append(band_hashes(super_minhash(items, bands * rows), bands, rows) if len(items) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                names=["doc_id", "row_key", "n_shingles", "fp", "bands"],
-            )
+            ids, keys = batch.column("doc_id"), batch.column("row_key")
+            for first, last, data, offsets in slices(batch.column("text"), SLICE):
+                start, end, at = word_spans(data, offsets)
+                words = span_hashes(data, start, end, lower=True)
+                n, fp, band = [], [], []
+                for i in range(last - first):
+                    items = np.unique(shingles(words[at[i]:at[i + 1]], k))
+                    n.append(len(items))
+                    fp.append(_fingerprint(items) if len(items) else None)
+                    band.append(band_hashes(super_minhash(items, bands * rows), bands, rows) if len(items) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[first:last], keys[first:last], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
+                    names=["doc_id", "row_key", "n_shingles", "fp", "bands"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(
         run, "doc_id long, row_key long, n_shingles long, fp binary, bands array<long>"
@@ -116,7 +115,7 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for first, last, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in slices(batch.column("text"), SLICE):
                 start, end, cut = word_spans(data, offsets)
                 words = span_hashes(data, start, end, lower=True)
                 items = [np.unique(shingles(words[cut[i]:cut[i + 1]], k)).view(np.int64) for i in range(last - first)]
@@ -127,7 +126,7 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 )
                 at += last - first
 
-    return docs.select("fp", "pivot", "text").mapInArrow(run, "fp binary, pivot binary, items array<long>, parts array<int>")
+    return docs.select("fp", "pivot", "text").mapInArrow(run, "fp long, pivot long, items array<long>, parts array<int>")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -200,29 +199,45 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
     """(doc_id, row_key, n_shingles, component_id, kept) for each row of ``docs``; see the module's docstring."""
     spark = docs.sparkSession
     shared = Shared(spark)
-    sig = shared.put(signatures(docs, k, bands, rows))
-    nodes = sig.where("n_shingles > 0").groupBy("fp").agg(
+    whole = shared.put(signatures(docs, k, bands, rows))
+    nodes = whole.where("n_shingles > 0").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    nodes = shared.put(nodes)
-    banded = nodes.select("fp", F.explode("bands").alias("h"))
+    # a node has a number from here on, which is half of its fingerprint
+    numbered = shared.put(nodes.withColumnRenamed("fp", "print").withColumn("fp", F.monotonically_increasing_id()))
+    sig = shared.put(whole.drop("bands").withColumnRenamed("fp", "print"))
+    shared.drop(whole)
+    banded = numbered.select("fp", F.explode("bands").alias("h"))
     shared_bands = shared.put(banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"))
-    members = shared.put(banded.join(small(shared_bands), "h"))
-    score = members.groupBy("fp").agg(F.sum("size").alias("score"), F.count("*").alias("n_bands"))
-    scored = shared.put(score)
+    sized = shared.put(banded.join(small(shared_bands), "h"))
+    nodes = shared.put(numbered.drop("bands"))
+    shared.drop(numbered, shared_bands)
+    scored = shared.put(sized.groupBy("fp").agg(F.sum("size").alias("score")))
+    members = shared.put(sized.join(scored, "fp").select("h", "fp", "score"))
+    shared.drop(sized, scored)
     # the pivot of a bucket is the node that sits in the fullest buckets: the text the others were made from
-    ranked = members.select("h", "fp").join(scored, "fp")
-    pivots = ranked.groupBy("h").agg(F.max(F.struct("score", "fp")).alias("top")).select("h", F.col("top.score").alias("top_score"), F.col("top.fp").alias("pivot"))
-    pivots = shared.put(pivots)
+    pivots = shared.put(members.groupBy("h").agg(F.max(F.struct("score", "fp")).alias("top")).select("h", F.col("top.score").alias("top_score"), F.col("top.fp").alias("pivot")))
     proposed = members.select("h", "fp").join(pivots, "h").groupBy("fp").agg(F.max(F.struct("top_score", "pivot")).alias("p")).select("fp", F.col("p.pivot").alias("pivot"))
     wanted = shared.put(proposed.join(nodes.select("fp", "row_key", "n"), "fp"))
+    shared.drop(pivots)
     text = docs.select(row_key().alias("row_key"), "text").join(small(wanted), "row_key").drop("row_key")
     sets = shared.put(shingle_sets(text, k))
-    centre = sets.join(wanted.select("pivot").distinct().withColumnRenamed("pivot", "fp"), "fp", "left_semi").select(F.col("fp").alias("y"), F.col("items").alias("items_y"))
-    first = sets.where("fp <> pivot").select(F.col("fp").alias("x"), F.col("pivot").alias("y"), F.col("items").alias("items_x")).join(centre, "y")
+    shared.drop(wanted)
+    # what sizes and items by class can't rule out meets its pivot; whole sets travel for these alone
+    slim = sets.select("fp", "pivot", F.size("items").cast("long").alias("n"), "parts")
+    centre = slim.join(slim.select("pivot").distinct().withColumnRenamed("pivot", "fp"), "fp", "left_semi").select(F.col("fp").alias("pivot"), F.col("n").alias("m"), F.col("parts").alias("parts_y"))
+    most = F.aggregate(F.zip_with("parts", "parts_y", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    tested = shared.put(slim.where("fp <> pivot").select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")))
+    could = shared.put(slim.where("fp <> pivot").join(small(shared.put(centre), 200_000), "pivot").where(
+        (most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)).select(F.col("fp").alias("x"), F.col("pivot").alias("y")))
+    # a pivot with many copies is sent to several tasks
+    salts = shared.put(could.groupBy("y").agg(F.ceil(F.count("*") / PER_PIVOT).cast("int").alias("salts")))
+    centre = sets.join(salts.withColumnRenamed("y", "fp"), "fp").select(F.col("fp").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("items").alias("items_y"))
+    first = sets.select(F.col("fp").alias("x"), F.col("items").alias("items_x")).join(small(could), "x").join(small(salts), "y")
+    first = first.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int")).drop("salts").join(centre, ["y", "salt"])
     links = shared.put(_confirmed(first, percent))
-    tested = shared.put(sets.where("fp <> pivot").select(F.greatest("fp", "pivot").alias("a"), F.least("fp", "pivot").alias("b")))
     roots = shared.put(components(links, shared))
+    shared.drop(could, salts, links)
     size = _bounds(_open(members.select("h", "fp"), roots), nodes, sets, percent, shared)
     rows = shared.put(members.select("h", "fp").join(size, "fp"))
     used = None
@@ -243,15 +258,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, b
         if pairs.isEmpty():
             continue
         left = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).join(sets.select(F.col("fp").alias("x"), F.col("items").alias("items_x")), "x")
-        more = _confirmed(left.join(sets.select(F.col("fp").alias("y"), F.col("items").alias("items_y")), "y"), percent)
+        more = shared.put(_confirmed(left.join(sets.select(F.col("fp").alias("y"), F.col("items").alias("items_y")), "y"), percent))
         tested = tested.union(pairs)
         roots = shared.put(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), shared))
-    label = nodes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    label = nodes.select("print", "fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = shared.put(label.join(least, "root").select("fp", "component_id"))
-    shared.drop(sets, members, pivots, shared_bands)
-    out = sig.select("doc_id", "row_key", "n_shingles", "fp").join(label, "fp", "left")
-    own = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    label = shared.put(label.join(least, "root").select("print", "component_id"))
+    shared.drop(sets, members, nodes)
+    out = sig.join(label, "print", "left")
+    own = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_key", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
