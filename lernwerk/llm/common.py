@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,24 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; what it freed goes back to the system when it ends.
+
+    A Python worker outlives its task, and what its allocators keep would count against the executor in later stages."""
+
+    def work(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return work
+
+
 def components(edges: DataFrame, shared: Shared) -> DataFrame:
     """(node, root) for each node of ``edges(a, b)``; root is the smallest node that can be reached.
 
@@ -95,7 +114,7 @@ def components(edges: DataFrame, shared: Shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part, kind.field(0).type), pa.array([root(x) for x in part], kind.field(1).type)], names=["a", "b"])
 
     # a > b throughout
-    now = shared.put(edges.select("a", "b").mapInArrow(forest, schema).distinct())
+    now = shared.put(edges.select("a", "b").mapInArrow(releasing(forest), schema).distinct())
     state = None
     while True:
         both = now.select(F.col("a").alias("node"), F.col("b").alias("near")).union(now.select(F.col("b").alias("node"), F.col("a").alias("near")))

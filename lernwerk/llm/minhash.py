@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Shared, components, documents, mix, row_key, shingles, slices, small, span_hashes, without_rows, word_spans
+from .common import Shared, components, documents, mix, releasing, row_key, shingles, slices, small, span_hashes, without_rows, word_spans
 
 SHINGLE = 5  # words
 PERCENT = 75  # least similarity
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int
                 )
 
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(
-        run, "doc_id long, row_key long, n_shingles long, fp binary, bands array<long>"
+        releasing(run), "doc_id long, row_key long, n_shingles long, fp binary, bands array<long>"
     )
 
 
@@ -126,7 +126,7 @@ def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 )
                 at += last - first
 
-    return docs.select("fp", "pivot", "text").mapInArrow(run, "fp long, pivot long, items array<long>, parts array<int>")
+    return docs.select("fp", "pivot", "text").mapInArrow(releasing(run), "fp long, pivot long, items array<long>, parts array<int>")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
