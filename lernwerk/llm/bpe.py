@@ -21,13 +21,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import documents, releasing
 
 #: A leaf is rank, place and new symbol in one number: 16, 24 and 16 bits, a word has at most 2**24 bytes.
 NONE = 1 << 60
 RANK, PLACE = 40, 16
 #: Encoded words that a task keeps; it starts anew beyond that.
 CACHE_WORDS = 400_000
+#: Rows whose ids are held at once.
+STEP_ROWS = 500
 
 
 class SegmentTree:
@@ -176,7 +178,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in (whole.slice(at, STEP_ROWS) for whole in batches for at in range(0, whole.num_rows, STEP_ROWS)):
             n, a, b, ids, decoded = [], [], [], [], []
             for text in batch.column("text"):
                 got = bpe.encode(text.as_py() or "")
@@ -194,7 +196,7 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(run), schema)
 
 
 def word_file() -> str:
