@@ -28,6 +28,8 @@ NONE = 1 << 60
 RANK, PLACE = 40, 16
 #: Encoded words that a task keeps; it starts anew beyond that.
 CACHE_WORDS = 400_000
+#: The same in the pipeline, whose executors hold what earlier stages left.
+STAGE_CACHE = 50_000
 #: Rows whose ids are held at once.
 STEP_ROWS = 500
 
@@ -69,7 +71,8 @@ def byte_letters() -> dict[int, str]:
 class WordBpe:
     """Encoding and decoding with a vocabulary file of the kind "BPE with word ends"."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -133,13 +136,13 @@ class WordBpe:
             if got is None:
                 got = self.encode_word(word)
                 if len(word) < 64:
-                    if len(self.known) >= CACHE_WORDS:
+                    if len(self.known) >= self.cache:
                         self.known.clear()
                     self.known[word] = got
             out += got
         got = tuple(out)
         if len(piece) < 64:
-            if len(self.pieces) >= CACHE_WORDS:
+            if len(self.pieces) >= self.cache:
                 self.pieces.clear()
             self.pieces[piece] = got
         return got
@@ -167,16 +170,18 @@ class WordBpe:
 
 
 @lru_cache(2)
-def codec(path: str) -> WordBpe:
-    return WordBpe(path)
+def codec(path: str, cache: int = CACHE_WORDS) -> WordBpe:
+    return WordBpe(path, cache)
 
 
-def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with ``with_ids`` also ids and decoded."""
+def encoded(docs: DataFrame, path: str, with_ids: bool = False, cache: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; with ``with_ids`` also ids and decoded.
+
+    ``cache`` bounds the words whose ids a task keeps; it changes the memory and the time, not the result."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe = codec(path, cache)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in (whole.slice(at, STEP_ROWS) for whole in batches for at in range(0, whole.num_rows, STEP_ROWS)):
             n, a, b, ids, decoded = [], [], [], [], []
@@ -211,7 +216,7 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The kept documents as token ids with the digests of the round trip."""
-    return encoded(docs, word_file(), with_ids=True).drop("decoded")
+    return encoded(docs, word_file(), with_ids=True, cache=STAGE_CACHE).drop("decoded")
 
 
 QUERIES = {"op8_bpe": op8_bpe}
