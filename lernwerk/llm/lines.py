@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BROADCAST_ROWS, Shared, documents, row_key, slices, spaces, span_hashes
+from .common import BROADCAST_ROWS, Shared, documents, releasing, row_key, slices, spaces, span_hashes
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -80,7 +80,7 @@ def document_keys(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
                 done += last - first
 
     batch = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("int")
-    return docs.select(batch.alias("batch"), "text").mapInArrow(run, "batch int, key long")
+    return docs.select(batch.alias("batch"), "text").mapInArrow(releasing(run), "batch int, key long")
 
 
 class LineRuns:
@@ -184,7 +184,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHA
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             return keys[place] == key if len(keys) else np.zeros(len(key), bool)
     else:
-        own = docs.select(row_key().alias("row_key"), "text").mapInArrow(_keys_of(min_chars), "row_key long, key long")
+        own = docs.select(row_key().alias("row_key"), "text").mapInArrow(releasing(_keys_of(min_chars)), "row_key long, key long")
         lists = own.join(frequent, "key").groupBy("row_key").agg(F.collect_set("key").alias("gone_keys"))  # no more than a document's lines
         extra = "gone_keys" + "_" * max(map(len, source.columns))  # no column's name
         rows = source.select(F.struct("*").alias("row"), row_key().alias("row_key")).join(lists, "row_key", "left")
@@ -198,7 +198,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHA
                     out[at[i]:at[i + 1]] = np.isin(key[at[i]:at[i + 1]], np.array(gone, np.int64))
             return out
 
-    return source.mapInArrow(_cleaner(find, columns, min_chars, with_text), schema)
+    return source.mapInArrow(releasing(_cleaner(find, columns, min_chars, with_text)), schema)
 
 
 def _keys_of(min_chars):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Shared, documents, mix, row_key, slices, small, span_hashes, without_rows, word_spans
+from .common import Shared, documents, mix, releasing, row_key, slices, small, span_hashes, without_rows, word_spans
 from .lines import line_spans
 
 MIN_WORDS = 50
@@ -102,7 +102,7 @@ def measures(docs: DataFrame) -> DataFrame:
                 ], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("source").cast("string"), "text").mapInArrow(
-        run, "doc_id long, row_key long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, line_total array<long>"
+        releasing(run), "doc_id long, row_key long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, line_total array<long>"
     )
 
 
