@@ -6,7 +6,8 @@ rank.  A merge changes two leaves (logarithmic point updates) until the root hol
 task keeps what it has encoded, up to a bound, in front of that.
 
 The vocabulary file's path is a parameter; tasks open it where they run.  Defined results: a null or empty text
-encodes to no ids and decodes to the empty text; extra columns are ignored.
+encodes to no ids and decodes to the empty text; extra columns are ignored.  A vocabulary or a list of merges of more
+than 65,536 entries, and a word of more than 2**24 bytes, do not fit a leaf's bits and raise a ValueError.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import documents, releasing
 #: A leaf is rank, place and new symbol in one number: 16, 24 and 16 bits, a word has at most 2**24 bytes.
 NONE = 1 << 60
 RANK, PLACE = 40, 16
+MAX_WORD = 1 << 24
 #: Encoded words that a task keeps; it starts anew beyond that.
 CACHE_WORDS = 400_000
 #: The same in the pipeline, whose executors hold what earlier stages left.
@@ -81,6 +83,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.digits = {i: str(i) for i in self.names}
+        if max(len(model["merges"]) - 1, *self.ids.values(), *self.special.values()) >= 1 << 16:
+            raise ValueError(f"{path}: ids and ranks of merges must be below 65,536")
         self.merges: dict[int, int] = {}
         for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]):
             self.merges.setdefault(self.ids[a] << 16 | self.ids[b], rank << RANK | self.ids[a + b])
@@ -104,6 +108,8 @@ class WordBpe:
         n = len(ids)
         if n == 1:
             return tuple(ids)
+        if n > MAX_WORD:
+            raise ValueError(f"a word of {n} bytes; at most {MAX_WORD} are possible")
         find = self.merges.get
         tree = SegmentTree([find(ids[i] << 16 | ids[i + 1], NONE) + (i << PLACE) for i in range(n - 1)])
         node, put = tree.node, tree.set

@@ -145,19 +145,27 @@ def found_spans(docs: DataFrame, shared: Shared) -> tuple[DataFrame, DataFrame]:
     rows = scored(rows, shared)
     base = rows.where("broad = 0 and valid").select("uid", "kind", "start", "end", F.lit(True).alias("base"), "score")
     more = rows.where("broad = 1 and valid and score >= threshold").select("uid", "kind", "start", "end", F.lit(False).alias("base"), "score")
-    # spans of one document, by start; an added one goes if it overlaps a base span or a better added one
-    both = base.union(more)
+    return ids, resolved(base.union(more))
+
+
+def resolved(both: DataFrame) -> DataFrame:
+    """(uid, kind, start, end, base, score) without the added spans that overlap a base span or a better added one."""
     order = W.partitionBy("uid").orderBy("start", "end")
     prior = order.rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy("uid").orderBy(F.desc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
     base_end = F.max(F.when(F.col("base"), F.col("end"))).over(prior)
     base_start = F.min(F.when(F.col("base"), F.col("start"))).over(later)
     both = both.withColumn("clear", F.col("base") | ((F.coalesce(base_end, F.lit(-1)) <= F.col("start")) & (F.coalesce(base_start, F.col("end")) >= F.col("end"))))
-    both = both.where("clear")
-    before, after = F.lag(F.struct("end", "score", "base")).over(order), F.lead(F.struct("start", "score", "base")).over(order)
-    worse = (before["end"] > F.col("start")) & ~before["base"] & (before["score"] >= F.col("score")) | (after["start"] < F.col("end")) & ~after["base"] & (after["score"] > F.col("score"))
-    both = both.withColumn("worse", F.coalesce(~F.col("base") & worse, F.lit(False))).where("not worse")
-    return ids, both.drop("clear", "worse")
+    both = both.where("clear").drop("clear")
+    # added spans that overlap in a chain are an island; the best of an island go in first, the others where they still fit
+    added = both.where("not base").withColumn("far", F.max("end").over(prior))
+    added = added.withColumn("island", F.sum(F.when(F.col("far") > F.col("start"), 0).otherwise(1)).over(order))
+    one = F.struct((-F.col("score")).alias("rank"), "start", "end", "kind", "score")
+    ranked = added.groupBy("uid", "island").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    clash = lambda kept, x: F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    fit = F.aggregate("spans", F.slice("spans", 1, 1), lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    chosen = ranked.select("uid", F.explode(fit).alias("x")).select("uid", "x.kind", "x.start", "x.end", F.lit(False).alias("base"), "x.score")
+    return both.where("base").unionByName(chosen)
 
 
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:

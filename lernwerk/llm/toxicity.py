@@ -4,8 +4,10 @@ A text is cut into words (runs of letters, digits and bytes of other scripts, A-
 its character n-grams with its borders, hashed into buckets, so unseen misspellings and inflections share vectors with
 known words.  A passage of ``WINDOW`` words is the average of its n-gram vectors, and a linear softmax over two
 classes scores it.  Vectors and softmax are trained jointly in numpy on a bounded sample of labelled rows: at most
-``TRAIN_DOCS`` toxic and four times as many other documents, in the order of a hash of the id, of at most
-``TRAIN_CHARS`` characters.  A toxic document is a bag of passages of which some are toxic: each round keeps as
+``TRAIN_DOCS`` toxic and four times as many other documents, texts of at most ``TRAIN_CHARS`` characters first, in the
+order of a hash of the id.  Of longer ones, where there are too few others, the model learns from ``LONG_PIECES``
+stretches of ``TRAIN_CHARS`` characters spread over the text, as one bag; a class gives at most ``TRAIN_CHARS``
+characters a document in all, rounded up to whole documents.  A toxic document is a bag of passages of which some are toxic: each round keeps as
 positive only those that the round before found.  A text's score is that of its worst passage, with any start, so it
 does not depend on the text's length; a logistic curve fitted on the sample turns it into a probability.
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import documents, slices
 
@@ -31,6 +33,7 @@ WIDTH = 8
 WINDOW = 8
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 5_000
+LONG_PIECES = 8
 ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 3, 150, 4096, 0.6
 THRESHOLD = 0.3
 HELD_OUT = 2  # of crc32(doc_id) mod 4
@@ -200,14 +203,29 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
+def _stretches(text: Column) -> Column:
+    """A text of up to ``TRAIN_CHARS`` characters itself, else stretches of as many spread from its start to its end."""
+    size = F.length(text)
+    n = F.least(F.lit(LONG_PIECES), F.ceil(size / TRAIN_CHARS)).cast("int")
+    begin = lambda i: F.floor(i * (size - TRAIN_CHARS) / (n - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, begin(i), F.lit(TRAIN_CHARS)))
+    return F.when(size <= TRAIN_CHARS, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the bounded sample that the model learns from."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    # ids first: their texts are fetched by a join with at most a few thousand rows
+    # ids and lengths first: the texts are fetched by a join with at most a few thousand rows
     order = F.xxhash64("doc_id")
-    some = own.where("toxic = 1").orderBy(order).limit(2 * TRAIN_DOCS).union(own.where("toxic = 0").orderBy(order).limit(8 * TRAIN_DOCS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.length("text").between(1, TRAIN_CHARS))
-    return rows.where("toxic = 1").orderBy(order, "text").limit(TRAIN_DOCS).union(rows.where("toxic = 0").orderBy(order, "text").limit(4 * TRAIN_DOCS)).select("text", "toxic")
+    sizes = docs.select("doc_id", (F.length("text") > TRAIN_CHARS).alias("long")).where("long is not null").join(own, "doc_id").groupBy("doc_id", "toxic").agg(F.min("long").alias("long"))
+    some = sizes.where("toxic = 1").orderBy("long", order).limit(2 * TRAIN_DOCS).union(sizes.where("toxic = 0").orderBy("long", order).limit(8 * TRAIN_DOCS))
+    rows = docs.select("doc_id", "text", (F.length("text") > TRAIN_CHARS).alias("long")).where("text <> ''").join(F.broadcast(some.select("doc_id", "toxic")), "doc_id")
+    parts = []
+    for toxic, most in ((1, TRAIN_DOCS), (0, 4 * TRAIN_DOCS)):
+        first = rows.where(F.col("toxic") == toxic).orderBy("long", order, "text").limit(most).withColumn("text", _stretches(F.col("text")))
+        before = F.sum(F.length("text")).over(W.orderBy("long", order, "text").rowsBetween(W.unboundedPreceding, -1))  # of at most ``most`` rows
+        parts.append(first.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < most * TRAIN_CHARS).select("text", "toxic"))
+    return parts[0].union(parts[1])
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -62,6 +62,31 @@ def test_toxicity_finds_unseen_forms_whatever_the_length(spark, table):
     assert sum(got[i].predicted == (i % 4 == 0) for i in held) >= 0.97 * len(held)
 
 
+def test_toxicity_learns_from_long_texts_where_no_others_are_toxic(spark, table):
+    insult = "you filthy worthless vermin should vanish"
+    docs = [(i, " ".join([prose(i, 450), *([insult] * 3 + [prose(i + 900, 150)]) * 3 * (i % 4 == 0), prose(i + 500, 450)])) for i in range(200)]
+    docs = [(i, t if i % 4 else t + " " + prose(i, 300)) for i, t in docs]
+    assert all(len(t) > toxicity.TRAIN_CHARS for i, t in docs if i % 4 == 0)
+    df = table(*docs)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    kept = toxicity.sample(df, labels).collect()
+    assert {r.toxic for r in kept} == {0, 1} and all(len(r.text) <= toxicity.LONG_PIECES * (toxicity.TRAIN_CHARS + 1) for r in kept)
+    got = toxicity.scores(df, labels).where("held_out").collect()
+    assert all((r.doc_id % 4 == 0) == bool(r.predicted) for r in got) and any(r.predicted for r in got)
+
+
+def test_toxicity_takes_short_texts_first(spark, table, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 10)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 40)
+    df = table(*[(i, prose(i, 4 if i % 2 else 60)) for i in range(200)])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(200)], "doc_id long, toxic int")
+    kept = toxicity.sample(df, labels).collect()
+    assert sum(r.toxic for r in kept) == 10 and all(len(r.text) <= 40 for r in kept if r.toxic)
+    few = toxicity.sample(df.where("doc_id % 2 = 0 or doc_id < 10"), labels).where("toxic = 1").collect()
+    # the short ones, then stretches of long ones until the characters of ten short ones are reached
+    assert 1 < len(few) < 10 and sum(len(r.text) for r in few[:-1]) < 400 and max(len(r.text) for r in few) > 40
+
+
 def test_toxicity_odd_rows(spark, odd, table):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.scores(odd, none).collect()} == {0.0}
@@ -179,6 +204,17 @@ def test_personal_data_added_by_the_trees(spark, table):
     assert base >= 150
 
 
+def test_overlapping_added_spans_are_taken_best_first(spark):
+    spans = [
+        (1, "card", 0, 10, False, 0.9), (1, "phone", 8, 20, False, 0.8), (1, "ip", 18, 30, False, 0.7),  # a chain: the ends stay
+        (2, "card", 0, 10, False, 0.7), (2, "phone", 8, 20, False, 0.9), (2, "ip", 18, 30, False, 0.8),  # the middle stays
+        (3, "email", 5, 9, True, 0.1), (3, "card", 0, 6, False, 0.9), (3, "card", 8, 12, False, 0.9), (3, "card", 9, 12, False, 0.6),
+        (4, "card", 0, 30, False, 0.5), (4, "ip", 2, 4, False, 0.9), (4, "ip", 10, 14, False, 0.4), (4, "ip", 12, 40, False, 0.6),
+    ]
+    df = spark.createDataFrame(spans, "uid long, kind string, start long, end long, base boolean, score double")
+    assert rows(pii.resolved(df), "uid", "start", "end") == [(1, 0, 10), (1, 18, 30), (2, 8, 20), (3, 5, 9), (3, 9, 12), (4, 2, 4), (4, 12, 40)]
+
+
 def test_personal_data_odd_rows(spark, odd, table):
     ids, spans = pii.found_spans(odd, Shared(spark))
     assert ids.count() == odd.count()
@@ -212,6 +248,52 @@ def test_host_paths_outvote_a_page_of_its_own(spark):
     assert html_text.main_text(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("around", ["layout no-sidebar", "page has-comments", "post share-enabled"])
+def test_an_article_stays_below_ambiguous_classes(around):
+    text = "words of the article stand here"
+    comments = "<div class='comment-list'><article class='comment-body'><p>a reader's long remark about it all</article></div>"
+    assert html_text.Page(f"<body><nav>menu</nav><div class='{around}'><article><p>{text}</p></article></div>{comments}").text([]) == text
+    assert html_text.Page(f"<body><nav>menu</nav><div class='{around}'><p>{text * 4}</p></div><div class='cookie-notice'>we use them</div>").text([]) == text * 4
+    assert html_text.Page(f"<body><form action=x><main><p>{text}</main><input></form>").text([]) == text
+    assert html_text.Page(f"<body><div class=post><p>{text}</div><form><p>{text * 4}</form>").text([]) == text
+
+
+def test_page_text_keeps_formulas():
+    assert html_text.Page("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>").text([]) == "so x=2 holds"
+
+
+def test_generated_pages():
+    """Articles of nested blocks between notices, in any order: the text is known from the making."""
+    rng = np.random.default_rng(8)
+    noise = [f"<{t}>menu or note {i}</{t}>" for i, t in enumerate(("nav", "aside", "footer", "form", "script"))]
+    noise += [f"<div class='{c}'><p>buy or read this {c}</p></div>" for c in ("cookie-notice", "sidebar", "ad", "related", "comment-list", "share buttons")] + ["<!-- <p>no</p> -->"]
+    for turn in range(300):
+        lines, body = [], ""
+        for i in range(int(rng.integers(1, 12))):
+            text = prose(turn * 20 + i, int(rng.integers(30, 60)))
+            lines.append(text + " & <b")
+            spaced = text.replace(" ", (" ", "\n\t", " &nbsp;", "<i> </i>", "<!-- x > --> ")[int(rng.integers(5))])
+            block = f"<{(tag := ('p', 'h2', 'div', 'blockquote', 'li', 'section')[int(rng.integers(6))])}>{spaced} &amp; &lt;b" + f"</{tag}>" * (tag not in ("p", "li") or rng.random() < 0.5)
+            deep = int(rng.integers(0, 4))
+            body += "<div class=x>" * deep + block + "</div>" * deep
+            if rng.random() < 0.4:
+                body += noise[int(rng.integers(len(noise)))]
+        kind = ("<article class='post no-sidebar'>{}</article>", "<main><div class='has-comments'>{}</div></main>", "<div id=content>{}</div>")[turn % 3]
+        page = "<html><head><title>t</title></head><body class='with-sidebar'>" + "".join(rng.choice(noise, 3)) + kind.format(body) + "".join(rng.choice(noise, 3))
+        made = html_text.Page(page)
+        assert made.text([made.path_of(made.boxes("body")[0])]) == "\n".join(lines), page
+
+
+@pytest.mark.parametrize("html", ["<div class=c><table><tr>" + "<td>x y" * 100_000, "<div>t" * 100_000, "<a b " * 100_000, "<div class=k>" * 50_000 + "text" + "</div>" * 50_000, "<div>" * 50_000 + "</span>" * 50_000 + "t"])
+def test_large_pages_take_time_in_proportion(html):
+    import time
+
+    start = time.process_time()
+    page = html_text.Page(html)
+    page.text([page.path_of(page.best())])
+    assert time.process_time() - start < 15  # seconds; with scans by element it was minutes
+
+
 # ---- 5 quality
 
 
@@ -255,6 +337,42 @@ def test_depleted_documents_go_and_copies_stay(table):
     assert not any(got[i] for i in range(40)) and all(got[i] for i in got if i >= 100)
 
 
+def brute_clean(docs, limit=quality.LIMIT_TEXTS, share=quality.LIMIT_SHARE):
+    """(id, text without the template lines of its host) of the documents that stay."""
+    key = lambda x: x.strip(SPACE).translate({c: c + 32 for c in range(65, 91)})
+    sets = [(s, frozenset(key(x) for x in (t or "").split("\n") if x.strip(SPACE))) for _, t, s in docs]
+    held, hosts = {}, {}
+    for s, keys in set(sets):
+        hosts[s] = hosts.get(s, 0) + 1
+        for k in keys:
+            held[s, k] = held.get((s, k), 0) + 1
+    out = []
+    for i, t, s in docs:
+        lines = (t or "").split("\n")
+        gone = [bool(x.strip(SPACE)) and held[s, key(x)] > max(limit, hosts[s] * share) for x in lines]
+        n, left = len((t or "").split()), sum(len(x.split()) for x, g in zip(lines, gone) if not g)
+        m = brute_measures(t)
+        if n >= 50 and 100 * m[4] <= 50 * n and 100 * left >= 30 * n:
+            out.append((i, t if t is None else "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return sorted(out)
+
+
+def test_template_lines_of_any_length_are_removed(table):
+    notices = [prose(9000 + i, 30) for i in range(4)]
+    docs = [(i, "\n".join([*notices, f"word{i}"]), "hot") for i in range(60)]  # nothing of their own
+    docs += [(100 + i, "\n".join([prose(i, 70), " " + notices[i % 4].upper() + "\t", "", prose(i + 700, 20)]), "hot" if i % 2 else None) for i in range(60)]
+    docs += [(200 + i, prose(3, 40) + "\n" + prose(4, 60), "copies") for i in range(50)]  # one document
+    docs += [(300 + i, notices[0] + "\n" + prose(i, 50), "other") for i in range(quality.LIMIT_TEXTS)]  # not above the limit
+    df = table(*docs)
+    want = brute_clean(docs)
+    assert {i for i, _ in want} == {i for i, _, _ in docs if i >= 100} and any(t != x for (i, t) in want for j, x, _ in docs if i == j)
+    assert rows(quality.clean_documents(df), "doc_id", "text") == want
+    _, template = quality.ruled(df)
+    assert rows(quality.without_templates(df, template, most=0).where("doc_id >= 100"), "doc_id", "text") == want
+    tight = quality.clean_documents(df, limit_texts=5, limit_share=0.0, min_kept_percent=0)
+    assert rows(tight.where("doc_id >= 300"), "doc_id", "text") == [(i, t.split("\n")[1]) for i, t, _ in docs if i >= 300]
+
+
 def test_quality_empty(spark, table, odd):
     assert quality.verdicts(table()).isEmpty()
     assert quality.stage(spark, odd, SF).columns == odd.columns
@@ -287,6 +405,18 @@ def test_raking_fits_the_margins(spark):
         assert r.fitted == pytest.approx(fit[r.source, r.lang, r.topic], rel=1e-4)
 
 
+def test_raking_says_what_it_missed(spark):
+    """Two cells that share no margin value cannot have different shares of their own source and language."""
+    df = spark.createDataFrame([("a", "x", 0, 100), ("b", "y", 0, 100)], "source string, lang string, topic long, tokens long")
+    targets = {d: spark.createDataFrame(v, "value string, share double") for d, v in (("source", [("a", 0.8), ("b", 0.2)]), ("lang", [("x", 0.5), ("y", 0.5)]))}
+    got = mixing.raked(df, Shared(spark), targets=targets)
+    assert all(r.margin_gap > 0.1 for r in got.collect())
+    assert mixing.raked(df, Shared(spark)).agg(F.max("margin_gap")).first()[0] < mixing.TOLERANCE
+    none = spark.createDataFrame([("a", "x", 0, 0), ("b", "y", 0, 50)], df.schema)
+    got = mixing.raked(none, Shared(spark), targets={"source": targets["source"]}).where("source = 'a'").first()
+    assert got.margin_gap == 1.0 and got.fitted == 0
+
+
 def test_mixing_keeps_the_expected_tokens(spark, odd, table):
     docs = table(*[(i, prose(i, 20 + i % 50), "big" if i % 3 else f"s{i % 7}") for i in range(3000)])
     shared = Shared(spark)
@@ -349,6 +479,22 @@ def test_segment_tree_takes_the_leftmost_lowest():
     assert place() == 3
 
 
+def test_bpe_raises_beyond_its_bits(monkeypatch, tmp_path):
+    import json
+
+    own = bpe.WordBpe(bpe.word_file())
+    monkeypatch.setattr(bpe, "MAX_WORD", 20)
+    assert own.encode_word("a" * 20)
+    with pytest.raises(ValueError, match="a word of 21 bytes"):
+        own.encode_word("a" * 21)
+    with open(bpe.word_file(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"]["one too many"] = 1 << 16
+    (tmp_path / "large.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="below 65,536"):
+        bpe.WordBpe(str(tmp_path / "large.json"))
+
+
 def test_bpe_odd_rows(odd, table):
     got = bpe.encoded(odd, bpe.word_file())
     none = hashlib.sha256(b"").hexdigest()
@@ -417,8 +563,7 @@ def test_every_repeated_run_is_found(table):
     for i, x in w.items():
         for j in range(len(x) - 50):
             if len(where[tuple(x[j:j + 51])]) > 1:
-                # an end may fall short where the pivot's share ends, by less than a seed and its window
-                assert len(set(range(j, j + 51)) - got[i]) <= passages.SEED + passages.WINDOW - 2, i
+                assert set(range(j, j + 51)) <= got[i], i
     clean = {i for i in range(30) if i != 3} | {400, 401}
     assert not clean & set(got) and len(got[200]) >= 60
 
