@@ -6,9 +6,6 @@ the chunks are exploded at the end.
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import let, strip, words
@@ -34,34 +31,33 @@ def fixed_chunks(docs: DataFrame, size: int = 300) -> DataFrame:
 def sentence_chunks(docs: DataFrame, size: int = 350, lookback: int = 50, min_keep: int = 100) -> DataFrame:
     """CHK2: chunks that end at a sentence where one ends near the limit.
 
-    Each cut depends on the one before it, so the cuts are found by a fold over a bit per word; only
-    that fold is sequential, and it runs per document inside Arrow batches.  There is no overlap.
+    Each cut depends on the one before it, so the cuts are a fold whose steps jump from cut to cut: a step
+    looks only at the ``lookback`` words before its limit.  There is no overlap.
     """
-    def bounds(flags: pd.Series) -> pd.Series:
-        def cuts(ends) -> list[int]:
-            total, at, out = len(ends), 0, [0]
-            while at < total:
-                stop = min(at + size, total)
-                if stop < total:
-                    floor = max(stop - lookback, at + min_keep)
-                    stop = next((i + 1 for i in range(stop - 1, floor - 1, -1) if ends[i]), stop)
-                out.append(stop)
-                at = stop
-            return out
-
-        return flags.map(cuts)
-
-    cut_udf = F.pandas_udf(bounds, "array<int>")
+    ends = lambda w: F.substring(w, -1, 1).isin(".", "!", "?")
+    advance = max(1, min(min_keep + 1, size))  # words between two cuts, at least
+
+    def cuts(ws: Column) -> Column:
+        total = F.size(ws)
+
+        def cut(at: Column) -> Column:
+            def within(limit: Column) -> Column:
+                floor = F.greatest(limit - lookback, at + min_keep)
+                near = F.slice(ws, floor + 1, F.greatest(limit - floor, F.lit(0)))
+                last = F.array_max(F.transform(near, lambda w, i: F.when(ends(w), i + 1)))
+                return F.when(limit < total, F.coalesce(floor + last, limit)).otherwise(limit)
+
+            return let(F.least(at + size, total), within)
+
+        step = lambda found, _: let(F.element_at(found, -1), lambda at: F.when(at >= total, found).otherwise(F.concat(found, F.array(cut(at)))))
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(total / advance).cast("int")), F.array(F.lit(0)), step)
+
     split = docs.select("doc_id", "text", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    marked = split.select(
-        "doc_id", "text", "ws",
-        F.transform("ws", lambda w: F.substring(w, -1, 1).isin(".", "!", "?")).alias("ends"),
-    )
-    short = marked.where(F.size("ws") <= size).select(
+    short = split.where(F.size("ws") <= size).select(
         "doc_id", F.lit(0).cast("long").alias("chunk_order"), F.col("text").alias("chunk_text"),
         F.lit(0).cast("long").alias("word_start"), F.size("ws").cast("long").alias("word_end"),
     )
-    cut = marked.where(F.size("ws") > size).select("doc_id", "ws", cut_udf("ends").alias("cuts"))
+    cut = split.where(F.size("ws") > size).select("doc_id", "ws", cuts(F.col("ws")).alias("cuts"))
     pieces = F.transform(
         F.slice(F.col("cuts"), F.lit(1), F.size("cuts") - 1),
         lambda s, i: F.struct(

@@ -281,6 +281,30 @@ def rating_factor(rating: Column) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
+class FreePlaces:
+    """The places 0, 1, 2, ... and which of them are free: a tree of counts (Fenwick) that doubles when it must."""
+
+    def __init__(self) -> None:
+        self.size, self.free = 1, [0, 1]
+
+    def take(self, p: int) -> int:
+        """The p-th free place, from 0; it is free no longer."""
+        free = self.free
+        while free[self.size] <= p:
+            size = self.size
+            free += [i & -i for i in range(size + 1, 2 * size)] + [free[size] + size]
+            self.size = 2 * size
+        at, step = 0, self.size
+        while step:
+            if free[at + step] <= p:
+                at += step
+                p -= free[at]
+            else:
+                free[at + step] -= 1
+            step >>= 1
+        return at
+
+
 # --- sequences and plans (per learner; frames carry master_pos, the place in the catalogue order) ---
 
 def dynamic_sequence(master: DataFrame, states: DataFrame, completed: DataFrame) -> DataFrame:
@@ -289,8 +313,8 @@ def dynamic_sequence(master: DataFrame, states: DataFrame, completed: DataFrame)
     ``master(user_id, block_id, master_pos)``.  In master order, each completed block is inserted at
     min(max(due - studied, 0), length).  An insertion shifts everything behind it, so the final places are
     filled from the last insertion back: an item takes the p-th place that is still free.  Only completed
-    blocks go through that step; it streams them sorted and keeps as many free places as the largest
-    due value seen, not the sequence.  New blocks fill the remaining places by one window.
+    blocks go through that step; it streams them sorted and keeps a count tree over as many places as the
+    largest place taken needs, so that each costs a logarithm of these.  New blocks fill the remaining places by one window.
     """
     keys = ["user_id", "block_id"]
     s = states.select(*keys, "status", "next_due_after", "studied_count")
@@ -306,16 +330,13 @@ def dynamic_sequence(master: DataFrame, states: DataFrame, completed: DataFrame)
     ordered = placed.select("user_id", "block_id", "master_pos", "p").repartition("user_id").sortWithinPartitions("user_id", F.desc("master_pos"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, free, fresh = None, [], 0
+        user, free = None, FreePlaces()
         for batch in batches:
             slots = []
             for u, p in zip(batch["user_id"].tolist(), batch["p"].tolist()):
                 if u != user:
-                    user, free, fresh = u, [], 0
-                while len(free) <= p:
-                    free.append(fresh)
-                    fresh += 1
-                slots.append(free.pop(p))
+                    user, free = u, FreePlaces()
+                slots.append(free.take(p))
             yield batch[["user_id", "block_id"]].assign(slot=slots)
 
     slots = ordered.mapInPandas(fill, "user_id long, block_id long, slot long")

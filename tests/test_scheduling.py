@@ -171,3 +171,16 @@ def test_backfill_dry_run(spark):
     assert {r["kind"]: r["n"] for r in counts.collect()} == {"created": 2, "skipped": 2}
     rows = {(r["user_id"], r["block_id"]): r for r in new.collect()}
     assert rows[1, 2]["status"] == "lapsed" and rows[1, 2]["time_s"] == 40 and abs(rows[2, 1]["avg_rating"] - 3.0) < 1e-9 and rows[1, 1]["time_s"] == 100
+
+
+def test_free_places_are_those_of_a_list():
+    import random
+
+    from lernwerk.operators.scheduling import FreePlaces
+
+    rng = random.Random(4)
+    for most in (1, 5, 300, 100_000):
+        free, known = FreePlaces(), list(range(most + 500))
+        for _ in range(500):
+            p = rng.randrange(most)
+            assert free.take(p) == known.pop(p)
