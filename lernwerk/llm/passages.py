@@ -19,13 +19,13 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Shared, documents, row_key, shingles, slices, small, span_hashes, word_spans
+from .common import Shared, documents, releasing, row_key, shingles, slices, small, span_hashes, word_spans
 from .minhash import _fingerprint
 
 SEED, WINDOW = 8, 16
@@ -36,19 +36,37 @@ TAIL = SEED + WINDOW  # words compared beyond a pivot's share; a run holds a see
 EDIT = 5  # words that may be replaced, left out or added at one place
 # words fetched beyond the ends of a chain: up to an edit, the edit, and what may follow it without a seed
 REACH = 2 * (SEED + WINDOW)
+WANTED = 1_000_000  # places whose words are asked for by broadcast; beyond, texts are shuffled to them
+FEW = 5  # words that are compared first
+HOT = 10_000  # rows of one key beyond which its rows stay where they are
 # (words of one side, words of the other, equal words that must follow)
 _EDITS = [(1, 1, 3), (1, 0, 3), (0, 1, 3)] + sorted(((i, j, 4) for i in range(EDIT + 1) for j in range(EDIT + 1) if max(i, j) > 1), key=lambda e: (max(e[:2]), e[0] + e[1]))
 
 
 def winnowed(kmers: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The places of the smallest hash of each window, the last one on ties."""
+    """The places of the smallest hash of each window, the last one on ties.
+
+    A stretch of one repeated k-mer gives a place per word.  All next to its two ends stay, where it is told from the
+    words around it; inside, as few as leave one in each window and no word between them that had a seed."""
     n = len(kmers)
     if n <= window:
         return np.array([n - 1 - int(np.argmin(kmers[::-1]))]) if n else np.zeros(0, np.int64)
     back = kmers[::-1]
     first = np.lib.stride_tricks.sliding_window_view(back, window).argmin(axis=1) + np.arange(n - window + 1)
-    keep = np.unique(first)
-    return n - 1 - keep[::-1]
+    at = n - 1 - np.unique(first)[::-1]
+    begin = np.flatnonzero(np.concatenate([[True], kmers[at[1:]] != kmers[at[:-1]]]))
+    past = np.append(begin[1:], len(at))
+    keep = np.ones(len(at), bool)
+    for low, high in zip(*(v[past - begin > 2 * SEED + 1].tolist() for v in (begin, past)), strict=True):
+        i, stop = low + SEED - 1, high - SEED
+        keep[i + 1:stop] = False
+        while True:
+            # the farthest place that the words of the last one still touch
+            i = max(i + 1, int(np.searchsorted(at[i:stop + 1], at[i] + SEED, "right")) - 1 + i)
+            if i >= stop:
+                break
+            keep[i] = True
+    return at[keep]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -56,8 +74,8 @@ def seeds(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, n, hashes, places = [], [], [], []
-            for _, _, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in slices(batch.column("text")):
+                fps, n, hashes, places = [], [], [], []
                 start, end, at = word_spans(data, offsets)
                 words = span_hashes(data, start, end, lower=True)
                 for i in range(len(at) - 1):
@@ -72,12 +90,13 @@ def seeds(docs: DataFrame) -> DataFrame:
                     keep = winnowed(kmers)
                     hashes.append(kmers[keep].view(np.int64))
                     places.append(keep.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("row_key"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))
-            ], names=["doc_id", "row_key", "fp", "n_words", "seeds", "places"])
+                ids, keys = (batch.column(c).slice(first, last - first) for c in ("doc_id", "row_key"))
+                yield pa.RecordBatch.from_arrays([
+                    ids, keys, pa.array(fps, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))
+                ], names=["doc_id", "row_key", "fp", "n_words", "seeds", "places"])
 
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(
-        run, "doc_id long, row_key long, fp binary, n_words long, seeds array<long>, places array<int>"
+        releasing(run), "doc_id long, row_key long, fp binary, n_words long, seeds array<long>, places array<int>"
     )
 
 
@@ -180,23 +199,51 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["x", "p", "s", "e", "ps", "pe"])
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words next to the wanted places: before an even request, from an odd one on, at most ``REACH``."""
-    for batch in batches:
-        for first, last, data, offsets in slices(batch.column("text")):
-            start, end, at = word_spans(data, offsets)
-            words = (span_hashes(data, start, end, lower=True) >> np.uint64(32)).astype(np.uint32)
-            keys, wants, found = [], [], []
-            for i in range(last - first):
-                own = words[at[i]:at[i + 1]]
-                key = batch.column("doc")[first + i].as_py()
-                for want in batch.column("wants")[first + i].as_py():
-                    place = want >> 1
-                    part = own[place:place + REACH] if want & 1 else own[max(0, place - REACH):place][::-1]
-                    keys.append(key)
-                    wants.append(want)
-                    found.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(wants, pa.int64()), pa.array(found, pa.binary())], names=["doc", "want", "words"])
+def _ends(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words next to the wanted places: before an even request, from an odd one on, at most ``reach``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in slices(batch.column("text")):
+                start, end, at = word_spans(data, offsets)
+                words = (span_hashes(data, start, end, lower=True) >> np.uint64(32)).astype(np.uint32)
+                keys, wants, found = [], [], []
+                for i in range(last - first):
+                    own = words[at[i]:at[i + 1]]
+                    key = batch.column("doc")[first + i].as_py()
+                    for want in batch.column("wants")[first + i].as_py():
+                        place = want >> 1
+                        part = own[place:place + reach] if want & 1 else own[max(0, place - reach):place][::-1]
+                        keys.append(key)
+                        wants.append(want)
+                        found.append(part.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(wants, pa.int64()), pa.array(found, pa.binary())], names=["doc", "want", "words"])
+
+    return releasing(run)
+
+
+def _words_at(docs: DataFrame, rows: DataFrame, wants: DataFrame, reach: int, shared: Shared) -> DataFrame:
+    """(doc, want, words) for the different ``wants(doc, want)``, by one pass over the texts of their documents."""
+    lists = shared.put(wants.distinct().groupBy("doc").agg(F.collect_list("want").alias("wants")).join(rows.select("doc", "row_key"), "doc"))  # at most twice a document's words
+    n = lists.agg(F.sum(F.size("wants") + 1)).first()[0] or 0
+    text = docs.select(row_key().alias("row_key"), "text")
+    if n <= WANTED:
+        asked = text.join(F.broadcast(lists), "row_key")
+    else:
+        asked = text.join(small(lists.select("row_key"), WANTED), "row_key", "left_semi").join(lists, "row_key")
+    # repeated rows give the same words twice, of which one is taken
+    ends = shared.put(asked.mapInArrow(_ends(reach), "doc long, want long, words binary").dropDuplicates(["doc", "want"]))
+    shared.drop(lists)
+    return ends
+
+
+def _at_hot(left: DataFrame, right: DataFrame, on: list[str], shared: Shared) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique: rows of keys that ``HOT`` rows of ``left`` share stay in place."""
+    hot = shared.put(left.groupBy(*on).count().where(F.col("count") > HOT).select(*on))
+    if hot.isEmpty():
+        return left.join(right, on)
+    of_hot = shared.put(right.join(small(hot), on, "left_semi"))
+    return left.join(small(of_hot), on).unionByName(left.join(small(hot), on, "left_anti").join(right, on))
 
 
 _FULL = f"{_CHAIN}, el long, er long, tl binary, tr binary, cs long, ce long, cps long, cpe long"
@@ -241,7 +288,11 @@ def _beyond(full: DataFrame, shared: Shared) -> DataFrame:
 
     first = place.withColumn("h", part(1))
     met = shared.put(first.join(common(first).select("h"), "h", "left_semi").drop("h").withColumn("id", F.monotonically_increasing_id()))
-    every = met.select("id", "x", "side", "k", "tail", F.explode(F.sequence(F.lit(1), (F.length("tail") / 4).cast("int"))).alias("n")).withColumn("h", part(F.col("n"))).select("id", "x", "n", "h")
+    # only those that share some words are compared in all lengths
+    deep = met.where(F.length("tail") >= 4 * FEW).withColumn("h", part(FEW))
+    deep = deep.join(common(deep).select("h"), "h", "left_semi").select("id", F.lit(TAIL).alias("most"))
+    long = met.join(deep, "id", "left").withColumn("most", F.least((F.length("tail") / 4).cast("int"), F.coalesce("most", F.lit(FEW - 1))))
+    every = long.select("id", "x", "side", "k", "tail", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("n")).withColumn("h", part(F.col("n"))).select("id", "x", "n", "h")
     longest = every.join(common(every), "h").groupBy("id").agg(F.max(F.struct("n", F.when(F.col("x") == F.col("y"), F.col("z")).otherwise(F.col("y")).alias("y"))).alias("m"))
     left = F.col("side") == 0
     return met.join(longest, "id").select(
@@ -279,30 +330,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pivot = linked.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("m"), F.max(F.struct("doc", "at")).alias("q")).where("m.doc <> q.doc")
     # a pivot's further places of a seed are linked to another document that holds it
     own = F.col("doc") == F.col("m.doc")
-    link = linked.join(pivot, "h").where(~own | (F.col("at") > F.col("m.at"))).select(
+    link = _at_hot(linked, pivot, ["h"], shared).where(~own | (F.col("at") > F.col("m.at"))).select(
         F.col("doc").alias("x"), F.when(own, F.col("q.doc")).otherwise(F.col("m.doc")).alias("p"), "at", F.when(own, F.col("q.at")).otherwise(F.col("m.at")).alias("pat")
     )
     anchors = link.groupBy("x", "p").agg(F.collect_list(F.struct("at", "pat")).alias("a"))
-    found = anchors.select("x", "p", F.transform("a", lambda a: a["at"]).alias("xs"), F.transform("a", lambda a: a["pat"]).alias("ps")).mapInArrow(_chained, _CHAIN)
+    found = anchors.select("x", "p", F.transform("a", lambda a: a["at"]).alias("xs"), F.transform("a", lambda a: a["pat"]).alias("ps")).mapInArrow(releasing(_chained), _CHAIN)
     found = shared.put(found.withColumn("id", F.monotonically_increasing_id()))
     shared.drop(linked)
-    # chains that could be part of a passage: with all that may be added at their ends they join to enough words
-    if SEED + 2 * REACH < min_words:
-        starts = found.groupBy(F.col("x").alias("doc"), "s").agg(F.max("e").alias("e"))
-        islands = _islands(starts, 2 * REACH)
-        wide = W.partitionBy("doc", "island")
-        hope = islands.withColumn("n", F.max("e").over(wide) - F.min("s").over(wide)).where(F.col("n") + 2 * REACH >= min_words).select(F.col("doc").alias("x"), "s")
-        found = shared.put(found.join(hope, ["x", "s"], "left_semi"))
     want = found.select("id", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(d).alias("doc"), (F.col(c) * 2 + side).alias("want")) for k, d, c, side in (("xl", "x", "s", 0), ("pl", "p", "ps", 0), ("xr", "x", "e", 1), ("pr", "p", "pe", 1))
     ])).alias("w")).select("id", "w.*")
-    wants = shared.put(want.select("doc", "want").distinct().groupBy("doc").agg(F.collect_list("want").alias("wants")))  # at most twice a document's words
-    wants = shared.put(wants.join(rows.select("doc", "row_key"), "doc"))
-    text = docs.select(row_key().alias("row_key"), "text").join(small(wants, 200_000), "row_key")
-    # repeated rows give the same words twice, of which the next step takes one
-    ends = shared.put(text.mapInArrow(_ends, "doc long, want long, words binary"))
-    sides = want.join(ends, ["doc", "want"]).groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("words"))).alias(k) for k in ("xl", "pl", "xr", "pr")])
-    full = shared.put(found.join(sides, "id", "left").mapInArrow(_extended, _FULL))
+    ends = _words_at(docs, rows, want.select("doc", "want"), REACH, shared)
+    sides = _at_hot(want, ends, ["doc", "want"], shared).groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col("words"))).alias(k) for k in ("xl", "pl", "xr", "pr")])
+    full = shared.put(found.join(sides, "id", "left").mapInArrow(releasing(_extended), _FULL))
     ids = nodes.select("doc", "doc_id")
     named = full.join(ids.select(F.col("doc").alias("x"), F.col("doc_id").alias("xid")), "x").join(ids.select(F.col("doc").alias("p"), F.col("doc_id").alias("pid")), "p")
     both = named.select(F.col("x").alias("doc"), "s", "e", F.col("pid").alias("other")).union(named.select(F.col("p").alias("doc"), F.col("ps").alias("s"), F.col("pe").alias("e"), F.col("xid").alias("other")))

@@ -568,6 +568,24 @@ def test_every_repeated_run_is_found(table):
     assert not clean & set(got) and len(got[200]) >= 60
 
 
+def test_seeds_stand_in_every_window_and_are_few_in_repeated_words():
+    draw = np.random.default_rng(7)
+    for kinds in (1, 2, 5, 1 << 40) * 40:
+        kmers = draw.integers(0, kinds, int(draw.integers(1, 300))).astype(np.uint64)
+        at = passages.winnowed(kmers)
+        assert (np.diff(at) > 0).all()
+        for i in range(max(1, len(kmers) - passages.WINDOW + 1)):
+            part = kmers[i:i + passages.WINDOW]
+            assert part.min() in kmers[at[(at >= i) & (at < i + len(part))]]
+    assert len(passages.winnowed(np.zeros(8_000, np.uint64))) < 1_100
+
+
+def test_repeated_words_of_any_length_are_one_passage(table):
+    docs = [(i, f"{prose(8000 + i, 30)} {'again ' * n}{prose(8100 + i, 30)}") for i, n in enumerate((8, 60, 400, 400, 3_000))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(table(*docs)).collect()}
+    assert got == {(i, 30, 30 + n) for i, n in ((1, 60), (2, 400), (3, 400), (4, 3_000))}
+
+
 def test_chains_take_ordered_anchors():
     line = [(i, 100 + i) for i in range(0, 60, 6)]
     assert passages.chains(line + [(20, 5), (40, 7)])[0] == (0, 62, 100, 162)
