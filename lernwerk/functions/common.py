@@ -36,5 +36,13 @@ def squeeze(c: Column) -> Column:
     return F.array_join(words(c), " ")
 
 
+#: Letters that ``upper`` turns into several, with the one capital letter they have; those without one stay.
+SPREADING = "".join(x for x in map(chr, range(0x80, 0x10000)) if len(x.upper()) > 1)
+CAPITALS = "".join("ẞ" if x == "ß" else x.title() if len(x.title()) == 1 else x for x in SPREADING)
+
+
 def upper_first(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2_000_000_000))
+    """The first letter as a capital, one for one: ``ß`` becomes ``ẞ``, not ``SS``."""
+    first = F.substring(c, 1, 1)
+    capital = F.when(F.length(F.upper(first)) > 1, F.translate(first, SPREADING, CAPITALS)).otherwise(F.upper(first))
+    return F.concat(capital, F.substring(c, 2, 2_000_000_000))

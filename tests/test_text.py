@@ -75,3 +75,10 @@ def test_common_title(spark):
     df = spark.createDataFrame([(1, 1, "Graph search"), (1, 2, "Search graph"), (2, 3, "One title"), (3, 4, "a b"), (3, 5, "c d")], "g long, block_id long, title string")
     got = {r["g"]: r["suggested_title"] for r in tx.common_title(df, "g").collect()}
     assert got == {1: "Understanding Graph", 2: "One title", 3: "Combined Concept Study"}
+
+
+def test_a_first_letter_stays_one_letter(spark):
+    from lernwerk.functions.common import upper_first
+
+    df = spark.createDataFrame([("ßheit",), ("ähre",), ("ﬁn",), ("ᾳx",), ("1a",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(upper_first(F.col("t"))).collect()] == ["ẞheit", "Ähre", "ﬁn", "ᾼx", "1a", "", None]
