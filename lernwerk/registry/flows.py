@@ -22,10 +22,17 @@ def _folder(t) -> str:
     return f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _table_stream(t, name: str):
+    """A table as a stream of its file, or of the files in its folder."""
+    table = t.spark.read.parquet(f"{t.folder}/{name}.parquet")
+    reader = t.spark.readStream.schema(table.schema)
+    if any(f"/{name}.parquet/" in path for path in table.inputFiles()):
+        return reader.parquet(f"{t.folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+
+
 def _events_stream(t):
-    """The events table as a stream of its file, with the review columns."""
-    schema = t.events.schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    return _table_stream(t, "events")
 
 
 def _reviews_stream(t):
@@ -57,7 +64,7 @@ ATTEMPT_SQL = check_sql("attempt_events", """select attempt_id, coalesce(arg_max
 
 def _ingested(t):
     folder = _folder(t)
-    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder).select("doc_id", "text")
+    docs = _table_stream(t, "documents").select("doc_id", "text")
     st.ingest(docs, f"{folder}/known", f"{folder}/chunks").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))
 

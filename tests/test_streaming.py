@@ -211,3 +211,22 @@ def test_progress_over_many_batches_equals_one(spark, tmp_path):
             (sc.step_sync_enhanced if enhanced else sc.step_sync)(s, rating, time_s, 0, 0)
         got = {(r["user_id"], r["block_id"]): {n: r[n] for n in sc.STATE_NAMES} for r in st.progress_versions(spark, f"{at}/states", 2).current().collect()}
         assert got == want
+
+
+def test_a_table_streams_from_a_file_or_a_folder(spark, tmp_path):
+    from lernwerk.derived import Tables
+    from lernwerk.registry.flows import _events_stream, _ingested
+
+    events = spark.createDataFrame([(i, i % 2) for i in range(7)], "event_id long, user_id long")
+    texts = spark.createDataFrame([(i, f"words of text {i // 2}") for i in range(6)], "doc_id long, text string")
+    for kind, parts in (("file", 1), ("folder", 3)):
+        for name, df in (("events", events), ("documents", texts)):
+            at = tmp_path / kind / f"{name}.parquet"
+            if kind == "file":
+                at.parent.mkdir(exist_ok=True)
+                df.toPandas().to_parquet(at)
+            else:
+                df.repartition(parts).write.parquet(str(at))
+        t = Tables(spark, str(tmp_path / kind))
+        assert _events_stream(t).isStreaming
+        assert sorted(r["doc_id"] for r in _ingested(t).collect()) == [0, 2, 4]
