@@ -21,14 +21,14 @@ def global_rank(df: DataFrame, order: list[Column], out: str, rows: int | None =
     if rows <= SMALL:
         return df.withColumn(out, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
     parts = max(2, rows // SMALL + 1)
+    # the row's place as Spark deals it out; its name meets neither ``out`` nor a column of ``df``
+    at = next(name for n in range(len(df.columns) + 2) if (name := f"_place{n}") != out and name not in df.columns)
     placed = cut(
-        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     )
-    shift = 2 ** 33
-    split = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_i", F.col("_at") % shift)
-    sizes = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    offset = sizes.select(
-        "_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).alias("_off")
-    )
-    joined = split.join(F.broadcast(offset), "_part")
-    return joined.withColumn(out, F.coalesce("_off", F.lit(0)) + F.col("_i")).drop("_part", "_i", "_at", "_off")
+    part, i = F.shiftright(at, 33), F.col(at) % 2 ** 33
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    offset = sizes.select(F.struct("part", F.coalesce(before, F.lit(0)).alias("rows")).alias(f"{at}_off"))
+    joined = placed.join(F.broadcast(offset), part == F.col(f"{at}_off.part"))
+    return joined.withColumn(out, F.col(f"{at}_off.rows") + i).drop(at, f"{at}_off")

@@ -75,3 +75,23 @@ def test_a_callers_views_stay(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert t.block_bodies.count() == t.blocks.count() > 3
     assert spark.table("blocks").columns == ["id"] and not spark.catalog.tableExists("lw_part")
+
+
+def test_master_sequence_over_many_ranges(spark, monkeypatch):
+    """More blocks than one task may number."""
+    from lernwerk.operators import ranking
+
+    monkeypatch.setattr(ranking, "SMALL", 10)
+    blocks = spark.range(40).selectExpr("id as block_id", "concat('t', id) as title", "'beginner' as difficulty", "39 - id as pos")
+    got = ds.master_sequence(blocks.drop("pos"), blocks.select("block_id", "pos"), blocks.where("block_id = 3").select("block_id")).collect()
+    assert sorted((r["sequence_number"], r["block_id"], r["is_completed"]) for r in got) == [(40 - b, b, b == 3) for b in range(39, -1, -1)]
+
+
+def test_a_rank_beside_columns_of_any_name(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from lernwerk.operators import ranking
+
+    monkeypatch.setattr(ranking, "SMALL", 10)
+    df = spark.range(40).selectExpr("id as _at", "id % 3 as _part", "id as _off", "id as part", "id as _place0")
+    got = ranking.global_rank(df, [F.col("_at")], "_i").collect()
+    assert all(r["_i"] == r["_at"] == r["_off"] == r["part"] == r["_place0"] and r["_part"] == r["_at"] % 3 for r in got) and len(got) == 40
