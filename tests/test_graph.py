@@ -143,3 +143,29 @@ def test_topo_order_of_chains_ladders_and_self_loops(spark):
 def test_topo_order_of_nothing(spark):
     none = spark.createDataFrame([], "node long, base long")
     assert gr.topo_order(none, spark.createDataFrame([], "src long, dst long")).isEmpty()
+
+
+def test_topo_order_in_many_walks_and_batches(spark, monkeypatch):
+    """Deep dense graphs take rounds by their edges, not by their layers, with the queue's order."""
+    monkeypatch.setattr(gr, "SMALL", 30)
+    monkeypatch.setattr(gr, "LOCAL", 60)
+    rng = random.Random(4)
+    nodes = list(range(60))
+    edges = {(a, b) for a in nodes for b in nodes if a < b and rng.random() < 0.15} | {(57, 59), (59, 57)}
+    rounds = []
+    old = gr.cut
+    monkeypatch.setattr(gr, "cut", lambda df: rounds.append(1) or old(df))
+    df = spark.createDataFrame([(x, x) for x in nodes], "node long, base long")
+    got = gr.topo_order(df, spark.createDataFrame(sorted(edges) + sorted(edges)[:9], "src long, dst long")).orderBy("pos").collect()
+    assert [r["node"] for r in got] == kahn(nodes, edges)
+    assert {r["node"]: r["layer"] for r in got if r["layer"] is not None} == layers_of(nodes, edges)
+    assert len(rounds) < 40
+
+
+def test_a_shuffled_path_beyond_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(gr, "SMALL", 25)
+    names = list(range(400))
+    random.Random(5).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "src long, dst long")
+    got = {r["node"]: r["layer"] for r in gr.depths(edges.sparkSession.range(400).toDF("node"), edges).collect()}
+    assert got == {x: i for i, x in enumerate(names)}
