@@ -169,3 +169,22 @@ def test_a_shuffled_path_beyond_a_walk(spark, monkeypatch):
     edges = spark.createDataFrame(list(zip(names, names[1:])), "src long, dst long")
     got = {r["node"]: r["layer"] for r in gr.depths(edges.sparkSession.range(400).toDF("node"), edges).collect()}
     assert got == {x: i for i, x in enumerate(names)}
+
+
+def test_triangles_in_tasks_of_three_colours(spark, monkeypatch):
+    """A dense graph and a hub, with so few edges to a task that nodes take many colours, against all triples."""
+    monkeypatch.setattr(gr, "GROUP", 200)
+    monkeypatch.setattr(gr, "STRETCH", 50)
+    rng = random.Random(6)
+    pairs = {(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.4} | {(99, a) for a in range(30)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    share = {x: sum(b in near[a] for a in s for b in s) / (len(s) * (len(s) - 1)) for x, s in near.items() if len(s) > 1}
+    nodes = spark.createDataFrame([(x,) for x in [*near, 500]], "node long")
+    edges = spark.createDataFrame(sorted(pairs) + [(b, a) for a, b in sorted(pairs)[:20]], "src long, dst long")
+    found = gr.mean_clustering(nodes, edges)
+    assert abs(found.first()["mean_clustering"] - sum(share.values()) / (len(near) + 1)) < 1e-12
+    none = gr.mean_clustering(nodes, edges.limit(0)).first()["mean_clustering"]
+    assert none == 0.0
