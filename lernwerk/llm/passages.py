@@ -19,6 +19,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ EDIT = 5  # words that may be replaced, left out or added at one place
 REACH = 2 * (SEED + WINDOW)
 WANTED = 1_000_000  # places whose words are asked for by broadcast; beyond, texts are shuffled to them
 FEW = 5  # words that are compared first
+BITMAPS = 16_384  # bitmaps of 4 KB that are sent to all tasks
 HOT = 10_000  # rows of one key beyond which its rows stay where they are
 # (words of one side, words of the other, equal words that must follow)
 _EDITS = [(1, 1, 3), (1, 0, 3), (0, 1, 3)] + sorted(((i, j, 4) for i in range(EDIT + 1) for j in range(EDIT + 1) if max(i, j) > 1), key=lambda e: (max(e[:2]), e[0] + e[1]))
@@ -199,12 +201,33 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=["x", "p", "s", "e", "ps", "pe"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts for the way to another task."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_string()).view(pa.large_binary())
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array([zlib.compress(t.as_buffer() or b"") for t in texts], pa.binary())], names=["row_key", "packed"])
+
+
+def _runs(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``slices`` of the texts, which are packed if they came from another task."""
+    if "text" in batch.schema.names:
+        yield from slices(batch.column("text"), most)
+        return
+    at, packed = 0, batch.column("packed")
+    while at < len(packed):
+        first, size, texts = at, 0, []
+        while at < len(packed) and size < most:
+            texts.append(zlib.decompress(packed[at].as_buffer()))
+            size, at = size + len(texts[-1]), at + 1
+        yield first, at, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _ends(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The words next to the wanted places: before an even request, from an odd one on, at most ``reach``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column("text")):
+            for first, last, data, offsets in _runs(batch):
                 start, end, at = word_spans(data, offsets)
                 words = (span_hashes(data, start, end, lower=True) >> np.uint64(32)).astype(np.uint32)
                 keys, wants, found = [], [], []
@@ -227,16 +250,32 @@ def _words_at(docs: DataFrame, rows: DataFrame, wants: DataFrame, reach: int, sh
     lists = shared.put(wants.distinct().groupBy("doc").agg(F.collect_list("want").alias("wants")).join(rows.select("doc", "row_key"), "doc"))  # at most twice a document's words
     n = lists.agg(F.sum(F.size("wants") + 1)).first()[0] or 0
     text = docs.select(row_key().alias("row_key"), "text")
+    # of repeated rows one is asked, so that no words come twice
+    again = shared.put(rows.groupBy("row_key").count().where("count > 1").join(lists, "row_key", "left_semi").select("row_key"))
+    if not again.isEmpty():
+        repeated = text.join(small(again), "row_key", "left_semi").dropDuplicates(["row_key"])
+        text = text.join(small(again), "row_key", "left_anti").union(repeated)
     if n <= WANTED:
         asked = text.join(F.broadcast(lists), "row_key")
     else:
-        asked = text.join(small(lists.select("row_key"), WANTED), "row_key", "left_semi").join(lists, "row_key")
-    # repeated rows give the same words twice, of which one is taken
-    ends = shared.put(asked.mapInArrow(_ends(reach), "doc long, want long, words binary").dropDuplicates(["doc", "want"]))
-    shared.drop(lists)
+        if lists.count() <= WANTED:
+            text = text.join(F.broadcast(lists.select("row_key")), "row_key", "left_semi")
+        asked = text.mapInArrow(releasing(_packed), "row_key long, packed binary").join(lists, "row_key")
+    ends = shared.put(asked.mapInArrow(_ends(reach), "doc long, want long, words binary"))
+    shared.drop(lists, again)
     return ends
 
 
+def _without(wide: DataFrame, gone: DataFrame, shared: Shared) -> DataFrame:
+    """``wide`` without the rows whose ``doc`` is in ``gone``: a bit for each is sent to the rows, which stay where they are."""
+    bits = shared.put(gone.groupBy(F.bitmap_bucket_number("doc").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("bits")))
+    place = F.bitmap_bit_position("doc")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    named = wide.withColumn("bucket", F.bitmap_bucket_number("doc")).join(small(bits, BITMAPS), "bucket", "left")
+    held = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) > 0
+    return named.where(F.col("bits").isNull() | ~held).drop("bucket", "bits")
+
+
 def _at_hot(left: DataFrame, right: DataFrame, on: list[str], shared: Shared) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique: rows of keys that ``HOT`` rows of ``left`` share stay in place."""
     hot = shared.put(left.groupBy(*on).count().where(F.col("count") > HOT).select(*on))
@@ -293,10 +332,10 @@ def _beyond(full: DataFrame, shared: Shared) -> DataFrame:
     deep = deep.join(common(deep).select("h"), "h", "left_semi").select("id", F.lit(TAIL).alias("most"))
     long = met.join(deep, "id", "left").withColumn("most", F.least((F.length("tail") / 4).cast("int"), F.coalesce("most", F.lit(FEW - 1))))
     every = long.select("id", "x", "side", "k", "tail", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("n")).withColumn("h", part(F.col("n"))).select("id", "x", "n", "h")
-    longest = every.join(common(every), "h").groupBy("id").agg(F.max(F.struct("n", F.when(F.col("x") == F.col("y"), F.col("z")).otherwise(F.col("y")).alias("y"))).alias("m"))
+    longest = every.select("id", "n", "h").join(common(every), "h").groupBy("id").agg(F.max(F.struct("n", "y", "z")).alias("m"))
     left = F.col("side") == 0
     return met.join(longest, "id").select(
-        F.col("x").alias("doc"), F.when(left, F.col("at") - F.col("m.n")).otherwise(F.col("far")).alias("s"), F.when(left, F.col("far")).otherwise(F.col("at") + F.col("m.n")).alias("e"), F.col("m.y").alias("y")
+        F.col("x").alias("doc"), F.when(left, F.col("at") - F.col("m.n")).otherwise(F.col("far")).alias("s"), F.when(left, F.col("far")).otherwise(F.col("at") + F.col("m.n")).alias("e"), F.when(F.col("x") == F.col("m.y"), F.col("m.z")).otherwise(F.col("m.y")).alias("y")
     )
 
 
@@ -322,7 +361,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     nodes = shared.put(rows.groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.min("doc").alias("doc"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"), F.max("doc_id").alias("last_id")
     ))
-    seed = wide.join(nodes.select("doc"), "doc", "left_semi").select("doc", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("doc", F.col("a.seeds").alias("h"), F.col("a.places").cast("long").alias("at"))
+    seed = _without(wide, rows.join(nodes.select("doc"), "doc", "left_anti"), shared).select("doc", F.explode(F.arrays_zip("seeds", "places")).alias("a")).select("doc", F.col("a.seeds").alias("h"), F.col("a.places").cast("long").alias("at"))
     # most seeds are alone; they leave by their hashes only
     twice = seed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     linked = shared.put(seed.join(twice, "h"))

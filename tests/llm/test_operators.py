@@ -592,6 +592,34 @@ def test_chains_take_ordered_anchors():
     assert sorted(passages.chains([(0, 0), (8, 8), (50, 50)])) == [(0, 16, 0, 16), (50, 58, 50, 58)]
 
 
+def test_passages_are_the_same_by_broadcast_and_by_packed_texts(spark, table, monkeypatch):
+    """Few places are asked for by broadcast; for many, texts travel packed.  Repeated rows are asked once."""
+    shared = [prose(50 + i, 90) for i in range(4)]
+    docs = [(i, f"{prose(200 + i, 30)} {shared[i % 4]} {prose(300 + i, 40)} é🙂") for i in range(12)] + [(90, None), (91, ""), (None, shared[0])]
+    df = table(*docs, docs[3], docs[3], docs[5])
+    asked, old = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, *a: asked.append((self, schema)) or old(self, run, schema, *a))
+    columns = ("doc_id", "start_word", "end_word", "source_doc_id", "n_links")
+    want = rows(passages.repeated_passages(df), *columns)
+    assert len(want) > 12 and not any("packed" in schema for _, schema in asked)
+    monkeypatch.setattr(passages, "WANTED", 3)
+    assert rows(passages.repeated_passages(df), *columns) == want
+    # whole texts are in no shuffle but that of the repeated rows
+    sent = [self for self, schema in asked if "want long" in schema][-1]
+    assert "packed" in sent.columns and "text" not in sent.columns
+
+
+def test_rows_left_out_by_bits(spark):
+    """Numbers as Spark gives them to rows: the others stay where they are, without a shuffle of them."""
+    ids = [(p << 33) + i for p in (0, 1, 7) for i in (0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 40000)]
+    wide = spark.createDataFrame([(i, "x" * 9) for i in ids], "doc long, rest string")
+    gone = spark.createDataFrame([(i,) for i in ids[::3]], "doc long")
+    left = passages._without(wide, gone, passages.Shared(spark))
+    assert rows(left, "doc", "rest") == sorted((i, "x" * 9) for i in set(ids) - set(ids[::3]))
+    assert left.columns == wide.columns and "hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    assert passages._without(wide, gone.where("doc < 0"), passages.Shared(spark)).count() == len(ids)
+
+
 def test_passages_odd_rows(odd, table):
     got = passages.repeated_passages(odd)
     assert set(got.columns) == {"doc_id", "start_word", "end_word", "n_words", "source_doc_id", "n_links"}
