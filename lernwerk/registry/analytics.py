@@ -127,7 +127,7 @@ def _reconciled(t):
 
 
 def _progress(t):
-    return an.corpus_progress(body_fields(t.block_bodies), t.edges).withColumn("hours", F.round("hours", 6))
+    return an.corpus_progress(body_fields(t.block_bodies), t.edges_once).withColumn("hours", F.round("hours", 6))
 
 
 FORMAT = """case when starts_with(title, '[MIGRATED→') then 'migrated' when list_contains(k, 'segments') then 'new'

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lernwerk import derived
 from lernwerk.derived import BASE_TABLES
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
@@ -37,3 +38,12 @@ def test_query(spark, con, name):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_edges_read_once_are_not_written(spark, monkeypatch):
+    """The edges grow with the square of the vectors; a query that only counts them writes no table of them."""
+    written = []
+    monkeypatch.setattr(derived, "cut", lambda df: written.append(df.columns) or df)
+    row = entry.queries()["corpus_progress"](spark, FOLDER).first()
+    assert row["n_edges"] == row["n_prerequisite"] + row["n_builds_on"] + row["n_related"] > 0
+    assert not written
