@@ -14,7 +14,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     aggregate with map-side combine, so a hub costs one row per task) and then jumps to the label of
     the label, which halves chains.  Each round is cut by a checkpoint; it ends when nothing changes.
     """
-    links = cut(edges.select("src", "dst").where("src <> dst"))
+    return _labelled(cut(edges.select("src", "dst").where("src <> dst")), nodes)
+
+
+def _labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rounds of ``components`` over ``links(src, dst)``, a written table without loops."""
     both = links.union(links.select("dst", "src"))        # read both ways, written once
     labels = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("component")).withColumnRenamed("src", "node")
     labels = cut(labels)
@@ -122,9 +126,11 @@ def pair_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Returns (group_id, n_members, n_pairs, mean_sim, max_sim); the member rows are those of ``components``.
     """
-    members = components(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst")), nodes)
+    # pairs may be all-pairs work: they are found once, for the rounds and for the totals
+    links = cut(pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "sim"))
+    members = _labelled(links.select("src", "dst").where("src <> dst"), nodes)
     sizes = members.groupBy("component").agg(F.count("*").alias("n_members"))
-    scored = pairs.join(members.withColumnRenamed("node", "i"), "i").groupBy("component").agg(
+    scored = links.join(members.withColumnRenamed("node", "src"), "src").groupBy("component").agg(
         F.count("*").alias("n_pairs"), F.avg("sim").alias("mean_sim"), F.max("sim").alias("max_sim")
     )
     return sizes.join(scored, "component", "left").select(
