@@ -64,9 +64,9 @@ class Dialect:
         return f"array_join({a}, {sep})" if self.spark else f"array_to_string({a}, {sep})"
 
     def explode_range(self, n: str, alias: str) -> str:
-        """A lateral 0..n-1."""
+        """A lateral 0..n-1; no row for n = 0, where ``sequence(0, -1)`` would count down."""
         if self.spark:
-            return f"lateral view explode(sequence(0, cast({n} as int) - 1)) x as {alias}"
+            return f"lateral view explode(slice(sequence(0, cast({n} as int)), 1, cast({n} as int))) x as {alias}"
         return f", unnest(range(0, cast({n} as int))) as x({alias})"
 
     def at(self, array: str, i: str) -> str:
