@@ -114,6 +114,11 @@ def content_hash(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("")).otherwise(F.sha2(text, 256))
 
 
+def any_text_hash(text: Column) -> Column:
+    """TXT7 as the upload tasks have it: SHA-256 of every text, an empty one too; null for a missing text."""
+    return F.sha2(text, 256)
+
+
 def fingerprint(cleaned: Column, sentences: int | None = None, length: int | None = None) -> Column:
     """TXT8: a cleaned text re-joined at full stops; with ``sentences`` or ``length`` only its head."""
     parts = F.split(cleaned, r"\.")
