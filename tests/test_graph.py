@@ -188,3 +188,19 @@ def test_triangles_in_tasks_of_three_colours(spark, monkeypatch):
     assert abs(found.first()["mean_clustering"] - sum(share.values()) / (len(near) + 1)) < 1e-12
     none = gr.mean_clustering(nodes, edges.limit(0)).first()["mean_clustering"]
     assert none == 0.0
+
+
+def test_upsert_makes_the_reverse_after_the_shuffle(spark):
+    """One exchange carries the new edges once and the known keys; given edges win, loops have one direction."""
+    existing = spark.createDataFrame([(1, 2, "related", 0.5, 0.5, 0.5), (4, 3, "related", 0.5, 0.5, 0.5)], "src long, dst long, rel_type string, confidence double, similarity double, strength double")
+    new = spark.createDataFrame(
+        [(1, 2, "related", 0.9, 0.9), (3, 4, "related", 0.7, 0.8), (6, 5, "related", 0.6, 0.6), (5, 6, "related", 0.3, 0.3), (7, 7, "related", 0.4, 0.4),
+         (9, 8, "builds_on", 0.2, 0.2), (1, 2, "builds_on", 0.1, 0.1), (10, 11, "related", 0.1, 0.1), (10, 11, "related", 0.2, 0.2)],
+        "src long, dst long, rel_type string, confidence double, similarity double")
+    every, created = gr.upsert_edges(existing, new)
+    got = sorted((r["src"], r["dst"], r["rel_type"], r["confidence"]) for r in created.collect())
+    assert got == [(1, 2, "builds_on", 0.1), (2, 1, "related", 0.9), (3, 4, "related", 0.7), (5, 6, "related", 0.3), (6, 5, "related", 0.6), (7, 7, "related", 0.4),
+                   (9, 8, "builds_on", 0.2), (10, 11, "related", 0.2), (11, 10, "related", 0.2)]
+    assert every.count() == len(got) + 2 and gr.upsert_edges(every, new)[1].count() == 0
+    plan = created._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
