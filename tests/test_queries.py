@@ -47,3 +47,14 @@ def test_edges_read_once_are_not_written(spark, monkeypatch):
     row = entry.queries()["corpus_progress"](spark, FOLDER).first()
     assert row["n_edges"] == row["n_prerequisite"] + row["n_builds_on"] + row["n_related"] > 0
     assert not written
+
+
+def test_the_summary_writes_the_edges_once(spark, monkeypatch):
+    """One table of the directed pairs, which components read too, and one of the undirected ones for the triangles."""
+    from lernwerk.operators import communities, graph
+
+    written = []
+    for module in (derived, communities, graph):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(df.columns) or cut(df))
+    assert entry.queries()["graph_summary"](spark, FOLDER).first()["n_edges"] > 0
+    assert [c for c in written if {"src", "dst"} <= set(c) or {"a", "b"} <= set(c)] == [["src", "dst"], ["a", "b"]]
